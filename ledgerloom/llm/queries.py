@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, lines, packing, sharding, warc
+from ledgerloom.llm import decontaminate, language, lines, neighbours, packing, quality, render, sharding, warc
 
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
 SLOTS = 1021
@@ -31,6 +31,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -46,15 +50,31 @@ def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "placement.slot", "placement.shard")
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    done = language.identified(documents.select("doc_id", "text"), language.learn(documents))
+    return done.select("doc_id", quality.held_out("doc_id", 4, 2).alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = quality.scored(documents, quality.learn(documents, _table(spark, sf_dir, "labels")), out="score")
+    return done.select("doc_id", quality.held_out("doc_id", 5, 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.round_trip(_table(spark, sf_dir, "pages"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.rendered(_table(spark, sf_dir, "pages")).select("page_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_decontaminate, op4_pack, op5_line_dedup, op6_shard, op9_warc)
+        for f in (op1_decontaminate, op2_neighbours, op4_pack, op5_line_dedup, op6_shard, op7_language, op8_quality, op9_warc, op10_render)
     }
 
 
