@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, language, lines, neighbours, packing, quality, render, sharding, warc
+from ledgerloom.llm import decontaminate, jaccard, language, lines, neighbours, packing, quality, render, sharding, warc
 
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
 SLOTS = 1021
@@ -35,6 +35,10 @@ def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_components(_table(spark, sf_dir, "documents"))
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -74,7 +78,7 @@ def op10_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_decontaminate, op2_neighbours, op4_pack, op5_line_dedup, op6_shard, op7_language, op8_quality, op9_warc, op10_render)
+        for f in (op1_decontaminate, op2_neighbours, op3_jaccard, op4_pack, op5_line_dedup, op6_shard, op7_language, op8_quality, op9_warc, op10_render)
     }
 
 
