@@ -49,6 +49,14 @@ def _encode(bits: int, seed: int):
     return encode
 
 
+def inner_products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Summed component after component, so that the last bit does not hang on the machine."""
+    total = np.zeros(len(vectors))
+    for i, x in enumerate(query):
+        total += vectors[:, i] * x
+    return total
+
+
 def _search(k: int, bits: int, seed: int, width: float):
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
@@ -78,7 +86,7 @@ def _search(k: int, bits: int, seed: int, width: float):
                 bound[ids == query_ids[i]] = -np.inf
                 least = np.partition(bound, len(bound) - k - 1)[len(bound) - k - 1] if len(bound) > k else -np.inf
                 near = np.flatnonzero((estimate[q] + error >= least) & (ids != query_ids[i]))
-                score = (vectors[near] * queries[i]).sum(1)
+                score = inner_products(vectors[near], queries[i])
                 best = np.lexsort((ids[near], -score))[:k]
                 out[0].append(np.full(len(best), query_ids[i]))
                 out[1].append(ids[near][best])

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, jaccard, language, lines, neighbours, packing, quality, render, sharding, warc
+from ledgerloom.llm import decontaminate, jaccard, language, lines, neighbours, oracles, packing, quality, render, sharding, warc
 
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
 SLOTS = 1021
@@ -83,4 +83,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the queries that SQL can express; the others are tested against brute force."""
+    return {
+        "op1_decontaminate": oracles.DECONTAMINATE,
+        "op2_neighbours": oracles.NEIGHBOURS,
+        "op3_jaccard": oracles.JACCARD,
+        "op5_line_dedup": oracles.LINES,
+        "op6_shard": oracles.sharding("doc_id", "documents", SHARDS, SLOTS),
+        "op9_warc": oracles.WARC,
+    }
