@@ -27,19 +27,19 @@ _MAYBE_WHITE[[0xC2, 0xE1, 0xE2, 0xE3]] = True  # first bytes of the non-ASCII wh
 
 
 class Encoder:
-    """Token ids of texts, exactly those of the tokenizers file, with a memory of words.
+    """Token ids of texts, exactly those of the tokenizers file.
 
     The file's pre-tokenizer always starts a new piece at a blank that a
     non-white character follows, so what lies between two such blanks can be
-    encoded alone, and each distinct chunk only once.
+    encoded alone. Each distinct chunk of a slice is encoded once, and all of
+    them in one call: in a row they still keep their borders.
     """
 
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.fast = self._byte_pairs(path)
-        self.remembered, self.memory = remembered, {}
 
     def _byte_pairs(self, path: str):
         """The same byte-pair merges run by tiktoken if the file's vocabulary allows it, else None."""
@@ -57,45 +57,55 @@ class Encoder:
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         ranks = {bytes(letter[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+        self.sizes = np.zeros(max([*ranks.values(), *special.values()]) + 1, np.int64)
+        for token, i in [*ranks.items(), *((t.encode(), i) for t, i in special.items())]:
+            self.sizes[i] = len(token)
         return tiktoken.Encoding("byte pairs", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
-    def one(self, text: str) -> list[int]:
+    def one(self, text: str) -> np.ndarray:
         if self.fast is not None:
-            return self.fast.encode(text, allowed_special="all")
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+            return self.fast.encode_to_numpy(text, allowed_special="all")
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def rows(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
         """The ids of each row of a slice."""
         if self.fast is None:
             for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                yield np.array(self.one(bytes(data[a:b]).decode()), np.uint32)
+                yield self.one(bytes(data[a:b]).decode())
             return
         starts = np.zeros(len(data) + 1, bool)
-        starts[1 : len(data) - 1] = (data[1:-1] == 32) & ~_MAYBE_WHITE[data[2:]]
+        starts[:-2] = (data[:-1] == 32) & ~_MAYBE_WHITE[data[1:]]
+        starts[np.maximum(offsets[1:] - 1, 0)] = False
+        apart = starts.copy()
         starts[offsets] = True
         begin = np.flatnonzero(starts[:-1])
-        if not len(begin):
-            yield from (np.zeros(0, np.uint32) for _ in offsets[1:])
-            return
-        end = np.append(begin[1:], len(data))
-        keys, first, which = np.unique(SpanHash(data)(begin, end), return_index=True, return_inverse=True)
-        if len(self.memory) > self.remembered:
-            self.memory.clear()
-        memory, raw, parts = self.memory, data.tobytes(), []
-        for key, a, b in zip(keys.tolist(), begin[first].tolist(), end[first].tolist(), strict=True):
-            ids = memory.get(key)
-            if ids is None:
-                ids = memory[key] = np.array(self.one(raw[a:b].decode()), np.uint32)
-            parts.append(ids)
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat, place = np.concatenate(parts), np.concatenate(([0], np.cumsum(sizes)))
-        counts = sizes[which]
+        end = np.append(begin[1:], len(data))[: len(begin)]
+        _, first, which = np.unique(SpanHash(data)(begin, end), return_index=True, return_inverse=True)
+        flat, place, counts = self._chunks(data, begin[first], end[first], apart[begin[first]])
+        counts = counts[which]
         total = np.concatenate(([0], np.cumsum(counts)))
         ids = flat[np.arange(total[-1]) + np.repeat(place[which] - total[:-1], counts)]
         row = total[np.searchsorted(begin, offsets)]
         for a, b in zip(row[:-1], row[1:], strict=True):
             yield ids[a:b]
 
+    def _chunks(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all chunks, and where each chunk's begin and how many they are; those that start apart go in one call."""
+        place, counts = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
+        size = (end - begin)[apart]
+        last = np.cumsum(size)
+        text = data[np.repeat(begin[apart] - last + size, size) + np.arange(size.sum())].tobytes().decode()
+        parts = [self.one(text)]
+        border = np.searchsorted(np.cumsum(self.sizes[parts[0]]), last, "right")
+        counts[apart] = np.diff(border, prepend=0)
+        place[apart] = border - counts[apart]
+        at = len(parts[0])
+        for i in np.flatnonzero(~apart):
+            parts.append(self.one(data[begin[i] : end[i]].tobytes().decode()))
+            place[i], counts[i] = at, len(parts[-1])
+            at += counts[i]
+        return np.concatenate(parts), place, counts
+
 
 def _cut(capacity: int, path: str, separator: int):
     @F.arrow_udf("array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint,part:int,rank:bigint>>")
@@ -104,7 +114,7 @@ def _cut(capacity: int, path: str, separator: int):
         seen = np.zeros(capacity + 1, np.int64)
         for texts in batches:
             counts, columns = [], [[] for _ in range(6)]
-            for _, _, data, offsets in slices(texts):
+            for _, _, data, offsets in slices(texts, 4 << 20):
                 for ids in encoder.rows(data, offsets):
                     ids = np.append(ids, np.uint32(separator)).astype("<u4")
                     first = len(ids) % capacity or capacity
