@@ -176,6 +176,7 @@ def deduplicated(documents: DataFrame, *, least: int = 10, size: int = 27, out:
     lines = known.select("doc_id", F.explode(_suspects(held, size, least)(F.col("text"))).alias("key"))
     lines = stored(lines, "suspects")
     first = lines.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first")
+    first = stored(first, "repeated")  # so that both sides of the join are dealt anew, and a line of very many documents can be split
     drops = lines.join(first, "key").where(F.col("doc_id") > F.col("first")).groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
     keys = fresh([*documents.columns, out], "drop")
     drops = drops.withColumnRenamed("drop", keys)
