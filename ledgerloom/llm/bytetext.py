@@ -119,6 +119,14 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tup
     return (SpanHash(low)(begin, end) if len(begin) else np.zeros(0, np.uint64)), rows
 
 
+def by_row(rows: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """An order of items, rearranged so that rows follow each other; within a row it is kept."""
+    own = rows[order]
+    if len(own) and own.max() < 1 << 16:
+        own = own.astype(np.uint16)  # numpy sorts these by radix
+    return order[np.argsort(own, kind="stable")]
+
+
 def distinct_shingles(words: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct k-word shingles of every row, flat, and where each row's begin.
 
@@ -131,7 +139,7 @@ def distinct_shingles(words: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.n
     for short in np.flatnonzero((counts > 0) & (counts < k)):
         own = words[rows[short] : rows[short + 1]]
         values, at = np.append(values, grams(own, len(own))), np.append(at, short)
-    order = np.lexsort((values, at))
+    order = by_row(at, np.argsort(values))
     values, at = values[order], at[order]
     if len(values):
         keep = np.ones(len(values), bool)

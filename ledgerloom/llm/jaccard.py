@@ -8,10 +8,10 @@ overlap from above, and only pairs within the bound are intersected as sorted
 arrays.
 
 Only components are asked for, so a pair within one component need not be
-compared. First every set is compared with one leader of its tiles, which
-already joins up most of a group of near copies, and then the tiles compare the
-pairs whose components still differ. No pair of different components is left
-out.
+compared. First come rounds in which every tile has a leader drawn by hash, and
+every set is compared with that leader of its tiles whose bitmap is nearest; they
+already join up most of a group of near copies. Then the tiles compare the pairs
+whose components still differ. No pair of different components is left out.
 """
 
 from __future__ import annotations
@@ -26,12 +26,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.bytetext import NOT_SPACE, distinct_shingles, mix, slices, word_hashes
+from ledgerloom.llm.bytetext import NOT_SPACE, by_row, distinct_shingles, mix, slices, word_hashes
 from ledgerloom.llm.graph import components
-from ledgerloom.llm.scratch import stored
+from ledgerloom.llm.scratch import batches_of, stored
 
 COUNT_BITS, SEGMENTS = 20, 64
+ROUNDS = 2
+MOST_BROADCAST = 1_000_000  # rows of a doc_id and a hash; more are joined in a shuffle
 LEAST_BITS, MOST_BITS = 64, 1 << 16
+TILE_WORDS = 32  # of 64 bits: a tile's rows carry no longer bitmaps; the whole ones follow for the pairs that pass
 
 
 def _entity(values: np.ndarray, borders: np.ndarray) -> np.ndarray:
@@ -102,19 +105,28 @@ def bitmap(values: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def _rarity(counts: np.ndarray) -> np.ndarray:
+    """Counts in 16 bits: larger counts never get smaller numbers."""
+    return np.minimum(np.log2(counts + 1.0) * 1024, 65_535).astype(np.uint16)
+
+
 def _prefixes(k: int, percent: int, held):
-    """The rarest shingles of each set, of which similar sets share one, and the set's bitmap."""
+    """The rarest shingles of each set, and the set's bitmap.
 
-    @F.arrow_udf("struct<entity:bigint,n:bigint,band:int,tokens:array<bigint>,bits:array<bigint>>")
+    Two similar sets share one of these; it is also among the first `few` of the
+    smaller set, or of either if they have the same size.
+    """
+
+    @F.arrow_udf("struct<entity:bigint,n:bigint,band:int,few:int,tokens:array<bigint>,bits:array<bigint>>")
     def prefixes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counts = held.value
         for texts in batches:
-            entity, size, band, tokens, bits = [], [], [], [], []
+            entity, size, band, few, tokens, bits = [], [], [], [], [], []
             for _, _, data, offsets in slices(texts):
                 values, borders = distinct_shingles(*word_hashes(data, offsets, NOT_SPACE), k)
                 often = counts[(values >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
                 row = np.repeat(np.arange(len(borders) - 1), np.diff(borders))
-                order = np.lexsort((values, often, row))
+                order = by_row(row, np.argsort(_rarity(often), kind="stable"))
                 ordered, alone = values[order], often[order] < 2
                 entity.append(_entity(values, borders))
                 for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
@@ -122,48 +134,50 @@ def _prefixes(k: int, percent: int, held):
                     size.append(n)
                     if not n:
                         band.append(None)
+                        few.append(0)
                         tokens.append([])
                         bits.append([])
                         continue
                     length = n - -(-percent * n // 100) + 1
                     band.append(band_of(n, percent))
-                    tokens.append(ordered[a : a + length][~alone[a : a + length]].view(np.int64))
+                    shared = ~alone[a : a + length]
+                    few.append(int(shared[: n - -(-2 * percent * n // (100 + percent)) + 1].sum()))
+                    tokens.append(ordered[a : a + length][shared].view(np.int64))
                     bits.append(bitmap(values[a:b], bitmap_bits(n)))
             lists = pa.list_(pa.int64())
-            columns = [pa.array(np.concatenate(entity) if entity else [], pa.int64()), pa.array(size, pa.int64()), pa.array(band, pa.int32()), pa.array(tokens, lists), pa.array(bits, lists)]
-            yield pa.StructArray.from_arrays(columns, ["entity", "n", "band", "tokens", "bits"])
+            columns = [pa.array(np.concatenate(entity) if entity else [], pa.int64()), pa.array(size, pa.int64()), pa.array(band, pa.int32()), pa.array(few, pa.int32()), pa.array(tokens, lists), pa.array(bits, lists)]
+            yield pa.StructArray.from_arrays(columns, ["entity", "n", "band", "few", "tokens", "bits"])
 
     return prefixes
 
 
-def _same_set(k: int):
-    @F.arrow_udf("bigint")
-    def entity(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            parts = [_entity(*distinct_shingles(*word_hashes(data, offsets, NOT_SPACE), k)) for _, _, data, offsets in slices(texts)]
-            yield pa.array(np.concatenate(parts) if parts else [], pa.int64())
+def _shingles(k: int):
+    """The sorted shingles of a text whose set is the one asked for, else null."""
 
-    return entity
+    @F.arrow_udf("binary")
+    def shingles(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, asked in batches:
+            out: list[bytes | None] = []
+            for low, _, data, offsets in slices(texts):
+                values, borders = distinct_shingles(*word_hashes(data, offsets, NOT_SPACE), k)
+                for i, own in enumerate(_entity(values, borders).tolist()):
+                    out.append(values[borders[i] : borders[i + 1]].tobytes() if own == asked[low + i].as_py() else None)
+            yield pa.array(out, pa.binary())
+
+    return shingles
 
 
-def _linked(k: int, percent: int):
-    """Whether two texts link, by intersecting their sorted shingle arrays."""
+def _linked(percent: int):
+    """Whether two sets link, by intersecting their sorted arrays."""
 
     @F.arrow_udf("boolean")
     def linked(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for left, right in batches:
             out: list[bool] = []
-            for low in range(0, len(left), 64):
-                one, two = left.slice(low, 64), right.slice(low, 64)
-                # a pair's texts lie side by side, so that a slice holds whole pairs
-                both = pa.concat_arrays([one, two]).take(pa.array(np.arange(2 * len(one)).reshape(2, -1).T.ravel()))
-                sets: list[np.ndarray] = []
-                for _, _, data, offsets in slices(both):
-                    values, borders = distinct_shingles(*word_hashes(data, offsets, NOT_SPACE), k)
-                    sets += [values[a:b] for a, b in zip(borders[:-1], borders[1:], strict=True)]
-                for x, y in zip(sets[::2], sets[1::2], strict=True):
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    out.append(shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared))
+            for one, two in zip(left, right, strict=True):
+                x, y = np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(two.as_buffer(), np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                out.append(shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared))
             yield pa.array(out, pa.bool_())
 
     return linked
@@ -174,12 +188,28 @@ _DIFFERING = "aggregate(zip_with({x}, {y}, (p, q) -> bit_count(p ^ q)), 0, (s, v
 _FOLDED = "if(size({x}) > {n}, zip_with(slice({x}, 1, {n}), slice({x}, {n} + 1, {n}), (p, q) -> p ^ q), {x})"
 
 
+def _shortened(bits: str, most: int) -> str:
+    """A bitmap folded until it has at most `most` words."""
+    folds = (MOST_BITS // 64 // most).bit_length() - 1
+    half = "zip_with(slice(a, 1, cast(size(a) / 2 as int)), slice(a, cast(size(a) / 2 as int) + 1, cast(size(a) / 2 as int)), (p, q) -> p ^ q)"
+    return f"aggregate(sequence(1, {folds}), {bits}, (a, i) -> if(size(a) > {most}, {half}, a))"
+
+
+def _differing(x: str, y: str) -> str:
+    """In how many bits the bitmaps of two sets of one tile differ."""
+    shorter = f"least(size({x}.bits), size({y}.bits))"
+    return _DIFFERING.format(x=_FOLDED.format(x=f"{x}.bits", n=shorter), y=_FOLDED.format(x=f"{y}.bits", n=shorter))
+
+
 def _near(x: str, y: str, percent: int) -> str:
     """Whether sizes and bitmaps of two sets of one tile allow a link."""
     sizes = f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)"
-    shorter = f"least(size({x}.bits), size({y}.bits))"
-    bits = _DIFFERING.format(x=_FOLDED.format(x=f"{x}.bits", n=shorter), y=_FOLDED.format(x=f"{y}.bits", n=shorter))
-    return f"{sizes} and {100 + percent} * {bits} <= {100 - percent} * ({x}.n + {y}.n)"
+    return f"{sizes} and {100 + percent} * {_differing(x, y)} <= {100 - percent} * ({x}.n + {y}.n)"
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A stored table, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
 
 def near_components(documents: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
@@ -192,8 +222,14 @@ def near_components(documents: DataFrame, *, k: int = 5, percent: int = 80) -> D
     links with nothing. Rows with a null doc_id link with nothing and have a null
     component. Rows that repeat a doc_id are documents each.
 
-    Broadcast are only the shingle counts by hash bucket, a table of fixed size.
+    Broadcast are the shingle counts by hash bucket, a table of fixed size, and the
+    tables of hashes and ids among those of at most MOST_BROADCAST rows.
     """
+    with batches_of(documents.sparkSession, 1000):
+        return _components(documents, k, percent)
+
+
+def _components(documents: DataFrame, k: int, percent: int) -> DataFrame:
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = stored(docs.mapInArrow(_sets(k), "doc_id bigint, n bigint, entity bigint, segment int, counts binary"), "sets")
@@ -202,46 +238,58 @@ def near_components(documents: DataFrame, *, k: int = 5, percent: int = 80) -> D
     known = docs.where("doc_id is not null")
     prefixes = stored(known.select(_prefixes(k, percent, held)(F.col("text")).alias("p")).select("p.*").where("n > 0"), "prefixes")
 
-    # entries of shingles that different sets share
-    every = prefixes.select(F.explode("tokens").alias("token"), "entity", "band")
-    shared = every.groupBy("token").agg(F.min("entity").alias("low"), F.max("entity").alias("high")).where("low < high").select("token")
+    # entries of shingles that different sets share; `first`: whether it is among the set's first few
+    every = prefixes.select(F.posexplode("tokens").alias("at", "token"), "entity", "band", "few").select("token", "entity", "band", (F.col("at") < F.col("few")).alias("first"))
+    shared = every.groupBy("token").agg(F.min("entity").alias("low"), F.max("entity").alias("high"), F.max("first").alias("first")).where("low < high and first").select("token")
     entries = stored(every.join(shared, "token", "left_semi").distinct(), "entries")
-    named = entries.select("entity").distinct()
-    signatures = stored(prefixes.join(named, "entity", "left_semi").select("entity", "n", "band", "bits").dropDuplicates(["entity"]), "signatures")
-
-    # each set and the leaders of its tiles; of those that the bitmaps allow, the smallest
-    leaders = entries.groupBy("token", "band").agg(F.min("entity").alias("leader"))
-    stars = entries.join(leaders, ["token", "band"]).where("entity <> leader").select("entity", "leader").distinct()
+    named = _small(stored(entries.select("entity").distinct(), "named"))
+    signatures = prefixes.select("entity", "n", "band", "bits").join(named, "entity", "left_semi")
+    signatures = stored(signatures.dropDuplicates(["entity"]), "signatures")
     x, y = signatures.alias("x"), signatures.alias("y")
-    allowed = stars.join(x, F.col("x.entity") == stars["entity"]).join(y, F.col("y.entity") == stars["leader"]).where(_near("x", "y", percent))
-    first = stored(allowed.groupBy(F.col("x.entity").alias("a")).agg(F.min("leader").alias("b")), "stars")
-
-    # texts of the sets in question, each once
-    ids = sets.where("n > 0 and doc_id is not null").groupBy("entity").agg(F.min("doc_id").alias("doc_id")).join(named, "entity", "left_semi")
-    texts = known.join(ids, "doc_id").where(_same_set(k)(F.col("text")) == F.col("entity")).select("entity", "text")
-    texts = stored(texts.dropDuplicates(["entity"]), "texts")
+    ids = stored(sets.where("n > 0 and doc_id is not null").groupBy("entity").agg(F.min("doc_id").alias("doc_id")), "ids")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left, right = texts.select(F.col("entity").alias("a"), F.col("text").alias("left")), texts.select(F.col("entity").alias("b"), F.col("text").alias("right"))
-        return pairs.join(left, "a").join(right, "b").where(_linked(k, percent)(F.col("left"), F.col("right"))).select("a", "b")
-
-    links = stored(verified(first), "links")
-    found = components(links)
+        """The pairs that link; only the texts that they name are hashed again, each once."""
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("entity")).distinct()
+        asked = _small(stored(ids.join(asked, "entity", "left_semi"), "asked"))
+        found = known.join(asked, "doc_id").select("entity", _shingles(k)(F.col("text"), F.col("entity")).alias("set")).where("set is not null")
+        found = stored(found.dropDuplicates(["entity"]), "arrays")
+        left, right = found.select(F.col("entity").alias("a"), F.col("set").alias("left")), found.select(F.col("entity").alias("b"), F.col("set").alias("right"))
+        return stored(pairs.join(left, "a").join(right, "b").where(_linked(percent)(F.col("left"), F.col("right"))).select("a", "b"), "links")
+
+    def labelled(found: DataFrame | None) -> DataFrame:
+        if found is None:
+            return entries.withColumn("component", F.col("entity"))
+        return entries.join(found.withColumnRenamed("node", "entity"), "entity", "left").withColumn("component", F.coalesce("component", "entity"))
+
+    # each set and the leaders of its tiles; of those that the bitmaps allow, the nearest
+    links = found = None
+    for turn in range(ROUNDS):
+        now = labelled(None) if found is None else stored(labelled(found), "labelled")
+        drawn = F.min(F.struct(F.xxhash64("entity", "token", F.lit(turn)).alias("draw"), "entity", "component"))
+        leaders = stored(now.groupBy("token", "band").agg(drawn.alias("l")).select("token", "band", F.col("l.entity").alias("leader"), F.col("l.component").alias("to")), "leaders")
+        stars = now.join(leaders, ["token", "band"]).where("component <> to").select("entity", "leader").distinct()
+        allowed = stars.join(x, F.col("x.entity") == stars["entity"]).join(y, F.col("y.entity") == stars["leader"]).where(_near("x", "y", percent))
+        nearest = F.min(F.struct((F.expr(_differing("x", "y")) / F.expr("x.n + y.n")).alias("apart"), "leader")).alias("l")
+        first = stored(allowed.groupBy(F.col("x.entity").alias("a")).agg(nearest).select("a", F.col("l.leader").alias("b")), "stars")
+        links = verified(first) if links is None else links.unionByName(verified(first))
+        found = _small(components(links))
 
     # tiles again, for pairs whose components still differ
-    labelled = entries.join(found.withColumnRenamed("node", "entity"), "entity", "left").withColumn("component", F.coalesce("component", "entity"))
-    labelled = stored(labelled, "labelled")
-    mixed = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    open_tiles = stored(labelled.join(mixed, "token", "left_semi").join(signatures.select("entity", "n", "bits"), "entity"), "tiles")
+    rest = stored(labelled(found), "labelled")
+    mixed = rest.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
+    short = signatures.select("entity", "n", F.expr(_shortened("bits", TILE_WORDS)).alias("bits"))
+    open_tiles = stored(rest.join(_small(stored(mixed, "mixed")), "token", "left_semi").join(short, "entity"), "tiles")
     lower = open_tiles.withColumn("tile", F.col("band")).alias("x")
     upper = open_tiles.withColumn("tile", F.explode(F.array(F.col("band"), F.col("band") - 1))).alias("y")
-    ordered = "x.component <> y.component and (x.band < y.band or x.entity < y.entity)"
+    ordered = "x.component <> y.component and (x.band < y.band or x.entity < y.entity) and if(x.n <= y.n, x.first, y.first)"
     pairs = lower.join(upper, F.expr(f"x.token = y.token and x.tile = y.tile and {ordered} and {_near('x', 'y', percent)}"))
-    more = stored(verified(pairs.select(F.col("x.entity").alias("a"), F.col("y.entity").alias("b")).distinct()), "links")
-    found = components(links.unionByName(more))
+    pairs = pairs.select(F.col("x.entity").alias("a"), F.col("y.entity").alias("b")).distinct()
+    pairs = pairs.join(x, F.col("x.entity") == F.col("a")).join(y, F.col("y.entity") == F.col("b")).where(_near("x", "y", percent))
+    found = _small(components(links.unionByName(verified(stored(pairs.select("a", "b"), "pairs")))))
 
     labels = sets.join(found.withColumnRenamed("node", "entity"), "entity", "left").select("doc_id", "n", F.coalesce("component", "entity").alias("component"))
-    least = labels.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
+    least = _small(stored(labels.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least")), "least"))
     alone = F.col("doc_id").isNull() | (F.col("n") == 0)
     return labels.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
