@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.bytetext import LOWER, NOT_SPACE, SpanHash, slices
-from ledgerloom.llm.scratch import fresh, stored
+from ledgerloom.llm.scratch import batches_of, fresh, stored
 
 SEGMENTS = 64
 
@@ -172,9 +172,10 @@ def deduplicated(documents: DataFrame, *, least: int = 10, size: int = 27, out:
     spark = documents.sparkSession
     out = fresh(documents.columns, out)
     known = documents.where(F.col("doc_id").isNotNull())
-    held = spark.sparkContext.broadcast(twice_seen(known, size, least))
-    lines = known.select("doc_id", F.explode(_suspects(held, size, least)(F.col("text"))).alias("key"))
-    lines = stored(lines, "suspects")
+    with batches_of(spark, 1000):
+        held = spark.sparkContext.broadcast(twice_seen(known, size, least))
+        lines = known.select("doc_id", F.explode(_suspects(held, size, least)(F.col("text"))).alias("key"))
+        lines = stored(lines, "suspects")
     first = lines.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first")
     first = stored(first, "repeated")  # so that both sides of the join are dealt anew, and a line of very many documents can be split
     drops = lines.join(first, "key").where(F.col("doc_id") > F.col("first")).groupBy("doc_id").agg(F.collect_set("key").alias("drop"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.bytetext import SpanHash, slices
-from ledgerloom.llm.scratch import stored
+from ledgerloom.llm.scratch import batches_of, stored
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, *range(9, 14), *range(28, 32)]] = True
@@ -36,10 +37,11 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
         self.fast = self._byte_pairs(path)
+        if self.fast is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(path)
 
     def _byte_pairs(self, path: str):
         """The same byte-pair merges run by tiktoken if the file's vocabulary allows it, else None."""
@@ -107,14 +109,20 @@ class Encoder:
         return np.concatenate(parts), place, counts
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One a worker: tasks that follow each other share it."""
+    return Encoder(path)
+
+
 def _cut(capacity: int, path: str, separator: int):
     @F.arrow_udf("array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint,part:int,rank:bigint>>")
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder, task = Encoder(path), TaskContext.get()
+        encoder, task = _encoder(path), TaskContext.get()
         seen = np.zeros(capacity + 1, np.int64)
         for texts in batches:
             counts, columns = [], [[] for _ in range(6)]
-            for _, _, data, offsets in slices(texts, 4 << 20):
+            for _, _, data, offsets in slices(texts, 2 << 20):
                 for ids in encoder.rows(data, offsets):
                     ids = np.append(ids, np.uint32(separator)).astype("<u4")
                     first = len(ids) % capacity or capacity
@@ -213,7 +221,8 @@ def packed(documents: DataFrame, tokenizer: str, *, capacity: int = 2048, separa
     change when a lost task runs again.
     """
     pieces = documents.select("doc_id", F.explode(_cut(capacity, tokenizer, separator)(F.col("text"))).alias("p")).select("doc_id", "p.*")
-    pieces = stored(pieces, "pieces")
+    with batches_of(documents.sparkSession, 1000):
+        pieces = stored(pieces, "pieces")
     dealt = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(_by_length()) - F.col("n")
     starts = stored(dealt.select("length", "part", "n", before.alias("before")), "ranks")  # at most `capacity` rows a task
