@@ -18,7 +18,7 @@ EXCHANGES = ["TO", "V", "NE", "CN", "AQ", "L", "AX", "HK"]
 #: Account types and other words for them.
 ACCOUNT_WORDS = {
     "NON_REGISTERED": "NON_REGISTERED", "NONREG": "NON_REGISTERED", "NREG": "NON_REGISTERED", "PERSONAL": "NON_REGISTERED", "CASH": "NON_REGISTERED", "TAXABLE": "NON_REGISTERED",
-    "NONREGISTERED": "NON_REGISTERED", "MARGIN": "MARGIN", "CORPORATE": "CORPORATE", "TFSA": "TFSA", "RRSP": "RRSP", "RRIF": "RRIF", "RESP": "RESP", "FHSA": "FHSA", "LIRA": "LIRA",
+    "NONREGISTERED": "NON_REGISTERED", "NON-REGISTERED": "NON_REGISTERED", "NON-REG": "NON_REGISTERED", "MARGIN": "MARGIN", "CORPORATE": "CORPORATE", "TFSA": "TFSA", "RRSP": "RRSP", "RRIF": "RRIF", "RESP": "RESP", "FHSA": "FHSA", "LIRA": "LIRA",
 }
 TAXABLE = ["NON_REGISTERED", "MARGIN", "CORPORATE"]
 #: The sign that an amount and the units of an action must have.
