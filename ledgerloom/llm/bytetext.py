@@ -7,6 +7,7 @@ never the Arrow batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,6 +61,14 @@ class SpanHash:
         return mix((self.sums[end] - self.sums[begin]) * self.down[begin])
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system: workers outlive their tasks, beside the JVM in one memory limit."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets of the rows in them); nulls are empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -77,6 +86,8 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int,
         high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + most, "right")) - 1)
         yield low, high, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
         low = high
+    if len(data) > most:
+        _give_back()
 
 
 def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.bytetext import ALNUM, grams, slices, word_hashes
-from ledgerloom.llm.scratch import fresh
+from ledgerloom.llm.scratch import batches_of, fresh, stored
 
 FOUND = "struct<n_words:bigint,n_hit:bigint,item_ids:array<string>,spans:array<struct<first:int,last:int>>>"
 
@@ -226,7 +226,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, window: int = 1
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without a hit word, with their own columns only."""
+    """The documents without a hit word, with their own columns only; written to the shared folder."""
     flagged = contamination(documents, benchmark, **options)
     mark = flagged.columns[-1]
-    return flagged.where(F.col(f"`{mark}`.n_hit") == 0).select(*[F.col(f"`{c}`") for c in documents.columns])
+    with batches_of(documents.sparkSession, 1000):
+        return stored(flagged.where(F.col(f"`{mark}`.n_hit") == 0).select(*[F.col(f"`{c}`") for c in documents.columns]), "clean")

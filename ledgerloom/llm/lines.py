@@ -187,8 +187,9 @@ def deduplicated(documents: DataFrame, *, least: int = 10, size: int = 27, out:
 
 
 def without_repeats(documents: DataFrame, **options) -> DataFrame:
-    """documents, same columns, with the repeated lines gone from text."""
+    """documents, same columns, with the repeated lines gone from text; written to the shared folder."""
     done = deduplicated(documents, **options)
     struct = done.columns[-1]
     own = [F.col(f"`{struct}`.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns]
-    return done.select(*own)
+    with batches_of(documents.sparkSession, 1000):
+        return stored(done.select(*own), "deduplicated")

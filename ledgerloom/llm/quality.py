@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.bytetext import NOT_SPACE, SpanHash, mix, slices, spans
-from ledgerloom.llm.scratch import fresh
+from ledgerloom.llm.scratch import batches_of, fresh, stored
 
 NGRAMS = (3, 4)
 BUCKET_BITS = 18
@@ -141,6 +141,7 @@ def scored(documents: DataFrame, model: Model, *, out: str = "quality_score") ->
 
 
 def good(documents: DataFrame, labels: DataFrame, *, least: float = 0.3, **options) -> DataFrame:
-    """The documents that score at least `least`, with their own columns."""
+    """The documents that score at least `least`, with their own columns; written to the shared folder."""
     done = scored(documents, learn(documents, labels, **options))
-    return done.where(F.col(f"`{done.columns[-1]}`") >= least).select(*[F.col(f"`{c}`") for c in documents.columns])
+    with batches_of(documents.sparkSession, 1000):
+        return stored(done.where(F.col(f"`{done.columns[-1]}`") >= least).select(*[F.col(f"`{c}`") for c in documents.columns]), "good")
