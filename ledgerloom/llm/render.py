@@ -19,7 +19,12 @@ from ledgerloom.llm.scratch import fresh
 
 #: Elements of HTML by their part in layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style template noscript title iframe object audio video canvas svg math datalist".split())
+HIDDEN = frozenset("script style template noscript title iframe object audio video canvas datalist".split())
+#: What drawings and formulas hold without showing it, where HTML begins again in them, and the tags of HTML that end them.
+UNDRAWN = {"svg": frozenset("defs symbol desc metadata clippath mask pattern marker".split()), "math": frozenset("annotation annotation-xml".split())}
+UNDRAWN["text"] = UNDRAWN["svg"]
+POINTS = frozenset("foreignobject mi mo mn ms mtext".split())
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul caption h1 h2 h3 h4 h5 h6".split())
 APART = frozenset("p blockquote pre ul ol dl table h1 h2 h3 h4 h5 h6 figure article section".split())
@@ -36,33 +41,59 @@ IMPLIED = {
     "tbody": (frozenset(["thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"]), frozenset(["table"])),
     "option": (frozenset(["option"]), frozenset(["select", "datalist"])),
     "optgroup": (frozenset(["option", "optgroup"]), frozenset(["select"])),
-    "body": (frozenset(["head"]), frozenset()),
 }
 IMPLIED["thead"] = IMPLIED["tfoot"] = IMPLIED["tbody"]
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|$)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-UNSEEN = re.compile(r"(?:^|\s)hidden(?=[\s/=]|$)|\bstyle\s*=\s*(?:\"[^\"]*|'[^']*)(?:display\s*:\s*none|visibility\s*:\s*hidden)|\btype\s*=\s*[\"']?hidden|\baria-hidden\s*=\s*[\"']?true", re.I)
-ATTRIBUTE = r"\b{}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))"
-ALT, START = (re.compile(ATTRIBUTE.format(x), re.I) for x in ("alt", "start"))
+ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|$)|'([^']*+)(?:'|$)|([^\s>\"'][^\s>]*+))?)?")
+TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|$)|<([a-zA-Z][^\s/>]*)((?:[\s/]++|{re.sub(r'\((?=[^?])', '(?:', ATTRIBUTE.pattern)})*+)(?:>|$)", re.S)
+DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
 WHITE = re.compile(r"[ \t\n\r\f\v]+")
 MOST_DEPTH = 400
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children")
+    """An element: `unseen` ones show nothing; text is not shown where `quiet`; `inside` is the drawing or formula it is a part of."""
 
-    def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.attributes, self.children = tag, attributes, []
+    __slots__ = ("tag", "attributes", "children", "unseen", "quiet", "inside")
+
+    def __init__(self, tag: str, attributes: str = "", parent: Node | None = None):
+        self.tag, self.attributes, self.children = tag, _parsed(attributes), []
+        within, self.quiet = (parent.inside, parent.quiet) if parent else ("", False)
+        style = _declared(self.attributes.get("style", ""))
+        self.unseen = tag in HIDDEN or "hidden" in self.attributes or style.get("display") == "none" or tag in UNDRAWN.get(within, ())
+        if "visibility" in style:
+            self.quiet = style["visibility"] in ("hidden", "collapse")
+        self.inside = tag if tag in ("svg", "math") or tag == "text" and within else "" if tag in POINTS else within
+
+
+def _parsed(attributes: str) -> dict[str, str]:
+    """Names and values; of equal names the first counts, and a quote that opens no value is a character like others."""
+    found: dict[str, str] = {}
+    for name, *values in ATTRIBUTE.findall(attributes):
+        found.setdefault(name.lower(), html.unescape("".join(values)))
+    return found
+
+
+def _declared(style: str) -> dict[str, str]:
+    """display and visibility of a style: the last of each, but important ones before others."""
+    found: dict[str, tuple[bool, str]] = {}
+    for name, value, important in DECLARED.findall(re.sub(r"/\*.*?(?:\*/|$)", " ", style, flags=re.S)) if style else ():
+        if bool(important) >= found.get(name.lower(), (False, ""))[0]:
+            found[name.lower()] = bool(important), value.lower()
+    return {k: v for k, (_, v) in found.items()}
 
 
 def tree(page: str) -> Node:
-    """The element tree; end tags without a start are passed over, open elements end with the page."""
+    """The element tree; end tags without a start are passed over, open elements end with the page.
+
+    The start and end of a head are passed over too: what belongs there is hidden by itself, and all else ends it.
+    """
     root = Node("html")
     path = [root]
     at = 0
 
     def text(raw: str) -> None:
-        if raw:
+        if raw and not path[-1].quiet and path[-1].inside != "svg":
             path[-1].children.append(html.unescape(raw) if "&" in raw else raw)
 
     while m := TOKEN.search(page, at):
@@ -78,8 +109,10 @@ def tree(page: str) -> Node:
                     break
         elif name := m[2]:
             name = name.lower()
-            if name == "html":
+            if name in ("html", "head"):
                 continue
+            while path[-1].inside and (name in BREAKOUT or name == "font" and _parsed(m[3]).keys() & {"color", "face", "size"}):
+                path.pop()
             ends, border = IMPLIED.get(name, (frozenset(), frozenset()))
             if ends:
                 for i in range(len(path) - 1, 0, -1):
@@ -94,12 +127,12 @@ def tree(page: str) -> Node:
                         break
                     if path[i].tag in BLOCK:
                         break
-            node = Node(name, m[3])
+            node = Node(name, m[3], path[-1])
             path[-1].children.append(node)
-            if name in RAW:
+            if name in RAW and not (path[-1].inside and m[3].endswith("/")):
                 end = re.compile(rf"</{name}[\s/>]", re.I).search(page, at)
                 stop = end.start() if end else len(page)
-                if name in ("textarea", "xmp"):
+                if name in ("textarea", "xmp") and not node.quiet:
                     node.children.append(html.unescape(page[at:stop]))
                 at = stop
                 if end:
@@ -108,7 +141,8 @@ def tree(page: str) -> Node:
             elif name not in VOID and not m[3].endswith("/") and len(path) < MOST_DEPTH:
                 path.append(node)
         elif m[0].startswith("<![CDATA["):
-            path[-1].children.append(m[0][9:].removesuffix("]]>"))
+            if not path[-1].quiet and path[-1].inside != "svg":
+                path[-1].children.append(m[0][9:].removesuffix("]]>"))
     text(page[at:])
     return root
 
@@ -161,27 +195,18 @@ class Writer:
         return self.lines
 
 
-def _seen(node: Node) -> bool:
-    return node.tag not in HIDDEN and not (node.attributes and UNSEEN.search(node.attributes))
-
-
-def _attribute(pattern: re.Pattern, node: Node) -> str:
-    m = pattern.search(node.attributes) if node.attributes else None
-    return html.unescape(next((x for x in m.groups() if x is not None), "")) if m else ""
-
-
 def render(node: Node, out: Writer) -> None:
     for child in node.children:
         if isinstance(child, str):
             out.text(child)
             continue
         tag = child.tag
-        if not _seen(child):
+        if child.unseen:
             continue
         if tag == "br":
             out.newline()
         elif tag == "img":
-            if alt := _attribute(ALT, child):
+            if (alt := child.attributes.get("alt", "")) and not child.quiet:
                 out.text(f" {alt} ")
         elif tag == "hr":
             out.end(2)
@@ -197,13 +222,13 @@ def render(node: Node, out: Writer) -> None:
             out.end(2)
         elif tag in ("ul", "ol", "menu", "dir"):
             out.end(1 if node.tag == "li" else 2)
-            number = _attribute(START, child) if tag == "ol" else ""
+            number = child.attributes.get("start", "").strip() if tag == "ol" else ""
             number = int(number) if re.fullmatch(r"-?[0-9]{1,9}", number) else 1
             for item in child.children:
                 if isinstance(item, str) or item.tag != "li":
                     render(_wrapped(item), out)
                     continue
-                if not _seen(item):
+                if item.unseen:
                     continue
                 inner = Writer()
                 render(item, inner)
@@ -212,7 +237,7 @@ def render(node: Node, out: Writer) -> None:
                 for i, line in enumerate(inner.done()):
                     out.literal((mark if i == 0 else " " * len(mark)) + line if line else "")
             out.end(1 if node.tag == "li" else 2)
-        elif tag in BLOCK:
+        elif tag in BLOCK or tag == "foreignobject" or child.inside == tag == "text":
             gaps = 2 if tag in APART else 1
             out.end(gaps)
             render(child, out)
@@ -228,7 +253,7 @@ def _wrapped(child) -> Node:
 
 
 def _plain(node: Node) -> str:
-    return "".join(c if isinstance(c, str) else ("\n" if c.tag == "br" else _plain(c) if _seen(c) else "") for c in node.children)
+    return "".join(c if isinstance(c, str) else ("\n" if c.tag == "br" else "" if c.unseen else _plain(c)) for c in node.children)
 
 
 def _table(table: Node) -> list[str]:
@@ -239,7 +264,7 @@ def _table(table: Node) -> list[str]:
     def cells(row: Node) -> None:
         own = []
         for cell in row.children:
-            if isinstance(cell, str) or _seen(cell):
+            if isinstance(cell, str) or not cell.unseen:
                 inner = Writer()
                 render(cell if not isinstance(cell, str) and cell.tag in ("td", "th") else _wrapped(cell), inner)
                 lines = inner.done()
@@ -254,7 +279,7 @@ def _table(table: Node) -> list[str]:
                 inner = Writer()
                 render(_wrapped(child), inner)
                 before.extend(inner.done())
-            elif _seen(child):
+            elif not child.unseen:
                 cells(child) if child.tag == "tr" else walk(child)
 
     walk(table)

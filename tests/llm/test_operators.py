@@ -215,3 +215,25 @@ def test_archive_has_leading_dictionary():
 )
 def test_rendering(page, text):
     assert render.page_text(page) == text
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<p title="The hidden truth">a<p class="nav hidden md:block">b<p style="overflow: hidden !important">c<p data-type="hidden">d', "a\n\nb\n\nc\n\nd"),
+        ('<body class="hidden"><span aria-hidden=true>x</span> y', "x y"),
+        ("<p hidden>1<p HIDDEN=''>2<p style=display:none>3<p style='color:red; display : none!important;display:block'>4<p style='display:none;display:block'>5", "5"),
+        ("<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</div>", "yes"),
+        ("<head><title>t</title><p>text", "text"),
+        ("<head><meta charset=utf-8><title>t</title>bare text", "bare text"),
+        ("<head><noscript><img alt=no></noscript><script>1</script></head><body>a", "a"),
+        ('<p class=a">one</p><p class="b">two</p>', "one\n\ntwo"),
+        ("<a href='x'' title=it's>one</a> <a title=\"1 > 0\" href=a=\"b>two</a>", "one two"),
+        ("x <math><semantics><mrow><mi>a</mi><mo>=</mo><mn>1</mn></mrow><annotation>TeX</annotation></semantics></math>", "x a=1"),
+        ("<svg>raw<title/><style/><g><text>Hello <tspan>you</tspan></text><text>World</text></g><desc>no</desc></svg>after", "Hello you\nWorld\nafter"),
+        ("<svg><path d='M0'><foreignObject><p>in</foreignObject></svg><svg><g><div>out</div>too", "in\n\nout\ntoo"),
+        ("<img data-alt=no alt='an > image'>", "an > image"),
+    ],
+)
+def test_rendering_keeps_what_is_seen(page, text):
+    assert render.page_text(page) == text
