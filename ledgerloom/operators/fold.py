@@ -42,15 +42,20 @@ def step(state: list, action: str, units, amount, zero) -> bool:
     return over
 
 
-def cost_base(rows: DataFrame, *, exact: bool = False) -> DataFrame:
+def cost_base(rows: DataFrame, *, exact: bool = False, account: bool = False) -> DataFrame:
     """ticker, txn_id, held, cost, gain, oversold: the state after every row.
 
+    With `account` the fold is by account and ticker, and two more columns are
+    account and made, the gain of the row alone.
+
     rows: ticker, txn_date, txn_id, action, units, amount. With `exact` all
     figures are decimals of 28 digits, as text; else doubles. Rows of a day are
     folded in the order of RANKS, then by txn_id. Null units and amounts count
     as zero, and a null ticker is a ticker of its own.
     """
     kind = "string" if exact else "double"
+    keys = ["ticker", "account"] if account else ["ticker"]
+    names = ["ticker", "txn_id", "held", "cost", "gain", "oversold", *(["account", "made"] if account else [])]
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         zero = Decimal(0) if exact else 0.0
@@ -58,13 +63,17 @@ def cost_base(rows: DataFrame, *, exact: bool = False) -> DataFrame:
         now, state, begun = None, [zero] * 3, False
         for batch in batches:
             out = []
-            for ticker, txn, action, units, amount in zip(batch["ticker"], batch["txn_id"], batch["action"], batch["units"], batch["amount"], strict=True):
-                if not begun or ticker != now:
-                    now, state, begun = ticker, [zero] * 3, True
+            for *key, txn, action, units, amount in zip(*[batch[k] for k in keys], batch["txn_id"], batch["action"], batch["units"], batch["amount"], strict=True):
+                if not begun or key != now:
+                    now, state, begun = key, [zero] * 3, True
+                gain, state[2] = state[2], zero
                 over = step(state, action, number(units), number(amount), zero)
-                out.append((ticker, txn, *(map(str, state) if exact else state), over))
-            yield pd.DataFrame(out, columns=["ticker", "txn_id", "held", "cost", "gain", "oversold"])
+                made, state[2] = state[2], gain + state[2]
+                more = (key[1], str(made) if exact else made) if account else ()
+                out.append((key[0], txn, *(map(str, state) if exact else state), over, *more))
+            yield pd.DataFrame(out, columns=names)
 
-    dealt = rows.withColumn("rank", intraday(F.col("action"))).repartition("ticker").sortWithinPartitions("ticker", "txn_date", "rank", "txn_id")
-    plain = dealt.select("ticker", "txn_id", "action", F.col("units").cast(kind).alias("units"), F.col("amount").cast(kind).alias("amount"))
-    return plain.mapInPandas(fold, f"ticker string, txn_id bigint, held {kind}, cost {kind}, gain {kind}, oversold boolean")
+    dealt = rows.withColumn("rank", intraday(F.col("action"))).repartition(*keys).sortWithinPartitions(*keys, "txn_date", "rank", "txn_id")
+    plain = dealt.select(*keys, "txn_id", "action", F.col("units").cast(kind).alias("units"), F.col("amount").cast(kind).alias("amount"))
+    more = f", account string, made {kind}" if account else ""
+    return plain.mapInPandas(fold, f"ticker string, txn_id bigint, held {kind}, cost {kind}, gain {kind}, oversold boolean{more}")

@@ -151,6 +151,25 @@ _add(
     ", s AS (SELECT txn_id AS statement_id, action, txn_date, ticker, currency, amount + 0.005 AS amount FROM ledger WHERE action = 'DIVIDEND') SELECT statement_id, min(txn_id) AS txn_id FROM s JOIN ledger l USING (action, txn_date, ticker, currency) WHERE abs(CAST(s.amount AS DECIMAL(22,3)) - l.amount) < 0.01 GROUP BY statement_id HAVING count(*) = 1",
     lambda d: matching.matched_once(d.where("action = 'DIVIDEND'").select(F.col("txn_id").alias("statement_id"), "action", "txn_date", "ticker", "currency", (F.col("amount") + F.lit("0.005").cast("decimal(4,3)")).alias("amount")), d),
 )
+_WALK = """, seq AS (SELECT *, row_number() OVER (PARTITION BY account, ticker ORDER BY txn_date, rank, txn_id) AS n, CAST(units AS DOUBLE) AS u, CAST(amount AS DOUBLE) AS a FROM delta),
+walk(account, ticker, n, txn_id, held, cost, made) AS (SELECT DISTINCT account, ticker, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM delta
+  UNION ALL SELECT r.account, r.ticker, r.n, r.txn_id, CASE r.action WHEN 'BUY' THEN s.held + r.u WHEN 'SELL' THEN s.held - r.u ELSE s.held END,
+    CASE r.action WHEN 'BUY' THEN s.cost + r.a WHEN 'SELL' THEN s.cost - CASE WHEN s.held <= 0 OR r.u > s.held THEN s.cost ELSE s.cost * (r.u / s.held) END ELSE s.cost END,
+    CASE WHEN r.action = 'SELL' THEN r.a - CASE WHEN s.held <= 0 OR r.u > s.held THEN s.cost ELSE s.cost * (r.u / s.held) END ELSE 0 END
+  FROM walk s JOIN seq r ON r.account = s.account AND r.ticker = s.ticker AND r.n = s.n + 1)"""
+_add(
+    "dx_SUPERFICIAL_LOSS_SUSPECT",
+    f"{_WALK} SELECT s.txn_id, s.ticker, s.account FROM ledger s JOIN walk w USING (txn_id) WHERE w.made < 0 AND s.action = 'SELL' AND s.acct_type IN ('NON_REGISTERED', 'MARGIN', 'CORPORATE') AND EXISTS (SELECT 1 FROM ledger b WHERE b.action = 'BUY' AND b.ticker = s.ticker AND abs(b.txn_date - s.txn_date) <= 30)",
+    lambda d: matching.superficial_losses(_at_loss(d.where(F.col("acct_type").isin(S.TAXABLE))), d.where("action = 'BUY'")).select("txn_id", "ticker", "account"),
+)
+
+
+def _at_loss(d: DataFrame) -> DataFrame:
+    """The sales whose gain in the fold of their own account is below zero."""
+    made = fold.cost_base(d, account=True).where("made < 0").select("txn_id")
+    return d.where("action = 'SELL'").join(made, "txn_id", "left_semi")
+
+
 _SPLITS = ", s AS (SELECT DISTINCT ticker, txn_date AS day, account FROM ledger WHERE action = 'DIVIDEND' AND txn_date >= DATE '1996-01-01')"
 _add(
     "split_coverage",

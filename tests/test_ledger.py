@@ -88,3 +88,15 @@ def test_queries_match_sql(spark, duck, name):
     want = [tuple(r[names.index(c)] for c in columns) for r in held.fetchall()]
     key = lambda r: tuple(map(repr, r))
     assert sorted(map(key, map(tuple, got.select(columns).collect()))) == sorted(map(key, want))
+
+
+def test_profitable_sales_are_no_superficial_losses(spark, duck):
+    every, losses = ({r.txn_id for r in plans.queries()[n](spark, SF).collect()} for n in ("superficial_loss", "dx_SUPERFICIAL_LOSS_SUSPECT"))
+    assert losses and losses < every
+    by = {}
+    ledger = plans.source.ledger(spark, SF).withColumn("rank", fold.intraday(F.col("action"))).orderBy("txn_date", "rank", "txn_id").collect()
+    for r in ledger:
+        held = by.setdefault((r.account, r.ticker), [Decimal(0), Decimal(0), Decimal(0)])
+        held[2] = Decimal(0)
+        fold.step(held, r.action, r.units, r.amount, Decimal(0))
+        assert r.txn_id not in every or (r.txn_id in losses) == (held[2] < 0)
