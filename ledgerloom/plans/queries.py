@@ -146,6 +146,31 @@ _hashed = lambda d: d.select("txn_id", "action", S.essentials_hash([F.col(c) for
 _add("hash_key", f"SELECT txn_id, action, {_KEY} AS key FROM ledger", _hashed)
 _add("dedupe_db", f", h AS (SELECT txn_id, {_KEY} AS key FROM ledger) SELECT txn_id FROM h WHERE txn_id % 2 = 0 AND key NOT IN (SELECT key FROM h WHERE txn_id % 2 = 1)", lambda d: matching.unmatched(_hashed(d).where("txn_id % 2 = 0"), _hashed(d).where("txn_id % 2 = 1"), ["key"]).select("txn_id"))
 _add("missing_ids", "SELECT x AS txn_id FROM (SELECT unnest(range(1, 2000)) AS x) WHERE x NOT IN (SELECT txn_id FROM ledger)", lambda d: matching.unmatched(d.sparkSession.range(1, 2000).withColumnRenamed("id", "txn_id"), d, ["txn_id"]))
+_IMPORTED = "CAST(CASE WHEN txn_id % 10 = 3 THEN amount + 0.01 ELSE amount END AS DECIMAL(20,2))"
+_add(
+    "dedupe_db_import",
+    f", h AS (SELECT {_KEY} AS key FROM ledger), i AS (SELECT * REPLACE ({_IMPORTED} AS amount) FROM ledger) SELECT txn_id FROM i WHERE {_KEY} NOT IN (SELECT key FROM h)",
+    lambda d: matching.unmatched(_hashed(_imported(d)), _hashed(d), ["key"]).select("txn_id"),
+)
+_with(
+    "missing_ids_all",
+    "SELECT x AS txn_id FROM (SELECT DISTINCT CAST(o_orderkey * 10 + n AS BIGINT) AS x FROM orders, range(1, 8) r(n)) WHERE x NOT IN (SELECT txn_id FROM ledger)",
+    lambda s, d: matching.unmatched(_requested(s, d), source.ledger(s, d), ["txn_id"]),
+)
+
+
+def _imported(d: DataFrame) -> DataFrame:
+    """The whole ledger as an import brings it again; every third line of an order has another amount."""
+    return d.withColumn("amount", F.when(F.col("txn_id") % 10 == 3, F.col("amount") + F.lit("0.01").cast("decimal(3,2)")).otherwise(F.col("amount")).cast("decimal(20,2)"))
+
+
+def _requested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of lines 1 to 7 of all orders."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey").distinct()
+    lines = orders.withColumn("line", F.explode(F.sequence(F.lit(1), F.lit(7))))
+    return lines.select((F.col("o_orderkey") * 10 + F.col("line")).cast("bigint").alias("txn_id"))
+
+
 _add(
     "stmt_match",
     ", s AS (SELECT txn_id AS statement_id, action, txn_date, ticker, currency, amount + 0.005 AS amount FROM ledger WHERE action = 'DIVIDEND') SELECT statement_id, min(txn_id) AS txn_id FROM s JOIN ledger l USING (action, txn_date, ticker, currency) WHERE abs(CAST(s.amount AS DECIMAL(22,3)) - l.amount) < 0.01 GROUP BY statement_id HAVING count(*) = 1",
@@ -220,6 +245,8 @@ _add(
 )
 _add("sort_default", f"{_IDS} ORDER BY txn_date DESC, txn_id DESC LIMIT 100", lambda d: d.orderBy(F.desc("txn_date"), F.desc("txn_id")).limit(100).select(IDS))
 _add("sort_multi", f"{_IDS} ORDER BY account, amount DESC, txn_id LIMIT 100", lambda d: d.orderBy("account", F.desc("amount"), "txn_id").limit(100).select(IDS))
+_add("sort_default_all", f"{_IDS} ORDER BY txn_date DESC, txn_id DESC", lambda d: d.orderBy(F.desc("txn_date"), F.desc("txn_id")).select(IDS))
+_add("sort_multi_all", f"{_IDS} ORDER BY account, amount DESC, txn_date DESC, txn_id DESC", lambda d: d.orderBy("account", F.desc("amount"), F.desc("txn_date"), F.desc("txn_id")).select(IDS))
 _add("limit_head", f"{_IDS} ORDER BY txn_date, txn_id LIMIT 10", lambda d: d.orderBy("txn_date", "txn_id").limit(10).select(IDS))
 _add("limit_tail", f"{_IDS} ORDER BY txn_date DESC, txn_id DESC LIMIT 10", lambda d: d.orderBy(F.desc("txn_date"), F.desc("txn_id")).limit(10).select(IDS))
 _PARTS = "SELECT p_partkey, "

@@ -100,3 +100,19 @@ def test_profitable_sales_are_no_superficial_losses(spark, duck):
         held[2] = Decimal(0)
         fold.step(held, r.action, r.units, r.amount, Decimal(0))
         assert r.txn_id not in every or (r.txn_id in losses) == (held[2] < 0)
+
+
+@pytest.mark.parametrize("name", ["sort_default_all", "sort_multi_all"])
+def test_sorts_return_the_whole_ledger_in_order(spark, duck, name):
+    got = [tuple(r) for r in plans.queries()[name](spark, SF).collect()]
+    assert len(got) == plans.source.ledger(spark, SF).count() > 100 and got == duck.execute(plans.oracle_sql()[name]).fetchall()
+
+
+def test_dedupe_and_missing_ids_ask_for_whole_tables(spark):
+    ids = {r.txn_id for r in plans.source.ledger(spark, SF).select("txn_id").collect()}
+    new = {r.txn_id for r in plans.queries()["dedupe_db_import"](spark, SF).collect()}
+    assert new and new <= {i for i in ids if i % 10 == 3} and {i % 20 // 10 for i in new} == {0, 1}
+    missing = [r.txn_id for r in plans.queries()["missing_ids_all"](spark, SF).collect()]
+    assert len(missing) == len(set(missing)) and max(missing) > 1999 and not ids & set(missing)
+    orders = spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey").distinct().collect()
+    assert ids | set(missing) >= {r[0] * 10 + n for r in orders for n in range(1, 8)}
