@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.bytetext import NOT_SPACE, by_row, distinct_shingles, mix, slices, word_hashes
 from ledgerloom.llm.graph import components
-from ledgerloom.llm.scratch import batches_of, stored
+from ledgerloom.llm.scratch import batches_of, fresh, stored
 
 COUNT_BITS, SEGMENTS = 20, 64
 ROUNDS = 2
@@ -71,6 +71,22 @@ def _sets(k: int):
     return sets
 
 
+def _entities(k: int):
+    """The size of a text's set and its hash."""
+
+    @F.arrow_udf("struct<n:bigint,entity:bigint>")
+    def entities(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            n, entity = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for _, _, data, offsets in slices(texts):
+                values, borders = distinct_shingles(*word_hashes(data, offsets, NOT_SPACE), k)
+                n.append(np.diff(borders))
+                entity.append(_entity(values, borders))
+            yield pa.StructArray.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (n, entity)], ["n", "entity"])
+
+    return entities
+
+
 def _summed(frame: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros((1 << COUNT_BITS) // SEGMENTS, np.int64)
     for packed in frame["counts"]:
@@ -226,10 +242,14 @@ def near_components(documents: DataFrame, *, k: int = 5, percent: int = 80) -> D
     tables of hashes and ids among those of at most MOST_BROADCAST rows.
     """
     with batches_of(documents.sparkSession, 1000):
-        return _components(documents, k, percent)
+        labels = _components(documents, k, percent)
+        least = _small(stored(labels.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least")), "least"))
+    alone = F.col("doc_id").isNull() | (F.col("n") == 0)
+    return labels.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def _components(documents: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, n, entity, component: one row per row of documents; a component is named by one of its sets."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = stored(docs.mapInArrow(_sets(k), "doc_id bigint, n bigint, entity bigint, segment int, counts binary"), "sets")
@@ -288,17 +308,29 @@ def _components(documents: DataFrame, k: int, percent: int) -> DataFrame:
     pairs = pairs.join(x, F.col("x.entity") == F.col("a")).join(y, F.col("y.entity") == F.col("b")).where(_near("x", "y", percent))
     found = _small(components(links.unionByName(verified(stored(pairs.select("a", "b"), "pairs")))))
 
-    labels = sets.join(found.withColumnRenamed("node", "entity"), "entity", "left").select("doc_id", "n", F.coalesce("component", "entity").alias("component"))
-    least = _small(stored(labels.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least")), "least"))
-    alone = F.col("doc_id").isNull() | (F.col("n") == 0)
-    return labels.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return sets.join(found.withColumnRenamed("node", "entity"), "entity", "left").select("doc_id", "n", "entity", F.coalesce("component", "entity").alias("component"))
 
 
-def one_of_each(documents: DataFrame, **options) -> DataFrame:
+def one_of_each(documents: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     """documents with one row of each component: a row of its smallest doc_id.
 
-    Rows without words, and rows with a null doc_id, stay.
+    Rows that repeat a doc_id are documents each: the set of words of each of
+    them decides. Rows without words, and rows with a null doc_id, stay.
     """
-    found = near_components(documents, **options)
-    gone = found.where("doc_id is not null and n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
+    own = [F.col(f"`{c}`") for c in documents.columns]
+    with batches_of(documents.sparkSession, 1000):
+        labels = stored(_components(documents, k, percent).where("doc_id is not null"), "labels")
+        worded = labels.where("n > 0")
+        first = _small(stored(worded.groupBy("component").agg(F.min(F.struct("doc_id", "entity")).alias("first")), "first"))
+        repeated = _small(stored(labels.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "repeated"))
+        gone = worded.join(first, "component").where(F.struct("doc_id", "entity") != F.col("first")).select("doc_id")
+        if repeated.isEmpty():
+            return documents.join(gone.distinct(), "doc_id", "left_anti").select(*own)
+        rest = documents.join(gone.unionByName(repeated).distinct(), "doc_id", "left_anti").select(*own)
+        mark = fresh(documents.columns, "mark")
+        again = documents.join(repeated, "doc_id", "left_semi").select(*own, _entities(k)(F.col("text").cast("string")).alias(mark))
+        again = stored(again, "again")
+    # of equal sets under one doc_id, one row by hash; gathered before the shuffle, so that a hot one costs a row a task
+    kept = again.where(f"{mark}.n > 0").join(first.select("first.doc_id", F.col("first.entity").alias("of")), "doc_id").where(f"{mark}.entity = of")
+    kept = kept.groupBy("doc_id", "of").agg(F.min_by(F.struct(*own), F.xxhash64(*own)).alias("row")).select("row.*")
+    return rest.unionByName(again.where(f"{mark}.n = 0").select(*own)).unionByName(kept)

@@ -2,15 +2,19 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from ledgerloom.llm import decontaminate, jaccard, language, lines, neighbours, packing, quality, render, sharding, warc
+from ledgerloom.llm.bytetext import slices
 from ledgerloom.llm.queries import oracle_sql, queries
 
 DOCS = "doc_id bigint, text string"
@@ -237,3 +241,77 @@ def test_rendering(page, text):
 )
 def test_rendering_keeps_what_is_seen(page, text):
     assert render.page_text(page) == text
+
+
+def test_one_row_of_each_component_with_repeated_ids(spark):
+    a, near, other = words(40, 31), words(40, 31), words(30, 32)
+    near[39] = "x"
+    docs = [(1, " ".join(a)), (1, " ".join(a)), (3, " ".join(near)), (3, " ".join(other)), (4, " ".join(near)), (5, None), (5, ""), (5, " ".join(other)), (None, " ".join(a)), (6, "one"), (6, "two"), (6, "two")]
+    d = spark.createDataFrame([(*x, "s") for x in docs], DOCS + ", mark string")
+    got = jaccard.one_of_each(d)
+    assert got.columns == d.columns
+    want = [(1, " ".join(a)), (3, " ".join(other)), (5, None), (5, ""), (None, " ".join(a)), (6, "one"), (6, "two")]
+    assert sorted(((r[0], r[1]) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def seen_words(text):
+    return re.findall(r"[a-z0-9]+", (text or "").lower())
+
+
+def test_stages_match_brute_force(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    r, item = random.Random(41), words(14, 42)
+    line = lambda: " ".join(f"w{r.randrange(900)}" for _ in range(25))
+    common = "a line that many documents hold"
+    texts = ["\n".join([line(), *([common] if i % 3 == 0 else []), line()]) for i in range(40)]
+    texts += [texts[1].replace("w1", "w2", 1), texts[2], texts[4] + " tail", line() + " " + " ".join(item[2:13]), " ".join(item[:9])]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(5, texts[5]), (5, line()), (7, texts[1]), (None, texts[8]), (None, None), (9, ""), (50, line()), (50, line()), (50, "junk junk junk")]
+    docs += [(100 + i, "junk buy now " * (5 + i)) for i in range(12)]
+    spark.createDataFrame(docs, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 100)) for i in [*range(40), *range(100, 112)]], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    read = lambda d: sorted(((x.doc_id, x.text) for x in d.collect()), key=repr)
+    (_, good), (_, lines_), (_, near), (_, clean), (_, pack) = corpus_pipeline.STAGES
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+    model = quality.learn(now, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    score = lambda t: next(model.scores(data, at)[0] for _, _, data, at in slices(pa.array([t or ""])))
+    now = good(spark, now, str(tmp_path))
+    want = [x for x in docs if score(x[1]) >= 0.3]
+    assert read(now) == sorted(want, key=repr) and 0 < len(want) < len(docs)
+
+    key = lambda x: x.strip(" \t\n\v\f\r").lower()
+    holders = {}
+    for i, t in want:
+        for x in (t or "").split("\n") if i is not None else ():
+            holders.setdefault(key(x), set()).add(i)
+    stays = lambda i, x: i is None or len(key(x)) < 10 or i == min(holders[key(x)])
+    now = lines_(spark, now, str(tmp_path))
+    want = [(i, "\n".join(x for x in (t or "").split("\n") if stays(i, x))) for i, t in want]
+    assert sorted(((i, t or "") for i, t in read(now)), key=repr) == sorted(want, key=repr)
+
+    before = sorted(read(now), key=lambda x: (x[0] is None, x[0] or 0))
+    of = brute_components(list(enumerate(t for _, t in before)))
+    alone = lambda n: before[n][0] is None or not of[n][0]
+    groups = {}
+    for n, (i, _) in enumerate(before):
+        if not alone(n):
+            groups.setdefault(of[n][1], []).append((i, n))
+    now = near(spark, now, str(tmp_path))
+    kept = read(now)
+    assert len(kept) == len(groups) + sum(map(alone, range(len(before)))) < len(before)
+    for members in groups.values():
+        ids, texts_ = {i for i, _ in members}, {before[n][1] for _, n in members}
+        assert [i for i, t in kept if i in ids and t in texts_] == [min(ids)]
+
+    passage = seen_words(" ".join(item))
+    runs = {tuple(passage[p : p + 10]) for p in range(len(passage) - 9)}
+    hit = lambda t: any(tuple(seen_words(t)[p : p + 10]) in runs for p in range(len(seen_words(t)) - 9))
+    now = clean(spark, now, str(tmp_path))
+    want = [x for x in kept if not hit(x[1])]
+    assert read(now) == want and len(want) < len(kept)
+
+    held = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    sizes = sorted(((i or 0), len(held.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in want)
+    assert sorted((x.doc_id or 0, x.length) for x in pack(spark, now, str(tmp_path)).collect()) == sizes
