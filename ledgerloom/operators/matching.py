@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left, bisect_right, insort
+from collections import deque
+from collections.abc import Iterator
+from decimal import Decimal
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,29 +97,116 @@ def split_missing(rows: DataFrame, splits: DataFrame) -> DataFrame:
     return unmatched(holders.select("ticker", "day", "account"), splits, ["ticker", "day", "account"])
 
 
-def paired_transfers(legs: DataFrame, tolerance: float = 1e-9) -> DataFrame:
-    """out_id, in_id: transfer legs of one day with equal units, each used once, greedily by (score, in_id).
-
-    A day's legs are dealt further by their units: legs of different units never pair.
+class _Queues:
+    """Free in legs in queues by name: the least whose name is not a given one is at the top of a heap of the queues' heads."""
+
+    def __init__(self) -> None:
+        self.by: dict = {}
+        self.heads: list = []
+
+    def add(self, txn: int, name) -> None:
+        """Legs come in the order of txn."""
+        if name not in self.by:
+            self.by[name] = deque()
+            heapq.heappush(self.heads, (txn, len(self.by), name))
+        self.by[name].append(txn)
+
+    def own(self, name, used: set) -> int | None:
+        legs = self.by.get(name, ())
+        while legs and legs[0] in used:
+            legs.popleft()
+        return legs[0] if legs else None
+
+    def other(self, name, used: set) -> int | None:
+        aside, found = None, None
+        while self.heads and found is None:
+            txn, turn, of = heapq.heappop(self.heads)
+            now = self.own(of, used)
+            if now is None:
+                continue
+            if now != txn:
+                heapq.heappush(self.heads, (now, turn, of))
+            elif of == name:
+                aside = (txn, turn, of)
+            else:
+                found = txn
+                heapq.heappush(self.heads, (txn, turn, of))
+        if aside:
+            heapq.heappush(self.heads, aside)
+        return found
+
+
+class _Free:
+    """Free in legs of one size."""
+
+    def __init__(self) -> None:
+        self.every, self.tickers, self.accounts = _Queues(), {}, {}
+
+    def add(self, txn: int, ticker, account) -> None:
+        self.every.add(txn, account)
+        self.tickers.setdefault(ticker, _Queues()).add(txn, account)
+        self.accounts.setdefault(account, _Queues()).add(txn, ticker)
+
+    def best(self, position: bool, ticker, account, used: set) -> tuple[int, int] | None:
+        """(score, txn_id): 0 the ticker in another account, 1 another ticker in the account, 2 another account; for cash 0 another account, 1 the account."""
+        if position:
+            found = [self.tickers[ticker].other(account, used) if ticker in self.tickers else None]
+            found += [self.accounts[account].other(ticker, used) if account in self.accounts else None, self.every.other(account, used)]
+        else:
+            found = [self.every.other(account, used), self.every.own(account, used)]
+        return next(((score, txn) for score, txn in enumerate(found) if txn is not None), None)
+
+
+def _greedy(tolerances: dict[str, Decimal]):
+    names = ["out_id", "in_id"]
+
+    def greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, free, sizes, used = None, {}, [], set()
+        for batch in batches:
+            out = []
+            for *key, action, txn, ticker, account, size in batch.itertuples(index=False, name=None):
+                if key != now:
+                    now, free, sizes, used = key, {}, [], set()
+                if action == "TFR_IN":
+                    if size not in free:
+                        free[size] = _Free()
+                        insort(sizes, size)
+                    free[size].add(txn, ticker, account)
+                    continue
+                kind = key[1]
+                low, high = bisect_left(sizes, size - tolerances[kind]), bisect_right(sizes, size + tolerances[kind])
+                found = [x for s in sizes[low:high] if (x := free[s].best(kind == "position", ticker, account, used))]
+                if found:
+                    used.add(min(found)[1])
+                    out.append((txn, min(found)[1]))
+            yield pd.DataFrame(out, columns=names)
+
+    return greedy
+
+
+def paired_transfers(legs: DataFrame, tolerance: float = 1e-9, cash_tolerance: float = 0.01) -> DataFrame:
+    """out_id, in_id: transfer legs of one day with equal units or, without units or ticker, equal amounts, each used once.
+
+    Out legs choose in the order of txn_id, greedily by (score, in_id). Legs of
+    a day are dealt by chains of sizes that lie within the tolerance of each
+    other: legs of two chains never pair. In legs come first, and a task holds
+    only the free ones of one chain.
     """
-    import pandas as pd
-
-    def greedy(frame: pd.DataFrame) -> pd.DataFrame:
-        free = frame[frame.action == "TFR_IN"].sort_values("txn_id").to_dict("records")
-        out = []
-        for leg in frame[frame.action == "TFR_OUT"].sort_values("txn_id").to_dict("records"):
-            def score(x):
-                if abs(float(x["units"]) - float(leg["units"])) > tolerance:
-                    return 9
-                same, here = x["ticker"] == leg["ticker"], x["account"] == leg["account"]
-                return 9 if same and here else 0 if same else 1 if here else 2
-            best = min(free, key=lambda x: (score(x), x["txn_id"]), default=None)
-            if best is not None and score(best) < 9:
-                free.remove(best)
-                out.append((leg["txn_id"], best["txn_id"]))
-        return pd.DataFrame(out, columns=["out_id", "in_id"])
-
-    own = legs.where("action in ('TFR_OUT', 'TFR_IN')").select("txn_id", "action", "settle_date", "ticker", "account", F.abs("units").cast("double").alias("units"))
-    own = own.withColumn("near", F.round("units", 6))
-    both = own.groupBy("settle_date", "near").agg(F.min("action").alias("low"), F.max("action").alias("high")).where("low < high")
-    return own.join(both, ["settle_date", "near"], "left_semi").groupBy("settle_date", "near").applyInPandas(greedy, "out_id bigint, in_id bigint")
+    exact = "decimal(38,12)"
+    own = legs.where("action in ('TFR_OUT', 'TFR_IN') and settle_date is not null")
+    units = F.abs(F.coalesce("units", F.lit(0))).cast(exact)
+    amount = F.abs("amount").cast(exact) if "amount" in legs.columns else F.lit(None).cast(exact)
+    moves = (units != 0) & (F.coalesce("ticker", F.lit("")) != "")
+    kind = F.when(moves, "position").otherwise("cash")
+    own = own.select("txn_id", "action", "settle_date", "ticker", "account", kind.alias("kind"), F.when(moves, units).otherwise(amount).alias("size")).where("size is not null")
+    tolerances = {"position": Decimal(str(tolerance)), "cash": Decimal(str(cash_tolerance))}
+    sizes = own.groupBy("settle_date", "kind", "size").agg(F.min("action").alias("low"), F.max("action").alias("high"))
+    day = Window.partitionBy("settle_date", "kind").orderBy("size")
+    most = F.when(F.col("kind") == "cash", F.lit(tolerances["cash"]).cast(exact)).otherwise(F.lit(tolerances["position"]).cast(exact))
+    sizes = sizes.withColumn("opens", F.when(F.coalesce(F.col("size") - F.lag("size").over(day) > most, F.lit(True)), F.col("size")))
+    sizes = sizes.withColumn("chain", F.last("opens", ignorenulls=True).over(day.rowsBetween(Window.unboundedPreceding, 0)))
+    chain = ["settle_date", "kind", "chain"]
+    both = sizes.groupBy(*chain).agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
+    dealt = own.join(sizes.join(both, chain, "left_semi").select("chain", "settle_date", "kind", "size"), ["settle_date", "kind", "size"])
+    dealt = dealt.select(*chain, "action", "txn_id", "ticker", "account", "size").repartition(*chain).sortWithinPartitions(*chain, "action", "txn_id")
+    return dealt.mapInPandas(_greedy(tolerances), "out_id bigint, in_id bigint")

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 from decimal import Decimal
 
 import duckdb
@@ -116,3 +117,24 @@ def test_dedupe_and_missing_ids_ask_for_whole_tables(spark):
     assert len(missing) == len(set(missing)) and max(missing) > 1999 and not ids & set(missing)
     orders = spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey").distinct().collect()
     assert ids | set(missing) >= {r[0] * 10 + n for r in orders for n in range(1, 8)}
+
+
+def test_transfers_match_brute_force(spark):
+    r = random.Random(3)
+    legs = [(i, r.choice(["TFR_OUT", "TFR_IN"]), r.choice(["A", "B", None]), r.choice("xyz"), Decimal(r.choice([0, 0, 5, -5, 6])), Decimal(r.choice(["10.00", "-10.01", "10.02", "10.03", "99"])), dt.date(2024, 1, r.randrange(1, 4))) for i in range(300)]
+    used, want = set(), []
+    for i, action, ticker, account, units, amount, day in sorted(legs, key=lambda x: (x[6], x[0])):
+        found = []
+        for j, action_, ticker_, account_, units_, amount_, day_ in legs if action == "TFR_OUT" else ():
+            if action_ != "TFR_IN" or day != day_ or j in used or bool(ticker and units) != bool(ticker_ and units_):
+                continue
+            if abs(abs(units) - abs(units_)) > Decimal("1e-9") if ticker and units else abs(abs(amount) - abs(amount_)) > Decimal("0.01"):
+                continue
+            here, same = account == account_, ticker == ticker_
+            if not (ticker and units and here and same):
+                found.append(((0 if same and not here else 1 if here else 2) if ticker and units else int(here), j))
+        if found:
+            used.add(min(found)[1])
+            want.append((i, min(found)[1]))
+    d = spark.createDataFrame(legs, "txn_id bigint, action string, ticker string, account string, units decimal(20,4), amount decimal(20,2), settle_date date")
+    assert sorted(map(tuple, matching.paired_transfers(d).collect())) == sorted(want) and len(want) > 50
