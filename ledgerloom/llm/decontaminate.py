@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.bytetext import ALNUM, grams, slices, word_hashes
 from ledgerloom.llm.scratch import batches_of, fresh, stored
 
+#: Ids are worked on with an i before them, so that this key of items with a null id is none of them and sorts behind them.
+UNNAMED = "n"
 FOUND = "struct<n_words:bigint,n_hit:bigint,item_ids:array<string>,spans:array<struct<first:int,last:int>>>"
 
 
@@ -99,7 +101,7 @@ class Index:
         return hit, items
 
 
-def _found(rows: list[tuple[int, np.ndarray | None, list[str]]]) -> pa.Array:
+def _found(rows: list[tuple[int, np.ndarray | None, list[str | None]]]) -> pa.Array:
     ids = [r[2] for r in rows]
     spans = []
     for _, hit, _ in rows:
@@ -143,7 +145,8 @@ def _scan(index: Index):
                         rows.append((n, None, []))
                         continue
                     hit, items = index.marked(words[at[i] : at[i + 1]])
-                    rows.append((n, hit, sorted({index.items[j][0] for j in items})))
+                    keys = sorted({index.items[j][0] for j in items})
+                    rows.append((n, hit, [None if key == UNNAMED else key[1:] for key in keys]))
             yield _found(rows)
 
     return scan
@@ -189,14 +192,16 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, window: int = 1
     A benchmark of at most `most_words` words is broadcast as an index (under 40
     bytes a word); a larger one is joined by fingerprint in a shuffle. Null and
     empty texts have no words and no hits; items without words or with a null
-    text never occur; an item of fewer words than a window is one window.
+    text never occur; an item of fewer words than a window is one window. Items
+    with a null id count like others, but together are one null at the end of
+    item_ids.
     Repeated rows are judged each on their own; items that repeat an item_id
     count once. Other columns pass through; if `out` is taken, underscores are
     added to it.
     """
     spark = documents.sparkSession
     out = fresh(documents.columns, out)
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null and item_id is not null")
+    items = benchmark.select(F.coalesce(F.concat(F.lit("i"), F.col("item_id").cast("string")), F.lit(UNNAMED)).alias("item_id"), "text").where("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     if size <= 2 * most_words:
         held = items.toArrow()
@@ -214,6 +219,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, window: int = 1
     hits = hits.select(row, "item_id", _verify(window, k)(F.col("text"), F.col("other")).alias("at")).where(F.size("at") > 0)
     per_word = hits.select(row, F.explode("at").alias("at")).distinct().groupBy(row).agg(F.array_sort(F.collect_list("at")).alias("at"))
     per_item = hits.groupBy(row).agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    per_item = per_item.withColumn("item_ids", F.transform("item_ids", lambda x: F.when(x != UNNAMED, F.substring(x, F.lit(2), F.length(x)))))
     counts = of_texts.select(row, F.col("p.n_words").alias("n_words"))
     spans = F.expr(
         "transform(filter(at, x -> not array_contains(at, x - 1)), x -> named_struct('first', x, 'last', "

@@ -315,3 +315,21 @@ def test_stages_match_brute_force(spark, tmp_path):
     held = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     sizes = sorted(((i or 0), len(held.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in want)
     assert sorted((x.doc_id or 0, x.length) for x in pack(spark, now, str(tmp_path)).collect()) == sizes
+
+
+def test_benchmark_items_without_an_id_count(spark, duck):
+    a, b = words(12, 51), words(12, 52)
+    docs = [(1, " ".join(a)), (2, " ".join(a + b)), (3, " ".join(b)), (4, "x a short item"), (5, "none")]
+    bench = [(None, " ".join(a)), (7, " ".join(b)), (None, "short item"), (None, " ".join(a)), (None, None)]
+    d, m = spark.createDataFrame(docs, DOCS), spark.createDataFrame(bench, "item_id bigint, text string")
+    want = [(1, 12, [None]), (2, 24, ["7", None]), (3, 12, ["7"]), (4, 2, [None]), (5, 0, [])]
+    held = duckdb.connect()
+    held.execute("create table documents (doc_id bigint, text varchar); create table benchmark (item_id bigint, text varchar)")
+    held.executemany("insert into documents values (?, ?)", docs)
+    held.executemany("insert into benchmark values (?, ?)", bench)
+    sql = held.execute(oracle_sql()["op1_decontaminate"] + " ORDER BY doc_id").fetchall()
+    assert [(r[0], r[2], r[3]) for r in sql] == [(i, n, len(ids)) for i, n, ids in want]
+    for most in (1_000_000, 0):
+        got = decontaminate.contamination(d, m, most_words=most).orderBy("doc_id").collect()
+        assert [(r.doc_id, r[2].n_hit, r[2].item_ids) for r in got] == want
+        assert [r.doc_id for r in decontaminate.clean(d, m, most_words=most).collect()] == [5]
