@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.bytetext import slices
-from ledgerloom.llm.quality import held_out
+from ledgerloom.llm.quality import held_out, whole_texts
 from ledgerloom.llm.scratch import fresh
 
 WINDOW, PAD = 96, 256
@@ -159,13 +159,13 @@ def train(texts: list[str], langs: list[str], *, hidden: int = 8, steps: int = 1
     return net
 
 
-def learn(documents: DataFrame, *, most_rows: int = 1600, most_chars: int = 20_000) -> Net:
-    """A network for the languages that `lang` names, from about `most_rows` documents in all.
+def learn(documents: DataFrame, *, most_rows: int = 1600, most_bytes: int = 32_000_000) -> Net:
+    """A network for the languages that `lang` names, from about `most_rows` documents, never more than twice as many.
 
     Only rows with a text and a lang whose crc32 of the doc_id as text does not
     leave 2 by 4 teach; each language gives up to its equal part, by hash of
-    doc_id, and of a text longer than `most_chars` its start teaches (prediction
-    reads all of it). At most 1000 languages.
+    doc_id. Whole texts teach, `most_bytes` in all: a document that no longer
+    fits is passed over. At most 1000 languages, of 4 documents at least.
     """
     known = documents.select("doc_id", "lang", "text").where("lang is not null and text is not null and doc_id is not null").where(~held_out("doc_id", 4, 2))
     counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
@@ -176,7 +176,7 @@ def learn(documents: DataFrame, *, most_rows: int = 1600, most_chars: int = 20_0
     each = max(4, most_rows // len(counts))
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, each / n))])
     picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
-    sample = picked.select("lang", F.substring("text", 1, most_chars).alias("text"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * max(most_rows, 4 * len(counts))).toArrow()
+    sample = whole_texts(picked.select("lang", "text", "doc_id"), 2 * max(most_rows, 4 * len(counts)), most_bytes)
     return train(sample["text"].to_pylist(), sample["lang"].to_pylist())
 
 

@@ -95,13 +95,33 @@ def train(texts: list[str], labels: list[int], prior: float, *, dim: int = 8, ep
     return Model((table @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0] + shift))
 
 
-def learn(documents: DataFrame, labels: DataFrame, *, label: str = "quality", most_rows: int = 3000, most_chars: int = 50_000) -> Model:
+def affordable(sizes: list[tuple], most_rows: int, most_bytes: int) -> list:
+    """Of (id, rows, bytes) the ids that fit into the bounds, in turn; one that does not fit is passed over."""
+    kept, rows, held = [], 0, 0
+    for name, n, size in sizes:
+        if rows + n <= most_rows and held + size <= most_bytes:
+            kept.append(name)
+            rows, held = rows + n, held + size
+    return kept
+
+
+def whole_texts(picked: DataFrame, most_rows: int, most_bytes: int) -> pa.Table:
+    """Rows of picked (doc_id, text and others) by hash of doc_id, each with its whole text, within the bounds.
+
+    The ids and sizes that come to the driver are those of picked, which has a bounded number of ids.
+    """
+    sizes = picked.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size"))
+    ids = affordable([tuple(r) for r in sizes.orderBy(F.xxhash64("doc_id"), "doc_id").collect()], most_rows, most_bytes)
+    return picked.where(F.col("doc_id").isin(ids)).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
+
+
+def learn(documents: DataFrame, labels: DataFrame, *, label: str = "quality", most_rows: int = 3000, most_bytes: int = 32_000_000) -> Model:
     """A model of `label` from at most `most_rows` labelled documents, half of each class.
 
     Only rows whose crc32 of the doc_id as text is not divisible by 5 teach. The
     sample takes the smallest hashes of doc_id, so it is the same for any layout;
-    of a text longer than `most_chars` its start teaches (scoring reads all of
-    it). Null labels and null ids teach nothing. Without both classes among the
+    whole texts teach, `most_bytes` in all: a document that no longer fits is
+    passed over. Null labels and null ids teach nothing. Without both classes among the
     labels the score is the share of label 1, or 0.5 without any.
     """
     held = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(f"label in (0, 1) and doc_id is not null").where(~held_out("doc_id", 5, 0))
@@ -111,8 +131,8 @@ def learn(documents: DataFrame, labels: DataFrame, *, label: str = "quality", mo
         return Model(np.zeros(1 << BUCKET_BITS, np.float32), float(np.clip(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9)), -20, 20)))
     picked = [held.where(F.col("label") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows // 2) for x in (0, 1)]
     ids = picked[0].unionByName(picked[1])
-    texts = documents.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, most_chars).alias("text"))
-    sample = texts.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * most_rows).toArrow()  # broadcast: at most most_rows ids
+    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sample = whole_texts(texts.join(F.broadcast(ids), "doc_id"), 2 * most_rows, most_bytes)  # broadcast: at most most_rows ids
     return train(sample["text"].to_pylist(), sample["label"].to_pylist(), prior)
 
 

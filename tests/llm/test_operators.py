@@ -333,3 +333,17 @@ def test_benchmark_items_without_an_id_count(spark, duck):
         got = decontaminate.contamination(d, m, most_words=most).orderBy("doc_id").collect()
         assert [(r.doc_id, r[2].n_hit, r[2].item_ids) for r in got] == want
         assert [r.doc_id for r in decontaminate.clean(d, m, most_words=most).collect()] == [5]
+
+
+def test_whole_texts_teach(spark, monkeypatch):
+    ends = {i: "word " * 11_000 + f"end{i}" for i in range(30)}
+    d = spark.createDataFrame(list(ends.items()), DOCS).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b"))
+    taught = []
+    monkeypatch.setattr(quality, "train", lambda texts, *_: taught.append(texts))
+    monkeypatch.setattr(language, "train", lambda texts, *_: taught.append(texts))
+    quality.learn(d, spark.createDataFrame([(i, i % 2) for i in ends], "doc_id bigint, quality int"))
+    language.learn(d)
+    assert all(texts and set(texts) <= set(ends.values()) for texts in taught)
+    quality.learn(d, spark.createDataFrame([(i, i % 2) for i in ends], "doc_id bigint, quality int"), most_bytes=120_000)
+    assert len(taught) == 3 and len(taught[2]) == 2
+    assert quality.affordable([(1, 1, 9), (2, 1, 99), (3, 1, 1), (4, 1, 0)], 2, 20) == [1, 3]
