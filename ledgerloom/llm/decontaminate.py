@@ -75,24 +75,10 @@ class Index:
 
     def marked(self, words: np.ndarray) -> tuple[np.ndarray, set[int]]:
         """Which words of one document are hit, and by windows of which items."""
-        hit, items, done = np.zeros(len(words), bool), set(), set()
-        kept = np.unique(_winnowed(words, self.window, self.k))
-        g = grams(words, self.k)[kept] if len(kept) else np.zeros(0, np.uint64)
-        low, high = np.searchsorted(self.prints, g, "left"), np.searchsorted(self.prints, g, "right")
-        for x in np.flatnonzero(high > low):
-            for y in range(low[x], high[x]):
-                i, diagonal = int(self.owner[y]), int(kept[x] - self.place[y])
-                if (i, diagonal) in done:
-                    continue
-                done.add((i, diagonal))
-                other = self.items[i][1]
-                a, b = max(0, diagonal), min(len(words), diagonal + len(other))
-                same = np.concatenate(([False], words[a:b] == other[a - diagonal : b - diagonal], [False]))
-                turns = np.flatnonzero(same[1:] != same[:-1])
-                for begin, end in zip(turns[::2], turns[1::2], strict=True):
-                    if end - begin >= self.window:
-                        hit[a + begin : a + end] = True
-                        items.add(i)
+        hit, items = np.zeros(len(words), bool), set()
+        for i, diagonals in self._diagonals(words):
+            if _extended(words, self.items[i][1], diagonals, self.window, hit):
+                items.add(i)
         for m, keys in self.short.items():
             own = grams(words, m)
             for p in np.flatnonzero(np.isin(own, self.short_keys[m])):
@@ -100,6 +86,61 @@ class Index:
                 items.update(keys[int(own[p])])
         return hit, items
 
+    def _diagonals(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """For each item that shares fingerprints: at which distances, in words, these lie in the two texts."""
+        kept = np.unique(_winnowed(words, self.window, self.k))
+        g = grams(words, self.k)[kept] if len(kept) else np.zeros(0, np.uint64)
+        low, high = np.searchsorted(self.prints, g, "left"), np.searchsorted(self.prints, g, "right")
+        found: dict[int, list[np.ndarray]] = {}
+        order = np.argsort(g, kind="stable")
+        order = order[high[order] > low[order]]
+        for same in np.split(order, np.flatnonzero(np.diff(low[order])) + 1) if len(order) else ():
+            owner, place = self.owner[low[same[0]] : high[same[0]]], self.place[low[same[0]] : high[same[0]]]
+            for i in np.unique(owner).tolist():
+                found.setdefault(i, []).append(_distances(kept[same], place[owner == i]))
+        for i, parts in found.items():
+            yield i, np.unique(np.concatenate(parts))
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The distinct differences of two sets of positions; for many pairs from a correlation, in time that hangs on their reach."""
+    if len(x) * len(y) <= 1 << 20:
+        return np.unique(x[:, None] - y[None, :])
+    n, m = int(x.max()) + 1, int(y.max()) + 1
+    size = 1 << (n + m).bit_length()
+    one, two = np.zeros(size), np.zeros(size)
+    one[x], two[y] = 1, 1
+    counts = np.fft.irfft(np.fft.rfft(one) * np.conj(np.fft.rfft(two)), size)
+    at = np.flatnonzero(counts > 0.5)
+    return np.sort(np.where(at < n, at, at - size))
+
+
+def _extended(words: np.ndarray, item: np.ndarray, diagonals: np.ndarray, window: int, hit: np.ndarray) -> bool:
+    """Marks the words that lie in `window` equal words on one of the diagonals; whether there are any.
+
+    Long overlaps come first, and diagonals on which all words are hit already are passed over.
+    """
+    n, m, found = len(words), len(item), False
+    order = np.argsort(np.maximum(diagonals, 0) - np.minimum(diagonals + m, n), kind="stable")
+    step = max(1, (1 << 20) // m)
+    for at in range(0, len(order), step):
+        own = diagonals[order[at : at + step]]
+        if found:
+            known = np.concatenate(([0], np.cumsum(hit)))
+            a, b = np.maximum(own, 0), np.minimum(own + m, n)
+            own = own[known[b] - known[a] < b - a]
+        place = own[:, None] + np.arange(m)
+        same = (place >= 0) & (place < n)
+        same &= words[np.clip(place, 0, n - 1)] == item
+        total = np.zeros((len(own), m + 1), np.int32)
+        np.cumsum(same, axis=1, out=total[:, 1:])
+        row, begin = np.nonzero(total[:, window:] - total[:, :-window] == window)
+        if len(row):
+            found = True
+            turns = np.bincount(own[row] + begin, minlength=n + 1)[: n + 1] - np.bincount(own[row] + begin + window, minlength=n + 1)[: n + 1]
+            hit |= np.cumsum(turns)[:n] > 0
+    return found
+
 
 def _found(rows: list[tuple[int, np.ndarray | None, list[str | None]]]) -> pa.Array:
     ids = [r[2] for r in rows]
@@ -186,6 +227,25 @@ def _verify(window: int, k: int):
     return verify
 
 
+def _united():
+    """What all items of a document hit, as one."""
+
+    @F.arrow_udf(FOUND)
+    def united(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for n_words, places, items in batches:
+            rows: list = []
+            for n, at, keys in zip(n_words.to_pylist(), places, items.to_pylist(), strict=True):
+                if not keys:
+                    rows.append((n, None, []))
+                    continue
+                hit = np.zeros(n, bool)
+                hit[at.values.flatten().to_numpy()] = True
+                rows.append((n, hit, [None if key == UNNAMED else key[1:] for key in keys]))
+            yield _found(rows)
+
+    return united
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, *, window: int = 10, k: int = 5, most_words: int = 1_000_000, out: str = "contamination") -> DataFrame:
     """documents with a struct column: n_words, n_hit, item_ids (sorted as strings), spans of hit words.
 
@@ -208,27 +268,19 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, window: int = 1
         index = Index(_items(held["item_id"].combine_chunks(), held["text"].combine_chunks()) if held.num_rows else [], window, k)
         return documents.withColumn(out, _scan(index)(F.col("text")))
     row = fresh([*documents.columns, out], "row")
-    keyed = documents.withColumn(row, F.xxhash64(*[F.col(f"`{c}`") for c in documents.columns]))
+    keyed = stored(documents.withColumn(row, F.monotonically_increasing_id()), "numbered")  # written, so that a row keeps its number
     of_items = items.withColumn("p", _prints(window, k, list(range(1, window)), False)(F.col("text")))
     of_items = of_items.select("item_id", "p.n_words", F.explode("p.prints").alias("print"))
     lengths = [r[0] for r in of_items.where(F.col("n_words") < window).select("n_words").distinct().collect()]  # at most window - 1
-    texts = keyed.select(row, "text").dropDuplicates([row])
-    of_texts = texts.select(row, _prints(window, k, lengths, True)(F.col("text")).alias("p"))
+    texts = keyed.select(row, "text")
+    of_texts = stored(texts.select(row, _prints(window, k, lengths, True)(F.col("text")).alias("p")), "prints")
     pairs = of_texts.select(row, F.explode("p.prints").alias("print")).join(of_items.select("item_id", "print").distinct(), "print").select(row, "item_id").distinct()
     hits = pairs.join(texts, row).join(items.dropDuplicates(["item_id", "text"]).withColumnRenamed("text", "other"), "item_id")
     hits = hits.select(row, "item_id", _verify(window, k)(F.col("text"), F.col("other")).alias("at")).where(F.size("at") > 0)
-    per_word = hits.select(row, F.explode("at").alias("at")).distinct().groupBy(row).agg(F.array_sort(F.collect_list("at")).alias("at"))
-    per_item = hits.groupBy(row).agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-    per_item = per_item.withColumn("item_ids", F.transform("item_ids", lambda x: F.when(x != UNNAMED, F.substring(x, F.lit(2), F.length(x)))))
+    gathered = hits.groupBy(row).agg(F.collect_list("at").alias("at"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     counts = of_texts.select(row, F.col("p.n_words").alias("n_words"))
-    spans = F.expr(
-        "transform(filter(at, x -> not array_contains(at, x - 1)), x -> named_struct('first', x, 'last', "
-        "cast(array_min(filter(at, y -> y >= x and not array_contains(at, y + 1))) as int)))"
-    )
-    none = F.array().cast("array<string>")
-    joined = counts.join(per_word, row, "left").join(per_item, row, "left").withColumn("at", F.coalesce("at", F.array().cast("array<int>")))
-    result = joined.select(row, F.struct("n_words", F.size("at").cast("bigint").alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"), spans.alias("spans")).alias(out))
-    return keyed.join(result, row).drop(row)
+    joined = counts.join(gathered, row, "left").select(row, _united()(F.col("n_words"), F.col("at"), F.col("item_ids")).alias(out))
+    return keyed.join(joined, row).drop(row)
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
