@@ -1,7 +1,7 @@
 """Vectorised numpy work on the UTF-8 bytes of Arrow string arrays.
 
-Everything here runs inside Spark tasks. Texts are cut into slices of about a
-megabyte (a longer text is a slice of its own), so memory follows the slice,
+Everything here runs inside Spark tasks. Texts are cut into slices of about
+128 KB (a longer text is a slice of its own), so memory follows the slice,
 never the Arrow batch.
 """
 
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 17
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -61,7 +61,7 @@ class SpanHash:
         return mix((self.sums[end] - self.sums[begin]) * self.down[begin])
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Returns freed memory to the system: workers outlive their tasks, beside the JVM in one memory limit."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -87,7 +87,7 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int,
         yield low, high, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
         low = high
     if len(data) > most:
-        _give_back()
+        give_back()
 
 
 def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
