@@ -1,9 +1,9 @@
 """Line dedup with two Bloom filters: hashes seen once, and hashes seen twice.
 
-Each task builds both filters over the lines of its documents; filters of two
-tasks merge as (a | b, twice a | twice b | once a & once b). A line whose hash is
-not in the merged second filter is unique. Only the others are shuffled, by a
-128-bit digest, to count the documents that hold them and to find the smallest.
+Each task builds both filters over the lines of its documents, and they are
+merged. A line whose hash is not in the merged second filter is unique. Only the
+others are shuffled, by a 128-bit digest, to count the documents that hold them
+and to find the smallest.
 """
 
 from __future__ import annotations
@@ -12,16 +12,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm import bloom
 from ledgerloom.llm.bytetext import LOWER, NOT_SPACE, SpanHash, slices
-from ledgerloom.llm.scratch import batches_of, fresh, stored
-
-SEGMENTS = 64
+from ledgerloom.llm.scratch import MOST_BROADCAST, batches_of, fresh, release, stored
 
 
 def _lines(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -46,65 +43,38 @@ def _lines(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarra
     return begin[long], end[long], rows[long], number[long]
 
 
-def _bits(keys: np.ndarray, size: int) -> np.ndarray:
-    return (keys >> np.uint64(64 - size)).astype(np.int64)
-
-
-def _filters(size: int, least: int):
+def _filters(bits: int, least: int):
     """Compressed segments of a task's two filters."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(1 << (size - 3), np.uint8), np.zeros(1 << (size - 3), np.uint8)
+        pair = bloom.Pair(bits)
         for batch in batches:
             for _, _, data, offsets in slices(batch.column(0)):
                 low = LOWER[data]
                 begin, end, rows, _ = _lines(low, offsets, least)
-                bits = _bits(SpanHash(low)(begin, end), size)
+                at = bloom.places(SpanHash(low)(begin, end), bits)
                 # once per document, then once and twice within the slice
-                bits, n = np.unique(np.unique(rows << size | bits) & (1 << size) - 1, return_counts=True)
-                held = (once[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1
-                again = bits[(n > 1) | (held > 0)]
-                np.bitwise_or.at(twice, again >> 3, np.uint8(1) << (again & 7).astype(np.uint8))
-                np.bitwise_or.at(once, bits >> 3, np.uint8(1) << (bits & 7).astype(np.uint8))
-        pack, step = zstandard.ZstdCompressor(level=1), len(once) // SEGMENTS
-        parts = [(i, once[i * step : (i + 1) * step], twice[i * step : (i + 1) * step]) for i in range(SEGMENTS)]
-        parts = [p for p in parts if p[1].any()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([p[0] for p in parts], pa.int32()), *(pa.array([pack.compress(p[i].tobytes()) for p in parts], pa.binary()) for i in (1, 2))],
-            ["segment", "once", "twice"],
-        )
+                at, n = np.unique(np.unique(rows << bits | at) & (1 << bits) - 1, return_counts=True)
+                pair.add(at, n > 1)
+        yield pair.segments()
 
     return build
 
 
-def _merged(size: int):
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        step = (1 << (size - 3)) // SEGMENTS
-        once, twice = np.zeros(step, np.uint8), np.zeros(step, np.uint8)
-        for a, b in zip(frame["once"], frame["twice"], strict=True):
-            own = np.frombuffer(zstandard.decompress(a), np.uint8)
-            twice |= np.frombuffer(zstandard.decompress(b), np.uint8) | (once & own)
-            once |= own
-        return frame.iloc[:1][["segment"]].assign(once=zstandard.compress(once.tobytes(), 1), twice=zstandard.compress(twice.tobytes(), 1))
+def twice_seen(documents: DataFrame, bits: int, least: int) -> bytes:
+    """The merged second filter, 2 ** bits bits."""
+    return bloom.merged(documents.select("text").mapInArrow(_filters(bits, least), bloom.SHAPE), bits, "twice")
 
-    return merge
 
+def _most_lines(documents: DataFrame) -> int:
+    """Lines of all texts."""
+    of_text = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    return documents.agg(F.coalesce(F.sum(of_text), F.lit(0))).first()[0]
 
-def twice_seen(documents: DataFrame, size: int, least: int) -> bytes:
-    """The merged second filter, 2 ** size bits; its size bounds what the driver holds."""
-    parts = documents.select("text").mapInArrow(_filters(size, least), "segment int, once binary, twice binary")
-    salted = parts.withColumn("salt", F.spark_partition_id() % 16)  # many tasks: merged in two steps
-    shape = "segment int, once binary, twice binary"
-    half = salted.groupBy("segment", "salt").applyInPandas(_merged(size), shape)
-    done = half.groupBy("segment").applyInPandas(_merged(size), shape).select("segment", "twice").collect()
-    step = (1 << (size - 3)) // SEGMENTS
-    found = bytearray(step * SEGMENTS)
-    for segment, twice in done:
-        found[segment * step : (segment + 1) * step] = zstandard.decompress(twice)
-    return bytes(found)
 
+def _suspects(held, bits: int, least: int):
+    """Digests of the distinct lines of a text that the second filter holds."""
 
-def _suspects(held, size: int, least: int):
     @F.arrow_udf("array<binary>")
     def suspects(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         twice = np.frombuffer(held.value, np.uint8)
@@ -113,8 +83,7 @@ def _suspects(held, size: int, least: int):
             for low_row, high_row, data, offsets in slices(texts):
                 low = LOWER[data]
                 begin, end, rows, _ = _lines(low, offsets, least)
-                bits = _bits(SpanHash(low)(begin, end), size)
-                maybe = ((twice[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1) > 0
+                maybe = bloom.holds(twice, bloom.places(SpanHash(low)(begin, end), bits))
                 own: list[set] = [set() for _ in range(high_row - low_row)]
                 raw = low.tobytes()
                 for a, b, r in zip(begin[maybe].tolist(), end[maybe].tolist(), rows[maybe].tolist(), strict=True):
@@ -155,7 +124,7 @@ def _digest(line: str, least: int) -> bytes | None:
     return hashlib.md5(key.translate(_ASCII_LOWER).encode(), usedforsecurity=False).digest() if len(key) >= least else None
 
 
-def deduplicated(documents: DataFrame, *, least: int = 10, size: int = 27, out: str = "line_dedup") -> DataFrame:
+def deduplicated(documents: DataFrame, *, least: int = 10, out: str = "line_dedup") -> DataFrame:
     """documents with a struct column of the new text, n_lines (before) and n_dropped.
 
     A line's key is the line stripped of ASCII white space, with A-Z lowered.
@@ -163,33 +132,50 @@ def deduplicated(documents: DataFrame, *, least: int = 10, size: int = 27, out:
     their lines, but in the document of the smallest doc_id all of them stay.
     Rows that share a doc_id are one document here; rows with a null doc_id take
     no part and keep all lines. A null or empty text is one empty line and stays
-    as it is.
+    as it is. An empty table gives an empty one.
 
-    The filters have 2 ** size bits whatever the data; beyond about as many
-    lines they let unique lines through to the exact step, which drops nothing
-    wrongly.
+    The filters have 8 bits a line of the input, at most 32 MB; beyond that more
+    unique lines pass to the exact step, which drops nothing wrongly. Texts move
+    only where it must be: if the keys to drop are few they are broadcast, else
+    documents without any suspect line stay where they are.
     """
+    return _deduplicated(documents, least, fresh(documents.columns, out))[0]
+
+
+def _deduplicated(documents: DataFrame, least: int, out: str) -> tuple[DataFrame, DataFrame]:
+    """The result, and the stored table that it reads besides documents."""
     spark = documents.sparkSession
-    out = fresh(documents.columns, out)
+    keys = fresh([*documents.columns, out], "drop")
     known = documents.where(F.col("doc_id").isNotNull())
     with batches_of(spark, 1000):
-        held = spark.sparkContext.broadcast(twice_seen(known, size, least))
-        lines = known.select("doc_id", F.explode(_suspects(held, size, least)(F.col("text"))).alias("key"))
-        lines = stored(lines, "suspects")
-    first = lines.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first")
-    first = stored(first, "repeated")  # so that both sides of the join are dealt anew, and a line of very many documents can be split
-    drops = lines.join(first, "key").where(F.col("doc_id") > F.col("first")).groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
-    keys = fresh([*documents.columns, out], "drop")
-    drops = drops.withColumnRenamed("drop", keys)
-    joined = documents.join(drops, "doc_id", "left")
+        bits = bloom.bits_for(_most_lines(known))
+        held = spark.sparkContext.broadcast(twice_seen(known, bits, least))
+        suspects = _suspects(held, bits, least)
+        lines = stored(known.select("doc_id", F.explode(suspects(F.col("text"))).alias("key")), "suspects")
+        # written, so that both sides of the join are dealt anew, and a line of very many documents can be split
+        first = lines.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first")
+        first = stored(first, "repeated")
+        drops = lines.join(first, "key").where(F.col("doc_id") > F.col("first")).groupBy("doc_id").agg(F.collect_set("key").alias(keys))
+        drops = stored(drops, "drops")
+    release(lines, first)
+    rows, dropped = drops.agg(F.count("*"), F.coalesce(F.sum(F.size(keys)), F.lit(0))).first()
+    if rows * 96 + dropped * 32 <= MOST_BROADCAST:
+        joined = documents.join(F.broadcast(drops), "doc_id", "left")
+    else:
+        mark = fresh([*documents.columns, out, keys], "suspect")
+        marked = documents.withColumn(mark, F.col("doc_id").isNotNull() & (F.size(suspects(F.col("text"))) > 0))
+        still = marked.where(~F.col(mark)).withColumn(keys, F.lit(None).cast("array<binary>"))
+        joined = marked.where(F.col(mark)).join(drops, "doc_id", "left").unionByName(still)
     own = [F.col(f"`{c}`") for c in documents.columns]
-    return joined.select(*own, _kept(least)(F.col("text"), F.col(f"`{keys}`")).alias(out))
+    return joined.select(*own, _kept(least)(F.col("text"), F.col(f"`{keys}`")).alias(out)), drops
 
 
-def without_repeats(documents: DataFrame, **options) -> DataFrame:
+def without_repeats(documents: DataFrame, *, least: int = 10) -> DataFrame:
     """documents, same columns, with the repeated lines gone from text; written to the shared folder."""
-    done = deduplicated(documents, **options)
-    struct = done.columns[-1]
+    struct = fresh(documents.columns, "line_dedup")
+    done, drops = _deduplicated(documents, least, struct)
     own = [F.col(f"`{struct}`.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns]
     with batches_of(documents.sparkSession, 1000):
-        return stored(done.select(*own), "deduplicated")
+        kept = stored(done.select(*own), "deduplicated")
+    release(drops)
+    return kept

@@ -122,7 +122,7 @@ def _cut(capacity: int, path: str, separator: int):
         seen = np.zeros(capacity + 1, np.int64)
         for texts in batches:
             counts, columns = [], [[] for _ in range(6)]
-            for _, _, data, offsets in slices(texts, 2 << 20):
+            for _, _, data, offsets in slices(texts, 1 << 19):
                 for ids in encoder.rows(data, offsets):
                     ids = np.append(ids, np.uint32(separator)).astype("<u4")
                     first = len(ids) % capacity or capacity

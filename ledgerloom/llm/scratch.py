@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -21,7 +22,10 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     if not top:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        top = _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-loom-"))
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="spark-loom-")
+        top = _own[app]
     return f"{top.rstrip('/')}/loom/{what}-{uuid.uuid4().hex[:12]}"
 
 
@@ -32,6 +36,24 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame | None) -> None:
+    """Deletes tables that `stored` wrote, once their last reader is done."""
+    for table in tables:
+        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()} if table is not None else ():
+            if "/loom/" in path:
+                spark = table.sparkSession
+                at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+MOST_BROADCAST = 32 << 20  # bytes of a side that is broadcast, as its rows lie in an executor's memory
+
+
+def small(df: DataFrame, row_bytes: int = 64, most: int = MOST_BROADCAST // 4) -> DataFrame:
+    """A stored table, to be broadcast if its rows are few enough; else it is joined in a shuffle."""
+    return F.broadcast(df) if df.count() * row_bytes <= most else df
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """Within it, jobs hand Python at most `rows` rows at a time: texts are large, and memory follows the batch."""
