@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.scratch import stored
+from ledgerloom.llm.scratch import release, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -26,12 +26,21 @@ def components(edges: DataFrame) -> DataFrame:
     Each round's edges are written to the shared folder, so a lost executor costs
     one round. Loops and repeated edges do no harm; no edges give no rows.
     """
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now = stored(now.distinct(), "edges")
-    mark = None
+    now, mark = stored(_ordered(edges), "edges"), None
     while True:
-        now = stored(_small_star(_large_star(now)), "edges")
+        last, now = now, stored(_small_star(_large_star(now)), "edges")
+        release(last)
         new = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if new == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         mark = new
+
+
+def drawn_together(edges: DataFrame) -> DataFrame:
+    """node, component after one round: nodes of equal components are linked, those of one component may still differ."""
+    now = _small_star(_large_star(_ordered(edges)))
+    return stored(now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")), "drawn")
+
+
+def _ordered(edges: DataFrame) -> DataFrame:
+    return edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

@@ -20,19 +20,18 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm import bloom
 from ledgerloom.llm.bytetext import NOT_SPACE, by_row, distinct_shingles, mix, slices, word_hashes
-from ledgerloom.llm.graph import components
-from ledgerloom.llm.scratch import batches_of, fresh, stored
+from ledgerloom.llm.graph import components, drawn_together
+from ledgerloom.llm.scratch import batches_of, fresh, release, small, stored
 
 COUNT_BITS, SEGMENTS = 20, 64
 ROUNDS = 2
-MOST_BROADCAST = 1_000_000  # rows of a doc_id and a hash; more are joined in a shuffle
 LEAST_BITS, MOST_BITS = 64, 1 << 16
 TILE_WORDS = 32  # of 64 bits: a tile's rows carry no longer bitmaps; the whole ones follow for the pairs that pass
 
@@ -87,18 +86,19 @@ def _entities(k: int):
     return entities
 
 
-def _summed(frame: pd.DataFrame) -> pd.DataFrame:
+def _summed(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros((1 << COUNT_BITS) // SEGMENTS, np.int64)
-    for packed in frame["counts"]:
-        total += np.frombuffer(zstandard.decompress(packed), np.int64)
-    return frame.iloc[:1][["segment"]].assign(counts=zstandard.compress(total.tobytes(), 1))
+    for batch in batches:
+        for packed in batch.column("counts"):
+            total += np.frombuffer(zstandard.decompress(packed.as_buffer()), np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())], ["segment", "counts"])
 
 
 def _bucket_counts(rows: DataFrame) -> np.ndarray:
     """Shingles of all documents by hash bucket; the table has a fixed size."""
-    parts = rows.where("segment is not null").select("segment", "counts", (F.spark_partition_id() % 16).alias("salt"))
+    parts = rows.where("segment is not null").select("segment", "counts", (F.spark_partition_id() % 64).alias("salt"))
     shape = "segment int, counts binary"
-    done = parts.groupBy("segment", "salt").applyInPandas(_summed, shape).groupBy("segment").applyInPandas(_summed, shape).collect()
+    done = parts.groupBy("segment", "salt").applyInArrow(_summed, shape).groupBy("segment").applyInArrow(_summed, shape).collect()
     step = (1 << COUNT_BITS) // SEGMENTS
     total = np.zeros(1 << COUNT_BITS, np.int64)
     for segment, packed in done:
@@ -122,10 +122,13 @@ def bitmap(values: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _rarity(counts: np.ndarray) -> np.ndarray:
-    """Counts in 16 bits: larger counts never get smaller numbers."""
+    """Counts in 16 bits: larger counts never get smaller numbers, and only 0 and 1 stay below TWICE."""
     return np.minimum(np.log2(counts + 1.0) * 1024, 65_535).astype(np.uint16)
 
 
+TWICE = int(_rarity(np.array([2]))[0])
+
+
 def _prefixes(k: int, percent: int, held):
     """The rarest shingles of each set, and the set's bitmap.
 
@@ -135,15 +138,15 @@ def _prefixes(k: int, percent: int, held):
 
     @F.arrow_udf("struct<entity:bigint,n:bigint,band:int,few:int,tokens:array<bigint>,bits:array<bigint>>")
     def prefixes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        counts = held.value
+        rarity = held.value
         for texts in batches:
             entity, size, band, few, tokens, bits = [], [], [], [], [], []
             for _, _, data, offsets in slices(texts):
                 values, borders = distinct_shingles(*word_hashes(data, offsets, NOT_SPACE), k)
-                often = counts[(values >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
+                often = rarity[(values >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
                 row = np.repeat(np.arange(len(borders) - 1), np.diff(borders))
-                order = by_row(row, np.argsort(_rarity(often), kind="stable"))
-                ordered, alone = values[order], often[order] < 2
+                order = by_row(row, np.argsort(often, kind="stable"))
+                ordered, alone = values[order], often[order] < TWICE
                 entity.append(_entity(values, borders))
                 for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
                     n = b - a
@@ -167,6 +170,39 @@ def _prefixes(k: int, percent: int, held):
     return prefixes
 
 
+def _token_filter(bits: int):
+    """A filter of a task's tokens."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = bloom.Pair(bits)
+        for batch in batches:
+            at = np.unique(bloom.places(mix(batch.column(0).to_numpy().view(np.uint64)), bits))
+            pair.add(at, np.zeros(len(at), bool))
+        yield pair.segments()
+
+    return build
+
+
+def _held_tokens(held, bits: int):
+    """(token, whether it is among the set's first few) of those tokens that the filter holds."""
+
+    @F.arrow_udf("array<struct<token:bigint,first:boolean>>")
+    def tokens(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        known = np.frombuffer(held.value, np.uint8)
+        for lists, few in batches:
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            length = lists.value_lengths().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(length)), length)
+            at = np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)
+            keep = bloom.holds(known, bloom.places(mix(flat.view(np.uint64)), bits))
+            first = at < few.to_numpy(zero_copy_only=False)[row]
+            borders = np.searchsorted(row[keep], np.arange(len(length) + 1))
+            pairs = pa.StructArray.from_arrays([pa.array(flat[keep], pa.int64()), pa.array(first[keep], pa.bool_())], ["token", "first"])
+            yield pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pairs)
+
+    return tokens
+
+
 def _shingles(k: int):
     """The sorted shingles of a text whose set is the one asked for, else null."""
 
@@ -204,11 +240,14 @@ _DIFFERING = "aggregate(zip_with({x}, {y}, (p, q) -> bit_count(p ^ q)), 0, (s, v
 _FOLDED = "if(size({x}) > {n}, zip_with(slice({x}, 1, {n}), slice({x}, {n} + 1, {n}), (p, q) -> p ^ q), {x})"
 
 
+#: A bitmap folded to half its size.
+_HALF = "zip_with(slice({a}, 1, cast(size({a}) / 2 as int)), slice({a}, cast(size({a}) / 2 as int) + 1, cast(size({a}) / 2 as int)), (p, q) -> p ^ q)"
+
+
 def _shortened(bits: str, most: int) -> str:
-    """A bitmap folded until it has at most `most` words."""
+    """A bitmap folded once, and on until it has at most `most` words: at least as many bits as the set has shingles, or `most` words."""
     folds = (MOST_BITS // 64 // most).bit_length() - 1
-    half = "zip_with(slice(a, 1, cast(size(a) / 2 as int)), slice(a, cast(size(a) / 2 as int) + 1, cast(size(a) / 2 as int)), (p, q) -> p ^ q)"
-    return f"aggregate(sequence(1, {folds}), {bits}, (a, i) -> if(size(a) > {most}, {half}, a))"
+    return f"aggregate(sequence(1, {folds}), if(size({bits}) > 1, {_HALF.format(a=bits)}, {bits}), (a, i) -> if(size(a) > {most}, {_HALF.format(a='a')}, a))"
 
 
 def _differing(x: str, y: str) -> str:
@@ -223,11 +262,6 @@ def _near(x: str, y: str, percent: int) -> str:
     return f"{sizes} and {100 + percent} * {_differing(x, y)} <= {100 - percent} * ({x}.n + {y}.n)"
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A stored table, to be broadcast if it has few rows."""
-    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
-
-
 def near_components(documents: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of documents.
 
@@ -238,12 +272,13 @@ def near_components(documents: DataFrame, *, k: int = 5, percent: int = 80) -> D
     links with nothing. Rows with a null doc_id link with nothing and have a null
     component. Rows that repeat a doc_id are documents each.
 
-    Broadcast are the shingle counts by hash bucket, a table of fixed size, and the
-    tables of hashes and ids among those of at most MOST_BROADCAST rows.
+    An empty table gives an empty one. Broadcast are the shingle counts by hash
+    bucket and a filter of the shared shingles, both of bounded size, and tables
+    of hashes and ids of at most 8 MB each.
     """
     with batches_of(documents.sparkSession, 1000):
-        labels = _components(documents, k, percent)
-        least = _small(stored(labels.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least")), "least"))
+        labels = stored(_components(documents, k, percent), "labels")
+        least = small(stored(labels.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least")), "least"))
     alone = F.col("doc_id").isNull() | (F.col("n") == 0)
     return labels.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
@@ -254,28 +289,35 @@ def _components(documents: DataFrame, k: int, percent: int) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = stored(docs.mapInArrow(_sets(k), "doc_id bigint, n bigint, entity bigint, segment int, counts binary"), "sets")
     sets = rows.where("segment is null").select("doc_id", "n", "entity")
-    held = spark.sparkContext.broadcast(_bucket_counts(rows))
+    rarity = spark.sparkContext.broadcast(_rarity(_bucket_counts(rows)))
     known = docs.where("doc_id is not null")
-    prefixes = stored(known.select(_prefixes(k, percent, held)(F.col("text")).alias("p")).select("p.*").where("n > 0"), "prefixes")
+    prefixes = stored(known.select(_prefixes(k, percent, rarity)(F.col("text")).alias("p")).select("p.*").where("n > 0"), "prefixes")
 
     # entries of shingles that different sets share; `first`: whether it is among the set's first few
-    every = prefixes.select(F.posexplode("tokens").alias("at", "token"), "entity", "band", "few").select("token", "entity", "band", (F.col("at") < F.col("few")).alias("first"))
+    every = prefixes.select(F.posexplode("tokens").alias("at", "token"), "entity", "few").select("token", "entity", (F.col("at") < F.col("few")).alias("first"))
     shared = every.groupBy("token").agg(F.min("entity").alias("low"), F.max("entity").alias("high"), F.max("first").alias("first")).where("low < high and first").select("token")
-    entries = stored(every.join(shared, "token", "left_semi").distinct(), "entries")
-    named = _small(stored(entries.select("entity").distinct(), "named"))
+    shared = stored(shared, "shared")
+    bits = bloom.bits_for(shared.count(), 16)
+    held = spark.sparkContext.broadcast(bloom.merged(shared.mapInArrow(_token_filter(bits), bloom.SHAPE), bits, "once"))
+    maybe = prefixes.select("entity", "band", F.explode(_held_tokens(held, bits)(F.col("tokens"), F.col("few"))).alias("t")).select("t.token", "entity", "band", "t.first")
+    entries = stored(maybe.distinct().join(small(shared), "token", "left_semi"), "entries")
+    named = small(stored(entries.select("entity").distinct(), "named"))
     signatures = prefixes.select("entity", "n", "band", "bits").join(named, "entity", "left_semi")
     signatures = stored(signatures.dropDuplicates(["entity"]), "signatures")
+    release(prefixes, shared, named)
     x, y = signatures.alias("x"), signatures.alias("y")
     ids = stored(sets.where("n > 0 and doc_id is not null").groupBy("entity").agg(F.min("doc_id").alias("doc_id")), "ids")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs that link; only the texts that they name are hashed again, each once."""
         asked = pairs.select(F.explode(F.array("a", "b")).alias("entity")).distinct()
-        asked = _small(stored(ids.join(asked, "entity", "left_semi"), "asked"))
-        found = known.join(asked, "doc_id").select("entity", _shingles(k)(F.col("text"), F.col("entity")).alias("set")).where("set is not null")
+        asked = stored(ids.join(asked, "entity", "left_semi"), "asked")
+        found = known.join(small(asked), "doc_id").select("entity", _shingles(k)(F.col("text"), F.col("entity")).alias("set")).where("set is not null")
         found = stored(found.dropDuplicates(["entity"]), "arrays")
         left, right = found.select(F.col("entity").alias("a"), F.col("set").alias("left")), found.select(F.col("entity").alias("b"), F.col("set").alias("right"))
-        return stored(pairs.join(left, "a").join(right, "b").where(_linked(percent)(F.col("left"), F.col("right"))).select("a", "b"), "links")
+        links = stored(pairs.join(left, "a").join(right, "b").where(_linked(percent)(F.col("left"), F.col("right"))).select("a", "b"), "links")
+        release(asked, found, pairs)
+        return links
 
     def labelled(found: DataFrame | None) -> DataFrame:
         if found is None:
@@ -292,21 +334,26 @@ def _components(documents: DataFrame, k: int, percent: int) -> DataFrame:
         allowed = stars.join(x, F.col("x.entity") == stars["entity"]).join(y, F.col("y.entity") == stars["leader"]).where(_near("x", "y", percent))
         nearest = F.min(F.struct((F.expr(_differing("x", "y")) / F.expr("x.n + y.n")).alias("apart"), "leader")).alias("l")
         first = stored(allowed.groupBy(F.col("x.entity").alias("a")).agg(nearest).select("a", F.col("l.leader").alias("b")), "stars")
+        release(leaders, None if found is None else now)
         links = verified(first) if links is None else links.unionByName(verified(first))
-        found = _small(components(links))
+        found = small(drawn_together(links))
 
     # tiles again, for pairs whose components still differ
     rest = stored(labelled(found), "labelled")
-    mixed = rest.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
+    mixed = rest.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("first").alias("first")).where("low < high and first").select("token")
     short = signatures.select("entity", "n", F.expr(_shortened("bits", TILE_WORDS)).alias("bits"))
-    open_tiles = stored(rest.join(_small(stored(mixed, "mixed")), "token", "left_semi").join(short, "entity"), "tiles")
+    mixed = stored(mixed, "mixed")
+    open_tiles = stored(rest.join(small(mixed), "token", "left_semi").join(short, "entity"), "tiles")
     lower = open_tiles.withColumn("tile", F.col("band")).alias("x")
     upper = open_tiles.withColumn("tile", F.explode(F.array(F.col("band"), F.col("band") - 1))).alias("y")
     ordered = "x.component <> y.component and (x.band < y.band or x.entity < y.entity) and if(x.n <= y.n, x.first, y.first)"
     pairs = lower.join(upper, F.expr(f"x.token = y.token and x.tile = y.tile and {ordered} and {_near('x', 'y', percent)}"))
     pairs = pairs.select(F.col("x.entity").alias("a"), F.col("y.entity").alias("b")).distinct()
     pairs = pairs.join(x, F.col("x.entity") == F.col("a")).join(y, F.col("y.entity") == F.col("b")).where(_near("x", "y", percent))
-    found = _small(components(links.unionByName(verified(stored(pairs.select("a", "b"), "pairs")))))
+    pairs = stored(pairs.select("a", "b"), "pairs")
+    release(rest, mixed, open_tiles, entries)
+    found = small(components(links.unionByName(verified(pairs))))
+    release(signatures, ids)
 
     return sets.join(found.withColumnRenamed("node", "entity"), "entity", "left").select("doc_id", "n", "entity", F.coalesce("component", "entity").alias("component"))
 
@@ -321,8 +368,8 @@ def one_of_each(documents: DataFrame, *, k: int = 5, percent: int = 80) -> DataF
     with batches_of(documents.sparkSession, 1000):
         labels = stored(_components(documents, k, percent).where("doc_id is not null"), "labels")
         worded = labels.where("n > 0")
-        first = _small(stored(worded.groupBy("component").agg(F.min(F.struct("doc_id", "entity")).alias("first")), "first"))
-        repeated = _small(stored(labels.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "repeated"))
+        first = small(stored(worded.groupBy("component").agg(F.min(F.struct("doc_id", "entity")).alias("first")), "first"))
+        repeated = small(stored(labels.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "repeated"))
         gone = worded.join(first, "component").where(F.struct("doc_id", "entity") != F.col("first")).select("doc_id")
         if repeated.isEmpty():
             return documents.join(gone.distinct(), "doc_id", "left_anti").select(*own)
