@@ -25,7 +25,7 @@ def first_winner(rows: DataFrame, keys: list[str], vote: str, order: str) -> Dat
 
 def pools(rows: DataFrame) -> DataFrame:
     """Every row three times: in its account, its account type and the whole ledger."""
-    scopes = F.array(*[F.struct(F.lit(s).alias("scope"), p.alias("pool")) for s, p in (("acct", F.col("account")), ("type", F.col("acct_type")), ("folio", F.lit("FOLIO")))])
+    scopes = F.array(*[F.struct(F.lit(s).alias("scope"), p.alias("pool")) for s, p in (("acct", F.col("account")), ("type", F.col("acct_type")), ("all", F.lit("ALL")))])
     return rows.withColumn("p", F.explode(scopes)).select(*rows.columns, "p.scope", "p.pool")
 
 
@@ -60,27 +60,30 @@ def currency_majority(rows: DataFrame) -> DataFrame:
     return trades.join(top, "ticker").where("currency <> most").select("txn_id", "ticker", "currency", "most")
 
 
-def lag_outliers(rows: DataFrame, lag: Column, least: int = 5, most: int = 2) -> DataFrame:
-    """Trades whose settlement lag is more than `most` days off their account's usual lag."""
-    trades = rows.where(F.col("action").isin("BUY", "SELL")).withColumn("lag", lag)
-    usual = first_winner(trades, ["account"], "lag", "txn_id").where(F.col("of") >= least).select("account", F.col("lag").alias("usual"))
-    return trades.join(usual, "account").where(F.abs(F.col("lag") - F.col("usual")) > most).select("txn_id", "account", "lag", "usual")
-
-
 def movements(states: DataFrame) -> DataFrame:
     """txn_id, moved: the sign of the change of held units against the ticker's row before; null at the first."""
     before = F.lag("held").over(Window.partitionBy("ticker").orderBy("txn_date", "rank", "txn_id"))
     return states.select("txn_id", "ticker", F.signum(F.col("held") - before).cast("int").alias("moved"))
 
 
-def merged(rows: DataFrame, keys: list[str], sources: list[str], target: str) -> DataFrame:
-    """Groups that hold all source actions become one row of the target action; all other rows stay."""
+def merged_groups(rows: DataFrame, keys: list[str], sources: list[str], target: str, amount: str = "amount", operations: dict[str, object] | None = None) -> DataFrame:
+    """Groups that hold all source actions become their first row, with the target action and the sum of amounts; all other rows stay.
+
+    Nulls of the keys are equal. Text amounts are summed as decimals and rounded
+    to 10 places; `operations` sets further columns of the merged rows.
+    """
+    order = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]) if "txn_id" not in rows.columns else F.col("txn_id")
+    kind = rows.schema[amount].dataType
     part = rows.where(F.col("action").isin(sources))
-    full = part.groupBy(*keys).agg(F.countDistinct("action").alias("kinds"), F.min("txn_id").alias("txn_id"), F.sum("amount").cast("decimal(20,2)").alias("amount"))
-    full = full.where(F.col("kinds") == len(sources))
-    stay = rows.join(full.select(*keys).distinct(), keys, "left_anti").select("txn_id", *keys, "action", "amount")
-    also = rows.where(~F.col("action").isin(sources)).join(full.select(*keys).distinct(), keys, "left_semi").select("txn_id", *keys, "action", "amount")
-    return stay.unionByName(also).unionByName(full.select("txn_id", *keys, F.lit(target).alias("action"), "amount"))
+    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), order).alias("first")
+    total = F.round(F.sum(F.col(amount).try_cast("decimal(28,10)")), 10)
+    full = part.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.countDistinct("action").alias("kinds"), total.cast(kind).alias("total"), first).where(F.col("kinds") == len(set(sources)))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    stay = rows.where(~F.col("action").isin(sources) | F.col("action").isNull()).unionByName(part.join(full.select(*[f"_{k}" for k in keys]), same, "left_anti"))
+    new = {"action": F.lit(target), amount: F.col("total")} | {c: F.lit(v).cast(rows.schema[c].dataType) for c, v in (operations or {}).items() if c in rows.columns}
+    return stay.unionByName(full.select(*[new.get(c, F.col(f"first.`{c}`")).alias(c) for c in rows.columns]))
 
 
 def required_reasons(rows: DataFrame) -> DataFrame:
@@ -104,7 +107,10 @@ def ruled(rows: DataFrame, rules: list[tuple[dict[str, list[str]], dict[str, str
             one = F.lit(False)
             for v in values:
                 text = F.col(column).cast("string")
-                one = one | (F.lower(text).contains(v[9:].lower()) if v.startswith("contains:") else F.coalesce(text == v, F.lit(False)))
+                equal = F.coalesce(text == v, F.lit(False))
+                if v.replace(".", "", 1).lstrip("-").isdigit():
+                    equal = equal | F.coalesce(text.try_cast("double") == float(v), F.lit(False))
+                one = one | (F.lower(text).contains(v[9:].lower()) if v.startswith("contains:") else equal)
             mask = mask & F.coalesce(one, F.lit(False))
         for column, value in actions.items():
             if column in rows.columns:

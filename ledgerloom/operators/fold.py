@@ -1,79 +1,13 @@
-"""The cost-base fold: an order-dependent recurrence per ticker.
-
-Rows are dealt by ticker and sorted inside their partitions, and each task
-streams through them batch by batch with one small state, so memory follows the
-Arrow batch and not the number of rows of a ticker.
-"""
+"""The order in which rows of one day are applied."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from decimal import Decimal
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The order of actions on one day.
+#: The order of actions on one day; others come last.
 RANKS = {"BUY": 0, "TFR_OUT": 1, "TFR_IN": 2, "SPLIT": 3, "ROC": 4, "SELL": 5}
 
 
-def intraday(action):
+def intraday(action: Column) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for p in RANKS.items() for x in p])[action], F.lit(6))
-
-
-def step(state: list, action: str, units, amount, zero) -> bool:
-    """Moves [units, cost, gain] by one row; whether it sold more than was held."""
-    held, cost, gain = state
-    over = False
-    if action in ("BUY", "TFR_IN"):
-        state[0], state[1] = held + units, cost + amount
-    elif action in ("SELL", "TFR_OUT"):
-        over = units > held
-        part = cost if held <= zero or over else cost * (units / held)
-        state[0], state[1] = held - units, cost - part
-        if action == "SELL":
-            state[2] = gain + (amount - part)
-    elif action == "ROC":
-        state[1] = max(zero, cost - amount)
-        state[2] = gain + max(zero, amount - cost)
-    elif action == "SPLIT" and held and units and amount:
-        state[0] = held * (units / amount)  # units: shares after; amount: shares before
-    return over
-
-
-def cost_base(rows: DataFrame, *, exact: bool = False, account: bool = False) -> DataFrame:
-    """ticker, txn_id, held, cost, gain, oversold: the state after every row.
-
-    With `account` the fold is by account and ticker, and two more columns are
-    account and made, the gain of the row alone.
-
-    rows: ticker, txn_date, txn_id, action, units, amount. With `exact` all
-    figures are decimals of 28 digits, as text; else doubles. Rows of a day are
-    folded in the order of RANKS, then by txn_id. Null units and amounts count
-    as zero, and a null ticker is a ticker of its own.
-    """
-    kind = "string" if exact else "double"
-    keys = ["ticker", "account"] if account else ["ticker"]
-    names = ["ticker", "txn_id", "held", "cost", "gain", "oversold", *(["account", "made"] if account else [])]
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        zero = Decimal(0) if exact else 0.0
-        number = (lambda x: Decimal(0) if pd.isna(x) else Decimal(x)) if exact else (lambda x: 0.0 if pd.isna(x) else float(x))
-        now, state, begun = None, [zero] * 3, False
-        for batch in batches:
-            out = []
-            for *key, txn, action, units, amount in zip(*[batch[k] for k in keys], batch["txn_id"], batch["action"], batch["units"], batch["amount"], strict=True):
-                if not begun or key != now:
-                    now, state, begun = key, [zero] * 3, True
-                gain, state[2] = state[2], zero
-                over = step(state, action, number(units), number(amount), zero)
-                made, state[2] = state[2], gain + state[2]
-                more = (key[1], str(made) if exact else made) if account else ()
-                out.append((key[0], txn, *(map(str, state) if exact else state), over, *more))
-            yield pd.DataFrame(out, columns=names)
-
-    dealt = rows.withColumn("rank", intraday(F.col("action"))).repartition(*keys).sortWithinPartitions(*keys, "txn_date", "rank", "txn_id")
-    plain = dealt.select(*keys, "txn_id", "action", F.col("units").cast(kind).alias("units"), F.col("amount").cast(kind).alias("amount"))
-    more = f", account string, made {kind}" if account else ""
-    return plain.mapInPandas(fold, f"ticker string, txn_id bigint, held {kind}, cost {kind}, gain {kind}, oversold boolean{more}")

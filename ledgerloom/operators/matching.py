@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_EDGES = 100_000
+from ledgerloom.sources.scratch import stored
 
 
 def with_rates(rows: DataFrame, rates: DataFrame) -> DataFrame:
@@ -37,34 +37,55 @@ def with_rates(rows: DataFrame, rates: DataFrame) -> DataFrame:
     return joined.select(*rows.columns, of("fx_date"), of("rate"))
 
 
+def rate_class(rows: DataFrame, rates: DataFrame) -> DataFrame:
+    """rows of `with_rates` with rate_class: exact, carried_back, stale (after the last rate) or uncovered (before the first); null for CAD."""
+    last = F.broadcast(rates.agg(F.max("fx_date").alias("_last")))  # one row
+    found = F.when(F.col("fx_date") == F.col("settle_date"), "exact").when(F.col("fx_date") > F.col("settle_date"), "uncovered").when(F.col("settle_date") > F.col("_last"), "stale").when(F.col("fx_date").isNotNull(), "carried_back")
+    return rows.crossJoin(last).select(*rows.columns, found.alias("rate_class"))
+
+
 def canonical(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     """rows with `canonical`: renames followed while the row is older than the rename; cycles end.
 
-    Edges are walked once for each ticker of the edge list; only then do rows
-    join the finished chains.
+    Edges are walked once for each ticker of the edge list, until no chain grows;
+    only then do rows join the finished chains. Of edges that share an old name
+    one counts, the latest (then the smallest new name).
     """
-    chain = aliases.select(F.col("old").alias("ticker"), F.col("old").alias("at"), F.array(F.struct("effective", "new")).alias("path"), F.col("new").alias("next"))
-    step = aliases.select(F.col("old").alias("next"), F.col("new").alias("then"), F.col("effective").alias("when"))
-    for _ in range(8):
-        grown = chain.join(step, "next", "left").withColumn("loop", F.exists("path", lambda p: p["new"] == F.col("then")) | (F.col("then") == F.col("ticker")))
-        goes = F.col("then").isNotNull() & ~F.coalesce("loop", F.lit(False))
-        path = F.when(goes, F.concat("path", F.array(F.struct(F.col("when").alias("effective"), F.col("then").alias("new"))))).otherwise(F.col("path"))
-        chain = grown.select("ticker", "at", path.alias("path"), F.when(goes, F.col("then")).alias("next"))
+    step = stored(aliases.groupBy(F.upper(F.trim("old")).alias("old")).agg(F.min_by(F.struct(F.upper(F.trim("new")).alias("new"), "effective"), F.struct(-F.unix_date("effective"), "new")).alias("e")).select("old", "e.*"), "renames")
+    chain = step.select(F.col("old").alias("ticker"), F.array(F.struct("effective", "new")).alias("path"), F.col("new").alias("next"))
+    step = step.select(F.col("old").alias("next"), F.col("new").alias("then"), F.col("effective").alias("when"))
+    while not chain.join(step, "next", "left_semi").isEmpty():
+        grown = chain.join(step, "next", "left")
+        ended = F.col("then").isNull() | F.exists("path", lambda p: p["new"] == F.col("then")) | (F.col("then") == F.col("ticker"))
+        path = F.when(~ended, F.concat("path", F.array(F.struct(F.col("when").alias("effective"), F.col("then").alias("new"))))).otherwise(F.col("path"))
+        chain = stored(grown.select("ticker", path.alias("path"), F.when(~ended, F.col("then")).alias("next")), "chains")
     joined = rows.join(chain.select("ticker", "path"), "ticker", "left")
     start = F.struct(F.col("ticker").alias("now"), F.lit(True).alias("open"))
     walk = F.aggregate("path", start, lambda s, e: F.when(s["open"] & (F.col("txn_date") < e["effective"]), F.struct(e["new"].alias("now"), F.lit(True).alias("open"))).otherwise(F.struct(s["now"].alias("now"), F.lit(False).alias("open"))))
     return joined.select(*rows.columns, F.when(F.col("path").isNull(), F.col("ticker")).otherwise(walk["now"]).alias("canonical"))
 
 
+def closed(edges: DataFrame) -> DataFrame:
+    """name, family: the smallest name among all that edges (a, b) connect; rounds go on until no name moves.
+
+    In every round a name takes the smallest family of its neighbours, and then
+    the family of that family, so chains halve.
+    """
+    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    names = stored(both.groupBy(F.col("a").alias("name")).agg(F.min(F.least("a", "b")).alias("family")), "names")
+    while True:
+        near = names.join(both, F.col("name") == F.col("b")).select(F.col("a").alias("name"), "family")
+        least = stored(names.unionByName(near).groupBy("name").agg(F.min("family").alias("family")), "least")
+        of = least.select(F.col("name").alias("family"), F.col("family").alias("further"))
+        moved = stored(least.join(of, "family", "left").select("name", F.coalesce("further", "family").alias("family")), "names")
+        if moved.join(names, ["name", "family"], "left_anti").isEmpty():
+            return moved
+        names = moved
+
+
 def families(aliases: DataFrame) -> DataFrame:
     """ticker, family: the smallest name among all that renames connect, at any time."""
-    both = aliases.select(F.col("old").alias("a"), F.col("new").alias("b"))
-    edges = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    names = edges.select(F.col("a").alias("ticker"), F.col("a").alias("family")).distinct()
-    for _ in range(6):
-        near = names.join(edges, F.col("ticker") == F.col("a")).select(F.col("b").alias("ticker"), "family")
-        names = names.unionByName(near).groupBy("ticker").agg(F.min("family").alias("family"))
-    return names
+    return closed(aliases.select(F.col("old").alias("a"), F.col("new").alias("b"))).withColumnRenamed("name", "ticker")
 
 
 def superficial_losses(sales: DataFrame, buys: DataFrame, days: int = 30) -> DataFrame:
