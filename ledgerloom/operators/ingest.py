@@ -28,7 +28,7 @@ def mapped_headers(rows: DataFrame, keywords: dict[str, list[str]], ignored: lis
     missing is an error.
     """
     clean = lambda name: "".join(c for c in name.strip().lower() if c.isascii() and (c.isalnum() or c == "$"))
-    of = {clean(k): target for target, names in keywords.items() for k in [target, *names]}
+    of = {clean(k): k for k in (*ESSENTIALS, "fee", "settle_date")} | {clean(k): target for target, names in keywords.items() for k in [target, *names]}
     taken: set[str] = set()
     kept = []
     for c in rows.columns:

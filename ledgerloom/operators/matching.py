@@ -40,7 +40,7 @@ def with_rates(rows: DataFrame, rates: DataFrame) -> DataFrame:
 def rate_class(rows: DataFrame, rates: DataFrame) -> DataFrame:
     """rows of `with_rates` with rate_class: exact, carried_back, stale (after the last rate) or uncovered (before the first); null for CAD."""
     last = F.broadcast(rates.agg(F.max("fx_date").alias("_last")))  # one row
-    found = F.when(F.col("fx_date") == F.col("settle_date"), "exact").when(F.col("fx_date") > F.col("settle_date"), "uncovered").when(F.col("settle_date") > F.col("_last"), "stale").when(F.col("fx_date").isNotNull(), "carried_back")
+    found = F.when(F.col("fx_date").isNull(), None).when(F.col("fx_date") == F.col("settle_date"), "exact").when(F.col("fx_date") > F.col("settle_date"), "uncovered").when(F.col("settle_date") > F.col("_last"), "stale").otherwise("carried_back")
     return rows.crossJoin(last).select(*rows.columns, found.alias("rate_class"))
 
 

@@ -327,7 +327,7 @@ for _name in ("win_cash_first_negative", "dx_CASH_NEGATIVE"):
 _with(
     "win_dup_split",
     f"{FULL} SELECT txn_id, row_number() OVER (PARTITION BY account, ticker, txn_date, units / price ORDER BY txn_id) > 1 AS repeated FROM full_ledger WHERE action = 'SPLIT'",
-    lambda s, d: source.full_ledger(s, d).where("action = 'SPLIT'").select("txn_id", (F.row_number().over(Window.partitionBy("account", "ticker", "txn_date", F.col("units") / F.col("price")).orderBy("txn_id")) > 1).alias("repeated")),
+    lambda s, d: source.full_ledger(s, d).where("action = 'SPLIT'").select("txn_id", (F.row_number().over(Window.partitionBy("account", "ticker", "txn_date", F.try_divide("units", "price")).orderBy("txn_id")) > 1).alias("repeated")),
 )
 _TWICE = f", i AS (SELECT * FROM ledger UNION ALL SELECT * FROM ledger WHERE txn_id % 11 = 0), k AS (SELECT *, {_KEY} AS key FROM i)"
 _add("win_dup_intra", f"{_TWICE} SELECT txn_id FROM k WHERE txn_id % 22 = 0 OR key IN (SELECT key FROM k GROUP BY key HAVING count(*) = 1)", lambda d: _without_repeats(d))
