@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import html
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,7 +50,9 @@ ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|$)|'
 TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|$)|<([a-zA-Z][^\s/>]*)((?:[\s/]++|{re.sub(r'\((?=[^?])', '(?:', ATTRIBUTE.pattern)})*+)(?:>|$)", re.S)
 DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
 WHITE = re.compile(r"[ \t\n\r\f\v]+")
-MOST_DEPTH = 400
+#: Inputs whose value is not shown as text, and the labels of buttons without one.
+UNWRITTEN = frozenset("hidden checkbox radio password file image color range".split())
+LABELS = {"submit": "Submit", "reset": "Reset"}
 
 
 class Node:
@@ -83,14 +87,14 @@ def _declared(style: str) -> dict[str, str]:
     return {k: v for k, (_, v) in found.items()}
 
 
-def tree(page: str) -> Node:
-    """The element tree; end tags without a start are passed over, open elements end with the page.
+def tree(page: str) -> tuple[Node, int]:
+    """The element tree, and how deep it is; end tags without a start are passed over, open elements end with the page.
 
     The start and end of a head are passed over too: what belongs there is hidden by itself, and all else ends it.
     """
     root = Node("html")
     path = [root]
-    at = 0
+    at, deepest = 0, 1
 
     def text(raw: str) -> None:
         if raw and not path[-1].quiet and path[-1].inside != "svg":
@@ -138,13 +142,14 @@ def tree(page: str) -> Node:
                 if end:
                     close = page.find(">", stop)
                     at = len(page) if close < 0 else close + 1
-            elif name not in VOID and not m[3].endswith("/") and len(path) < MOST_DEPTH:
+            elif name not in VOID and not m[3].endswith("/"):
                 path.append(node)
+                deepest = max(deepest, len(path))
         elif m[0].startswith("<![CDATA["):
             if not path[-1].quiet and path[-1].inside != "svg":
                 path[-1].children.append(m[0][9:].removesuffix("]]>"))
     text(page[at:])
-    return root
+    return root, deepest
 
 
 class Writer:
@@ -208,6 +213,11 @@ def render(node: Node, out: Writer) -> None:
         elif tag == "img":
             if (alt := child.attributes.get("alt", "")) and not child.quiet:
                 out.text(f" {alt} ")
+        elif tag == "input":
+            kind = child.attributes.get("type", "text").strip().lower()
+            label = child.attributes.get("value", LABELS.get(kind, ""))
+            if label and kind not in UNWRITTEN and not child.quiet:
+                out.text(f" {label} ")
         elif tag == "hr":
             out.end(2)
         elif tag in ("pre", "xmp", "textarea"):
@@ -253,23 +263,55 @@ def _wrapped(child) -> Node:
 
 
 def _plain(node: Node) -> str:
-    return "".join(c if isinstance(c, str) else ("\n" if c.tag == "br" else "" if c.unseen else _plain(c)) for c in node.children)
+    parts, todo = [], [node]
+    while todo:
+        now = todo.pop()
+        if isinstance(now, str):
+            parts.append(now)
+        elif now.tag == "br":
+            parts.append("\n")
+        elif not now.unseen or now is node:
+            todo += reversed(now.children)
+    return "".join(parts)
+
+
+def _width(text: str) -> int:
+    """How many places a text takes: two for wide characters, none for those that combine."""
+    return len(text) if text.isascii() else sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
+
+
+def _span(cell: Node | str, name: str) -> int:
+    value = "" if isinstance(cell, str) else cell.attributes.get(name, "").strip()
+    return min(int(value), 1000) or 1 if re.fullmatch(r"[0-9]{1,6}", value) else 1
 
 
 def _table(table: Node) -> list[str]:
-    """Lines of a table: cells of a column start at the same place; cells may have many lines."""
-    rows: list[list[list[str]]] = []
-    before: list[str] = []
+    """Lines of a table: cells of a column start at the same place; cells may have many lines, and span columns and rows."""
+    rows: list[list[tuple[int, int, list[str]]]] = []
+    lines: list[str] = []
+    below: dict[int, int] = {}  # columns that cells of rows above still take, and for how many rows
 
     def cells(row: Node) -> None:
-        own = []
+        own, column = [], 0
+        spans = {}
         for cell in row.children:
             if isinstance(cell, str) or not cell.unseen:
                 inner = Writer()
-                render(cell if not isinstance(cell, str) and cell.tag in ("td", "th") else _wrapped(cell), inner)
-                lines = inner.done()
-                if lines or not isinstance(cell, str) and cell.tag in ("td", "th"):
-                    own.append(lines or [""])
+                real = not isinstance(cell, str) and cell.tag in ("td", "th")
+                render(cell if real else _wrapped(cell), inner)
+                held = inner.done()
+                if held or real:
+                    while below.get(column, 0):
+                        column += 1
+                    wide = _span(cell, "colspan")
+                    spans |= dict.fromkeys(range(column, column + wide), _span(cell, "rowspan") - 1)
+                    own.append((column, wide, held or [""]))
+                    column += wide
+        for taken in [c for c in below if c not in spans]:
+            below[taken] -= 1
+            if not below[taken]:
+                del below[taken]
+        below.update({c: n for c, n in spans.items() if n})
         if own:
             rows.append(own)
 
@@ -278,32 +320,42 @@ def _table(table: Node) -> list[str]:
             if isinstance(child, str) or child.tag not in ("tr", "tbody", "thead", "tfoot"):
                 inner = Writer()
                 render(_wrapped(child), inner)
-                before.extend(inner.done())
+                lines.extend(inner.done())
             elif not child.unseen:
                 cells(child) if child.tag == "tr" else walk(child)
 
     walk(table)
-    widths: list[int] = []
-    for row in rows:
-        for i, cell in enumerate(row):
-            width = max(map(len, cell))
-            if i == len(widths):
-                widths.append(width)
-            widths[i] = max(widths[i], width)
-    lines = before
+    widths = [0] * max((column + wide for row in rows for column, wide, _ in row), default=0)
+    for spanning in (False, True):
+        for row in rows:
+            for column, wide, held in row:
+                if (wide > 1) == spanning:
+                    need = max(map(_width, held)) - sum(widths[column : column + wide]) - 3 * (wide - 1)
+                    widths[column + wide - 1] += max(0, need)
+    starts = [0]
+    for width in widths:
+        starts.append(starts[-1] + width + 3)
     for row in rows:
-        for y in range(max(map(len, row))):
-            parts = [(cell[y] if y < len(cell) else "").ljust(widths[i]) for i, cell in enumerate(row)]
-            lines.append(" | ".join(parts).rstrip())
+        for y in range(max(len(held) for _, _, held in row)):
+            line = ""
+            for column, _, held in row:
+                line += " " * (starts[column] - 3 - _width(line)) + " | " if column else ""
+                line += held[y] if y < len(held) else ""
+            lines.append(line.rstrip())
     return lines
 
 
 def page_text(page: str | None) -> str | None:
-    """The visible text of one page; null stays null."""
+    """The visible text of one page; null stays null. However deep elements are nested, all of them are rendered."""
     if page is None:
         return None
-    out = Writer()
-    render(tree(page), out)
+    root, depth = tree(page)
+    out, limit = Writer(), sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, 8 * depth + 1000))  # calls from Python to Python take no stack of the process
+    try:
+        render(root, out)
+    finally:
+        sys.setrecursionlimit(limit)
     return "\n".join(out.done())
 
 

@@ -237,6 +237,11 @@ def test_rendering(page, text):
         ("<svg>raw<title/><style/><g><text>Hello <tspan>you</tspan></text><text>World</text></g><desc>no</desc></svg>after", "Hello you\nWorld\nafter"),
         ("<svg><path d='M0'><foreignObject><p>in</foreignObject></svg><svg><g><div>out</div>too", "in\n\nout\ntoo"),
         ("<img data-alt=no alt='an > image'>", "an > image"),
+        ("<div>" * 3000 + "<div hidden>secret</div>seen", "seen"),
+        ("<table><tr><td>" * 350 + "deep", "deep"),
+        ("<input type=submit value=Go><input type=hidden value=x><input type=reset>", "Go Reset"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td colspan=2>a wide cell<tr><td>d<td>e</table>", "a | b\n  | c\na wide cell\nd | e"),
+        ("<table><tr><td>日本<td>x<tr><td>abc<td>y</table>", "日本 | x\nabc  | y"),
     ],
 )
 def test_rendering_keeps_what_is_seen(page, text):
@@ -347,3 +352,56 @@ def test_whole_texts_teach(spark, monkeypatch):
     quality.learn(d, spark.createDataFrame([(i, i % 2) for i in ends], "doc_id bigint, quality int"), most_bytes=120_000)
     assert len(taught) == 3 and len(taught[2]) == 2
     assert quality.affordable([(1, 1, 9), (2, 1, 99), (3, 1, 1), (4, 1, 0)], 2, 20) == [1, 3]
+
+
+def test_all_visible_text_of_pages_is_rendered(spark):
+    """Brute force: every word of a text node outside hidden elements occurs, on all pages and on random malformed ones."""
+    from ledgerloom.llm.render import Node, tree
+
+    def seen(node):
+        todo, words = [node], []
+        while todo:
+            now = todo.pop()
+            if isinstance(now, str):
+                words += now.split()
+            elif isinstance(now, Node) and not now.unseen:
+                todo += now.children
+        return sorted(words)
+
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect()]
+    r = random.Random(3)
+    tags = ["<p>", "</p>", "<table>", "<tr>", "<td>", "<td colspan=2>", "</table>", "<ul>", "<li>", "</ul>", "<div hidden>", "</div>", "<b>", "</i>", "<pre>", "<br>", "<!-- x", "-->", "<", "a&amp;b ", "<select><option>"]
+    pages += ["".join(r.choice([*tags, f"w{i} "]) for i in range(60)) for _ in range(300)]
+    for page in pages:
+        if page is not None:
+            text = sorted(w for w in render.page_text(page).replace("|", " ").split() if w != "-" and not re.fullmatch(r"\d+\.", w))
+            missing = set(w for w in seen(tree(page)[0]) if "|" not in w and w != "-" and not re.fullmatch(r"\d+\.", w)) - set(text)
+            joined = "".join(text)
+            assert not [w for w in missing if w not in joined and w not in render.page_text(page)], page
+
+
+def test_rendered_tables(spark):
+    d = spark.createDataFrame([(1, "<p>a", "t"), (1, "<p>a", "t"), (2, None, "u")], "page_id bigint, html string, text string")
+    got = render.rendered(d)
+    assert got.columns == ["page_id", "html", "text", "text_"] and sorted((r.page_id, r["text_"]) for r in got.collect()) == [(1, "a"), (1, "a"), (2, None)]
+    assert render.rendered(d.limit(0)).count() == 0
+
+
+def test_winnowing_against_every_window():
+    r = np.random.default_rng(1)
+    for _ in range(200):
+        kinds = r.integers(1, 4)
+        words = r.integers(0, kinds, r.integers(0, 120)).astype(np.uint64)
+        items = [(str(j), r.integers(0, kinds, r.integers(0, 60)).astype(np.uint64)) for j in range(4)] + [("own", words[5:35].copy())]
+        hit, found = np.zeros(len(words), bool), set()
+        for i, (_, item) in enumerate(items):
+            n = min(10, len(item))
+            windows = {tuple(item[j : j + n]) for j in range(len(item) - n + 1)} if n else ()
+            for p in range(len(words) - n + 1):
+                if tuple(words[p : p + n]) in windows:
+                    hit[p : p + n] = True
+                    found.add(i)
+        got = decontaminate.Index(items, 10, 5).marked(words)
+        assert (got[0] == hit).all() and got[1] == found
+    same = np.full(20_000, 7, np.uint64)
+    assert decontaminate.Index([("x", same)], 10, 5).marked(same)[0].all()  # in well under a second
