@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars as S
 from ledgerloom.operators import findings, matching
+from ledgerloom.sources.scratch import stored
 
 ESSENTIALS = ["txn_date", "action", "amount", "currency", "price", "units", "ticker", "account"]
 NUMBERS = ["amount", "price", "units", "fee"]
@@ -136,9 +137,9 @@ def without_own_repeats(rows: DataFrame, approval: Approval | None = None) -> Da
     return own.join(again, "_key", "left").where(F.col("_again").isNull() | _approved(rows, approval)).select(*[F.col(f"`{c}`") for c in rows.columns])
 
 
-def without_stored(rows: DataFrame, stored: DataFrame, approval: Approval | None = None) -> DataFrame:
+def without_stored(rows: DataFrame, held: DataFrame, approval: Approval | None = None) -> DataFrame:
     """rows whose key no stored row has, and approved ones."""
-    known = keyed(stored).select("_key", F.lit(True).alias("_known")).distinct()
+    known = keyed(held).select("_key", F.lit(True).alias("_known")).distinct()
     return keyed(rows).join(known, "_key", "left").where(F.col("_known").isNull() | _approved(rows, approval)).select(*[F.col(f"`{c}`") for c in rows.columns])
 
 
@@ -167,18 +168,18 @@ class Imported:
         return counts.select("read", (F.col("read") - F.col("merged")).alias("merged"), "rejected", (F.col("valid") - F.col("unique")).alias("repeats"), (F.col("unique") - F.col("imported")).alias("known"), "imported")
 
 
-def imported(raw: DataFrame, stored: DataFrame, *, keywords: dict[str, list[str]] | None = None, ignored: list[str] = (), account: str | None = None, merges: list[dict] = (), rules: list = (), optional: dict[str, str] | None = None, approval: Approval | None = None) -> Imported:
+def imported(raw: DataFrame, held: DataFrame, *, keywords: dict[str, list[str]] | None = None, ignored: list[str] = (), account: str | None = None, merges: list[dict] = (), rules: list = (), optional: dict[str, str] | None = None, approval: Approval | None = None) -> Imported:
     """An import: headers, merges, rules, formats, settlement, repeats, stored rows, columns of the stored table."""
     read = mapped_headers(raw, keywords or {}, ignored, account)
     merged = read
     for m in merges:
         merged = findings.merged_groups(merged, m["match_fields"], m["source_actions"], m["target_action"], m.get("amount_field", "amount"), m.get("operations"))
     valid, rejected = formatted(findings.ruled(merged, list(rules)), optional)
-    valid = with_settlement(valid)
-    unique = without_own_repeats(valid, approval)
-    new = without_stored(unique, stored, approval)
+    valid, rejected = stored(with_settlement(valid), "valid"), stored(rejected, "rejected")
+    unique = stored(without_own_repeats(valid, approval), "unique")
+    new = without_stored(unique, held, approval)
     final = new.drop(approval.column) if approval else new
-    return Imported(read, merged, valid, rejected, unique, new, aligned(final, [c for c in stored.columns if c != "txn_id"]))
+    return Imported(read, merged, valid, rejected, unique, new, aligned(final, [c for c in held.columns if c != "txn_id"]))
 
 
 # -- statements ------------------------------------------------------------
