@@ -36,11 +36,5 @@ def components(edges: DataFrame) -> DataFrame:
         mark = new
 
 
-def drawn_together(edges: DataFrame) -> DataFrame:
-    """node, component after one round: nodes of equal components are linked, those of one component may still differ."""
-    now = _small_star(_large_star(_ordered(edges)))
-    return stored(now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")), "drawn")
-
-
 def _ordered(edges: DataFrame) -> DataFrame:
     return edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

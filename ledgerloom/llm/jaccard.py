@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import bloom
 from ledgerloom.llm.bytetext import NOT_SPACE, by_row, distinct_shingles, mix, slices, word_hashes
-from ledgerloom.llm.graph import components, drawn_together
+from ledgerloom.llm.graph import components
 from ledgerloom.llm.scratch import batches_of, fresh, release, small, stored
 
 COUNT_BITS, SEGMENTS = 20, 64
@@ -245,9 +245,9 @@ _HALF = "zip_with(slice({a}, 1, cast(size({a}) / 2 as int)), slice({a}, cast(siz
 
 
 def _shortened(bits: str, most: int) -> str:
-    """A bitmap folded once, and on until it has at most `most` words: at least as many bits as the set has shingles, or `most` words."""
+    """A bitmap folded until it has at most `most` words."""
     folds = (MOST_BITS // 64 // most).bit_length() - 1
-    return f"aggregate(sequence(1, {folds}), if(size({bits}) > 1, {_HALF.format(a=bits)}, {bits}), (a, i) -> if(size(a) > {most}, {_HALF.format(a='a')}, a))"
+    return f"aggregate(sequence(1, {folds}), {bits}, (a, i) -> if(size(a) > {most}, {_HALF.format(a='a')}, a))"
 
 
 def _differing(x: str, y: str) -> str:
@@ -336,7 +336,7 @@ def _components(documents: DataFrame, k: int, percent: int) -> DataFrame:
         first = stored(allowed.groupBy(F.col("x.entity").alias("a")).agg(nearest).select("a", F.col("l.leader").alias("b")), "stars")
         release(leaders, None if found is None else now)
         links = verified(first) if links is None else links.unionByName(verified(first))
-        found = small(drawn_together(links))
+        found = small(components(links))
 
     # tiles again, for pairs whose components still differ
     rest = stored(labelled(found), "labelled")
