@@ -30,26 +30,22 @@ def lookup_table(spark: SparkSession, shards: list[str], slots: int) -> DataFram
     names = spark.range(len(shards), numPartitions=1).select(F.element_at(F.array(*map(F.lit, shards)), (F.col("id") + 1).cast("int")).alias("name"), "id")
     start, skip = hashed(F.col("name"), "offset:") % slots, hashed(F.col("name"), "skip:") % (slots - 1) + 1
     orders = names.agg(F.sort_array(F.collect_list(F.struct("id", start.alias("start"), skip.alias("skip")))).alias("orders"))  # a row a shard
-    # At each turn: the free slots, as an array; the claimed one has the lowest rank in the shard's order.
-    # Rank of slot s: (s - start) * inverse(skip) mod slots; the inverse is skip ** (slots - 2), slots being prime.
+    # The rank of slot s in an order is (s - start) * inverse(skip) mod slots; the inverse is skip ** (slots - 2), slots being prime.
     bits = [i for i in range(slots.bit_length()) if (slots - 2) >> i & 1]
     power = f"""aggregate(sequence(0, {slots.bit_length()}), named_struct('v', 1L, 'p', o.skip),
         (a, i) -> named_struct('v', if(array_contains(array({", ".join(map(str, bits))}), i), a.v * a.p % {slots}, a.v), 'p', a.p * a.p % {slots})).v"""
-    filled = orders.selectExpr(f"transform(orders, o -> named_struct('start', o.start, 'inverse', {power})) as orders").selectExpr(
+    # At each turn the claim is found once: the free slot of lowest rank. A one-element array stands for a name given to a value.
+    rank = f"array_min(transform(a.free, s -> (s - o.start + {slots}) * o.inverse % {slots}))"
+    claim = f"transform(array(orders[t % {len(shards)}]), o -> (o.start + {rank} * o.skip) % {slots})"
+    turn = f"transform({claim}, c -> named_struct('free', array_remove(a.free, c), 'claims', concat(a.claims, array(c))))[0]"
+    filled = orders.selectExpr(f"transform(orders, o -> named_struct('start', o.start, 'skip', o.skip, 'inverse', {power})) as orders").selectExpr(
         f"""aggregate(sequence(0, {slots - 1}), named_struct('free', sequence(0L, {slots - 1}L), 'claims', cast(array() as array<bigint>)),
-        (a, t) -> named_struct(
-          'free', array_remove(a.free, {_claim("a.free", "t", len(shards), slots)}),
-          'claims', concat(a.claims, array({_claim("a.free", "t", len(shards), slots)})))).claims as claims"""
+        (a, t) -> {turn}).claims as claims"""
     )
     names_array = F.array(*map(F.lit, shards))
     return filled.select(F.posexplode("claims").alias("turn", "slot")).select("slot", F.element_at(names_array, (F.col("turn") % len(shards) + 1).cast("int")).alias("shard"))
 
 
-def _claim(free: str, turn: str, shards: int, slots: int) -> str:
-    o = f"orders[{turn} % {shards}]"
-    return f"array_min(transform({free}, s -> named_struct('r', (s - {o}.start + {slots}) * {o}.inverse % {slots}, 's', s))).s"
-
-
 def sharded(df: DataFrame, key: str, shards: list[str], *, slots: int = 1021, out: str = "placement") -> DataFrame:
     """df with a struct column: slot and shard of each row.
 
