@@ -405,3 +405,55 @@ def test_winnowing_against_every_window():
         assert (got[0] == hit).all() and got[1] == found
     same = np.full(20_000, 7, np.uint64)
     assert decontaminate.Index([("x", same)], 10, 5).marked(same)[0].all()  # in well under a second
+
+
+def test_packing_of_nothing(spark):
+    got = packing.packed(spark.createDataFrame([], DOCS), public_tokenizers.path("byte_bpe_50k.json"))
+    assert got.count() == 0 and "sequence_id" in got.columns
+
+
+def test_lines_of_nothing_and_of_a_very_long_text(spark):
+    assert lines.deduplicated(spark.createDataFrame([], DOCS)).count() == 0
+    own = [f"line {i} of the long one" for i in range(40_000)]
+    d = spark.createDataFrame([(1, "\n".join(own[::2])), (2, "\n".join(own))], DOCS)
+    got = {r.doc_id: r.line_dedup for r in lines.deduplicated(d).collect()}
+    assert (got[1].n_dropped, got[2].n_lines, got[2].n_dropped) == (0, 40_000, 20_000)
+    assert got[2].text == "\n".join(own[1::2])
+
+
+def test_shards_of_nothing_and_beside_a_taken_name(spark):
+    d = spark.createDataFrame([("a", 1)], "k string, placement int")
+    got = sharding.sharded(d, "k", ["x", "y"], slots=11)
+    assert got.columns[:2] == d.columns and len({c.lower() for c in got.columns}) == 3 and got.first()["placement"] == 1
+    assert sharding.sharded(d.limit(0), "k", ["x", "y"], slots=11).count() == 0
+
+
+def test_language_of_nothing_repeats_and_a_taken_name(spark):
+    net = language.new_net(["a", "b"], 2)
+    d = spark.createDataFrame([(1, "same words", 5), (1, "same words", 5), (2, "far " * 50_000, 6), (3, None, 7)], DOCS + ", language int")
+    got = language.identified(d, net)
+    new = [c for c in got.columns if c not in d.columns]
+    rows = got.orderBy("doc_id").collect()
+    assert len(new) == 1 and [r["language"] for r in rows] == [5, 5, 6, 7]
+    assert rows[0][new[0]] == rows[1][new[0]] and all(0 <= r[new[0]].score <= 1 for r in rows) and rows[3][new[0]].lang == "und"
+    assert language.identified(d.limit(0), net).count() == 0
+
+
+def test_quality_of_nothing_repeats_and_a_taken_name(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)] + [(1, 1), (2, 0), (3, None)], "doc_id bigint, quality int")
+    docs = [(i, ("good clear prose " if i % 2 else "zxq zxq junk ") * 5) for i in range(1, 60)]
+    model = quality.learn(spark.createDataFrame(docs, DOCS), labels)
+    odd = [(1, "good clear prose", 9), (1, "good clear prose", 9), (2, "", 9), (3, None, 9), (4, "junk " * 100_000, 9)]
+    d = spark.createDataFrame(odd, DOCS + ", quality_score int")
+    got = quality.scored(d, model)
+    new = [c for c in got.columns if c not in d.columns]
+    rows = got.orderBy("doc_id").collect()
+    assert len(new) == 1 and [r["quality_score"] for r in rows] == [9] * 5
+    scores = [r[new[0]] for r in rows]
+    assert scores[0] == scores[1] and scores[2] == scores[3] and all(0 <= x <= 1 for x in scores)
+    assert scores[0] > scores[4]
+    assert quality.scored(d.limit(0), model).count() == 0
+
+
+def test_archives_of_nothing(spark):
+    assert warc.round_trip(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
