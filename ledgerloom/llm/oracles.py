@@ -90,3 +90,27 @@ placed AS (SELECT unnest(taken) AS slot, unnest(range(0, {slots})) % {len(shards
 SELECT t.{key}, placed.slot, names.name AS shard
 FROM {table} t JOIN placed ON placed.slot = {number.format(f"coalesce(CAST(t.{key} AS VARCHAR), '')")} % {slots} JOIN names USING (id)
 """
+
+
+def centroids(k: int, rounds: int, dim: int, scale: int, seed: int) -> str:
+    """Every vector against every centroid, round after round."""
+    steps = [
+        f"""WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1 AS INTEGER) AS cluster, x FROM v ORDER BY sha256('{seed}:' || vec_id) LIMIT {k})"""
+    ]
+    for r in range(rounds + 1):
+        far = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: CAST((p[1] - p[2]) * (p[1] - p[2]) AS HUGEINT)))"
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, arg_min(cluster, (far, cluster)) AS cluster, min(far) AS far, first(x) AS x FROM (SELECT v.vec_id, c.cluster, v.x, {far} AS far FROM v, c{r} c) GROUP BY vec_id)")
+        if r < rounds:
+            parts = f"SELECT cluster, unnest(x) AS s, unnest(range(0, {dim})) AS i FROM a{r}"
+            floors = "CAST((sum(s) - ((sum(s) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT)"
+            means = f"SELECT cluster, list(m ORDER BY i) AS x FROM (SELECT cluster, i, {floors} AS m FROM ({parts}) GROUP BY cluster, i) GROUP BY cluster"
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN ({means}) m USING (cluster))")
+    return (
+        ",\n".join(steps)
+        + f"""
+SELECT a.vec_id, a.cluster, CAST(a.far AS BIGINT) AS distance, CAST(sum(a.far) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(a.far) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c USING (cluster)"""
+    )

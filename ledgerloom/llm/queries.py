@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, jaccard, language, lines, neighbours, oracles, packing, quality, render, sharding, warc
+from ledgerloom.llm import centroids, decontaminate, jaccard, language, lines, neighbours, oracles, packing, quality, render, sharding, warc, whitening
 
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
 SLOTS = 1021
@@ -75,10 +75,18 @@ def op10_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.rendered(_table(spark, sf_dir, "pages")).select("page_id", "text")
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_decontaminate, op2_neighbours, op3_jaccard, op4_pack, op5_line_dedup, op6_shard, op7_language, op8_quality, op9_warc, op10_render)
+        for f in (op1_decontaminate, op2_neighbours, op3_jaccard, op4_pack, op5_line_dedup, op6_shard, op7_language, op8_quality, op9_warc, op10_render, op12_centroids, op13_whitening)
     }
 
 
@@ -91,4 +99,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_line_dedup": oracles.LINES,
         "op6_shard": oracles.sharding("doc_id", "documents", SHARDS, SLOTS),
         "op9_warc": oracles.WARC,
+        "op12_centroids": oracles.centroids(8, 10, 64, 1024, 3),
     }
