@@ -114,3 +114,21 @@ SELECT a.vec_id, a.cluster, CAST(a.far AS BIGINT) AS distance, CAST(sum(a.far) O
        sha256(array_to_string(c.x, ',')) AS centroid_sha256
 FROM a{rounds} a JOIN c{rounds} c USING (cluster)"""
     )
+
+
+def suffixes(length: int) -> str:
+    """Every string of `length` bytes of every text, counted."""
+    n = length
+    return f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+parts AS (SELECT doc_id, unnest(range(0, n - {n - 1}, {n})) AS b, h, n FROM d WHERE n >= {n}),
+cut AS MATERIALIZED (SELECT doc_id, b, least({n}, n - {n - 1} - b) AS most, substr(h, 2 * b + 1, {4 * n}) AS h FROM parts),
+m AS (SELECT doc_id, unnest(list_transform(range(0, most), lambda p: md5_number(substr(h, 2 * p + 1, {2 * n})))) AS k, b + unnest(range(0, most)) AS p FROM cut),
+again AS (SELECT k FROM m GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT doc_id, p, p > coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p) + {n}, -1) AS new FROM m SEMI JOIN again USING (k)),
+runs AS (SELECT doc_id, min(p) AS a, max(p) + {n} AS b FROM (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM hit) GROUP BY doc_id, g),
+cuts AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM runs),
+kept AS (SELECT doc_id, count(*) AS spans, sum(b - a) AS gone, max(b) AS last, string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) AS h FROM cuts JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept.h || substr(d.h, CAST(2 * last + 1 AS BIGINT)), d.h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import centroids, decontaminate, jaccard, language, lines, neighbours, oracles, packing, quality, render, sharding, warc, whitening
+from ledgerloom.llm import centroids, decontaminate, jaccard, language, lines, neighbours, oracles, packing, quality, render, sharding, suffixes, warc, whitening
 
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
 SLOTS = 1021
@@ -75,6 +75,12 @@ def op10_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.rendered(_table(spark, sf_dir, "pages")).select("page_id", "text")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffixes.without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.sha2("suffix_dedup.kept", 256)
+    return done.select("doc_id", "suffix_dedup.n_bytes", "suffix_dedup.n_removed", "suffix_dedup.n_spans", kept.alias("kept_sha256"))
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clustered(_table(spark, sf_dir, "embeddings"))
 
@@ -86,7 +92,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_decontaminate, op2_neighbours, op3_jaccard, op4_pack, op5_line_dedup, op6_shard, op7_language, op8_quality, op9_warc, op10_render, op12_centroids, op13_whitening)
+        for f in (op1_decontaminate, op2_neighbours, op3_jaccard, op4_pack, op5_line_dedup, op6_shard, op7_language, op8_quality, op9_warc, op10_render, op11_suffix_dedup, op12_centroids, op13_whitening)
     }
 
 
@@ -99,5 +105,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_line_dedup": oracles.LINES,
         "op6_shard": oracles.sharding("doc_id", "documents", SHARDS, SLOTS),
         "op9_warc": oracles.WARC,
+        "op11_suffix_dedup": oracles.suffixes(400),
         "op12_centroids": oracles.centroids(8, 10, 64, 1024, 3),
     }
