@@ -10,6 +10,7 @@ backward extension from the empty string finds the intervals of all strings of
 of 0, 1, 2, ... bytes. It stops at `length`: suffixes whose common prefix has not
 been found by then share at least as much.
 
+Anchors that a Bloom filter shows only once are left alone from the start.
 An anchor with too many different pieces for a block is split: its windows are
 dealt again by longer and longer grams, the last of them the windows themselves.
 """
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm import bloom
 from ledgerloom.llm.bytetext import SpanHash, give_back, slices
 from ledgerloom.llm.scratch import MOST_BROADCAST, batches_of, fresh, release, small, stored
 
@@ -37,17 +39,21 @@ FOUND = "k1 bigint, k2 bigint, h bigint, digest binary, size int, at array<int>"
 
 
 def smallest(grams: np.ndarray, width: int) -> np.ndarray:
-    """Where the smallest of each `width` neighbouring grams is; the last of equals."""
-    value, at, held = grams, np.arange(len(grams)), 1
-    while held < width:
-        step = min(held, width - held)
-        right = value[step:] <= value[:-step]
-        value, at, held = np.where(right, value[step:], value[:-step]), np.where(right, at[step:], at[:-step]), held + step
-    return at
+    """The smallest of each `width` neighbouring grams, from minima to both sides within blocks of that width."""
+    n = len(grams)
+    blocks = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, np.uint64)
+    blocks[:n] = grams
+    blocks = blocks.reshape(-1, width)
+    before = np.minimum.accumulate(blocks, axis=1).ravel()
+    after = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(after[: n - width + 1], before[width - 1 : n])
 
 
 def runs(data: np.ndarray, allowed: np.ndarray, k: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and last start of neighbouring allowed windows that share an anchor, and the anchor's hash."""
+    """First and last start of neighbouring allowed windows that share an anchor, and the anchor's hash.
+
+    Of equal grams in a window the first is its anchor, so a run ends where it starts with its anchor.
+    """
     none = np.zeros(0, np.int64)
     if len(data) < length or not allowed.any():
         return none, none, none
@@ -57,9 +63,9 @@ def runs(data: np.ndarray, allowed: np.ndarray, k: int, length: int) -> tuple[np
     starts = np.flatnonzero(allowed)
     own = anchor[starts]
     new = np.ones(len(starts), bool)
-    new[1:] = (own[1:] != own[:-1]) | (starts[1:] != starts[:-1] + 1)
+    new[1:] = (own[1:] != own[:-1]) | (starts[1:] != starts[:-1] + 1) | (grams[starts[:-1]] == own[:-1])
     first = np.flatnonzero(new)
-    return starts[first], starts[np.append(first[1:], len(starts)) - 1], grams[own[first]].view(np.int64)
+    return starts[first], starts[np.append(first[1:], len(starts)) - 1], own[first].view(np.int64)
 
 
 def _allowed(offsets: np.ndarray, windows: list | None, length: int) -> np.ndarray:
@@ -77,26 +83,49 @@ def _allowed(offsets: np.ndarray, windows: list | None, length: int) -> np.ndarr
     return np.cumsum(change)[: max(offsets[-1] - length + 1, 0)] > 0
 
 
-def _pieces(k: int, length: int):
-    """The pieces of a task's texts: a row per text and different piece, with the places where it begins."""
+def _found(batch: pa.RecordBatch, k: int, length: int) -> Iterator[tuple]:
+    """First row, offsets, place of a part, its bytes, and its runs, for each part of a batch of (k1, k2, text) or (k1, k2, text, windows)."""
+    given = batch.column(3).to_pylist() if batch.num_columns > 3 else None
+    for low, high, data, offsets in slices(batch.column(2)):
+        allowed = _allowed(offsets, given and given[low:high], length)
+        for base in range(0, max(len(allowed), 1), CHUNK):
+            part = data[base : base + CHUNK + length - 1]
+            yield low, high, offsets, base, part, *runs(part, allowed[base : base + CHUNK], k, length)
+
+
+def _filters(bits: int, k: int, length: int):
+    """Compressed segments of a task's filters of anchors seen once and twice."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = bloom.Pair(bits)
+        for batch in batches:
+            for *_, hashes in _found(batch, k, length):
+                at, n = np.unique(bloom.places(hashes.view(np.uint64), bits), return_counts=True)
+                pair.add(at, n > 1)
+        yield pair.segments()
+
+    return build
+
+
+def _pieces(k: int, length: int, held, bits: int):
+    """The pieces of a task's texts: a row per text and different piece, with the places where it begins. Anchors that the filter of those seen twice doesn't hold are left out."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        twice = np.frombuffer(held.value, np.uint8) if held is not None else None
         for batch in batches:
-            given = batch.column(3).to_pylist() if batch.num_columns > 3 else None
-            for low, high, data, offsets in slices(batch.column(2)):
-                allowed = _allowed(offsets, given and given[low:high], length)
-                found: dict[tuple, list[int]] = {}
-                for base in range(0, max(len(allowed), 1), CHUNK):
-                    part = data[base : base + CHUNK + length - 1]
-                    first, last, hashes = runs(part, allowed[base : base + CHUNK], k, length)
-                    row = np.searchsorted(offsets, first + base, "right") - 1
-                    place, raw = first + base - offsets[row], part.tobytes() if len(first) else b""
-                    for r, h, a, b, p in zip(row.tolist(), hashes.tolist(), first.tolist(), (last + length).tolist(), place.tolist(), strict=True):
-                        found.setdefault((r, h, hashlib.md5(raw[a:b], usedforsecurity=False).digest(), b - a), []).append(p)
-                rows = pa.array([low + r for r, _, _, _ in found])
-                columns = [batch.column(0).take(rows), batch.column(1).take(rows)] if found else [pa.array([], pa.int64())] * 2
-                columns += [pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.binary()), pa.array([x[3] for x in found], pa.int32()), pa.array(list(found.values()), pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "h", "digest", "size", "at"])
+            found: dict[tuple, list[int]] = {}
+            for low, _, offsets, base, part, first, last, hashes in _found(batch, k, length):
+                if twice is not None:
+                    maybe = bloom.holds(twice, bloom.places(hashes.view(np.uint64), bits))
+                    first, last, hashes = first[maybe], last[maybe], hashes[maybe]
+                row = np.searchsorted(offsets, first + base, "right") - 1
+                place, raw = first + base - offsets[row], part.tobytes() if len(first) else b""
+                for r, h, a, b, p in zip(row.tolist(), hashes.tolist(), first.tolist(), (last + length).tolist(), place.tolist(), strict=True):
+                    found.setdefault((low + r, h, hashlib.md5(raw[a:b], usedforsecurity=False).digest(), b - a), []).append(p)
+            rows = pa.array([x[0] for x in found], pa.int64())
+            columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.binary())]
+            columns += [pa.array([x[3] for x in found], pa.int32()), pa.array(list(found.values()), pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "h", "digest", "size", "at"])
 
     return pieces
 
@@ -265,8 +294,14 @@ def _join(left: DataFrame, right: DataFrame, on: list[str], rows_bytes: int) ->
 
 def _level(keyed: DataFrame, k: int, length: int, block: int) -> tuple[DataFrame, DataFrame | None]:
     """Spans of repeated windows by text (at, spans), and the windows that longer grams have to split, if any."""
-    key = ["h", "digest"]
-    found = stored(keyed.mapInArrow(_pieces(k, length), FOUND), "pieces")
+    key, spark = ["h", "digest"], keyed.sparkSession
+    held, bits = None, 0
+    if "windows" not in keyed.columns:
+        # about two anchors for as many bytes as a gram can move in a window
+        total = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        bits = bloom.bits_for(2 * total // (length - k + 2))
+        held = spark.sparkContext.broadcast(bloom.merged(keyed.mapInArrow(_filters(bits, k, length), bloom.SHAPE), bits, "twice"))
+    found = stored(keyed.mapInArrow(_pieces(k, length, held, bits), FOUND), "pieces")
     pieces = found.groupBy(*key).agg(F.sum(F.size("at")).alias("n"), F.min(F.struct("k1", "k2", F.col("at")[0].alias("at"))).alias("of"), F.max("size").alias("size"))
     pieces = stored(pieces, "different")
     groups = stored(pieces.groupBy("h").agg(F.count("*").alias("different"), F.sum("size").alias("bytes")).where("different > 1"), "anchors")
@@ -278,7 +313,10 @@ def _level(keyed: DataFrame, k: int, length: int, block: int) -> tuple[DataFrame
     wanted = compared.groupBy("of.k1", "of.k2").agg(F.collect_list(F.struct("h", "digest", "n", "of.at", "size")).alias("wanted"))
     wanted = stored(wanted, "wanted")
     rows, parts = wanted.agg(F.count("*"), F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()
-    texts = _join(keyed.select("k1", "k2", "text"), wanted, ["k1", "k2"], rows * 64 + parts * 56).select("text", "wanted")
+    texts = keyed.select("k1", "k2", "text")
+    if rows * 64 + parts * 56 > MOST_BROADCAST // 4 and rows * 32 <= MOST_BROADCAST:
+        texts = texts.join(F.broadcast(wanted.select("k1", "k2")), ["k1", "k2"], "left_semi")  # only texts that give pieces move
+    texts = _join(texts, wanted, ["k1", "k2"], rows * 64 + parts * 56).select("text", "wanted")
     dealt = texts.mapInArrow(_cut, "h bigint, digest binary, n bigint, piece binary").repartition("h").sortWithinPartitions("h")
     own = dealt.mapInArrow(_expanded(length, block), "h bigint, digest binary, spans array<int>").withColumn("n", F.lit(1).cast("bigint"))
     whole = pieces.where("n > 1").select("h", "digest", F.array(F.lit(0), F.col("size") - length + 1).alias("spans"), "n")
@@ -352,7 +390,8 @@ def without_repeats(documents: DataFrame, *, length: int = 400, block: int = BLO
     and columns whose names clash with those used here do no harm.
 
     Rows are known by two 64-bit hashes of id and text, and equal pieces by 128-bit
-    digests. `block` bounds the bytes of different pieces that are sorted together
+    digests. The filter has 8 bits an anchor, at most 32 MB; beyond that more
+    anchors pass to the counting, and none gets lost. `block` bounds the bytes of different pieces that are sorted together
     (twice as many at most); anchors with more are dealt again by longer grams.
     """
     spark, name = documents.sparkSession, fresh(documents.columns, out)

@@ -52,7 +52,7 @@ def passages(seed):
     text = lambda n: " ".join(word() for _ in range(n))
     shared = [text(30) for _ in range(3)]
     docs = [(i, text(r.randrange(40)) + r.choice(shared)[r.randrange(20) : r.randrange(40, 90)] + text(r.randrange(30))) for i in range(60)]
-    docs += [(100, None), (101, ""), (102, "a" * 500), (103, "ab" * 200), (None, docs[3][1]), (3, docs[3][1]), (104, docs[5][1]), (105, "short"), (106, text(2000)), (107, docs[0][1][:50] * 2), (None, None)]
+    docs += [(100, None), (101, ""), (102, "a" * 500), (103, "ab" * 200), (None, docs[3][1]), (3, docs[3][1]), (104, docs[5][1]), (105, "short"), (106, text(2000)), (107, docs[0][1][:50] * 2), (108, "hjklmno" * 9), (109, "qwertzuiopy" * 12), (None, None)]
     return docs
 
 
