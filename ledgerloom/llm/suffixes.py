@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bloom
-from ledgerloom.llm.bytetext import SpanHash, give_back, slices
+from ledgerloom.llm.bytetext import SpanHash, give_back, mix, slices
 from ledgerloom.llm.scratch import MOST_BROADCAST, batches_of, fresh, release, small, stored
 
 BLOCK = 1 << 20  # bytes of different pieces of an anchor, and of anchors whose pieces share a block
@@ -94,13 +94,13 @@ def _found(batch: pa.RecordBatch, k: int, length: int) -> Iterator[tuple]:
 
 
 def _filters(bits: int, k: int, length: int):
-    """Compressed segments of a task's filters of anchors seen once and twice."""
+    """Compressed segments of a task's filters of anchors seen once and twice. Anchors are small hashes, so they are mixed again."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = bloom.Pair(bits)
         for batch in batches:
             for *_, hashes in _found(batch, k, length):
-                at, n = np.unique(bloom.places(hashes.view(np.uint64), bits), return_counts=True)
+                at, n = np.unique(bloom.places(mix(hashes.view(np.uint64)), bits), return_counts=True)
                 pair.add(at, n > 1)
         yield pair.segments()
 
@@ -116,7 +116,7 @@ def _pieces(k: int, length: int, held, bits: int):
             found: dict[tuple, list[int]] = {}
             for low, _, offsets, base, part, first, last, hashes in _found(batch, k, length):
                 if twice is not None:
-                    maybe = bloom.holds(twice, bloom.places(hashes.view(np.uint64), bits))
+                    maybe = bloom.holds(twice, bloom.places(mix(hashes.view(np.uint64)), bits))
                     first, last, hashes = first[maybe], last[maybe], hashes[maybe]
                 row = np.searchsorted(offsets, first + base, "right") - 1
                 place, raw = first + base - offsets[row], part.tobytes() if len(first) else b""
