@@ -11,6 +11,7 @@ import html
 import re
 import sys
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,7 +22,7 @@ from ledgerloom.llm.scratch import fresh
 
 #: Elements of HTML by their part in layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style template noscript title iframe object audio video canvas datalist".split())
+HIDDEN = frozenset("script style template noscript title iframe object audio video canvas datalist meter progress".split())
 #: What drawings and formulas hold without showing it, where HTML begins again in them, and the tags of HTML that end them.
 UNDRAWN = {"svg": frozenset("defs symbol desc metadata clippath mask pattern marker".split()), "math": frozenset("annotation annotation-xml".split())}
 UNDRAWN["text"] = UNDRAWN["svg"]
@@ -44,6 +45,9 @@ IMPLIED = {
     "option": (frozenset(["option"]), frozenset(["select", "datalist"])),
     "optgroup": (frozenset(["option", "optgroup"]), frozenset(["select"])),
 }
+#: Cells and tables, which most end tags do not reach beyond, and those that do.
+CELLS = ("td", "th", "table")
+CROSSES = frozenset("table tr tbody thead tfoot td th body html".split())
 IMPLIED["thead"] = IMPLIED["tfoot"] = IMPLIED["tbody"]
 
 ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|$)|'([^']*+)(?:'|$)|([^\s>\"'][^\s>]*+))?)?")
@@ -53,6 +57,12 @@ WHITE = re.compile(r"[ \t\n\r\f\v]+")
 #: Inputs whose value is not shown as text, and the labels of buttons without one.
 UNWRITTEN = frozenset("hidden checkbox radio password file image color range".split())
 LABELS = {"submit": "Submit", "reset": "Reset"}
+#: The largest spans of cells, and the value for what is left of a table.
+WIDEST, TALLEST = 1000, 65534
+#: Numbers of lists in Roman letters.
+ROMAN = [(1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")]
+#: Lists indent the lines after a mark by so many places at most, and tables within so many others are laid out as blocks.
+INDENT, NESTED = 40, 8
 
 
 class Node:
@@ -61,10 +71,10 @@ class Node:
     __slots__ = ("tag", "attributes", "children", "unseen", "quiet", "inside")
 
     def __init__(self, tag: str, attributes: str = "", parent: Node | None = None):
-        self.tag, self.attributes, self.children = tag, _parsed(attributes), []
+        self.tag, self.attributes, self.children = tag, _parsed(attributes) if attributes else {}, []
         within, self.quiet = (parent.inside, parent.quiet) if parent else ("", False)
         style = _declared(self.attributes.get("style", ""))
-        self.unseen = tag in HIDDEN or "hidden" in self.attributes or style.get("display") == "none" or tag in UNDRAWN.get(within, ())
+        self.unseen = tag in HIDDEN or "hidden" in self.attributes or tag == "dialog" and "open" not in self.attributes or style.get("display") == "none" or tag in UNDRAWN.get(within, ())
         if "visibility" in style:
             self.quiet = style["visibility"] in ("hidden", "collapse")
         self.inside = tag if tag in ("svg", "math") or tag == "text" and within else "" if tag in POINTS else within
@@ -94,43 +104,47 @@ def tree(page: str) -> tuple[Node, int]:
     """
     root = Node("html")
     path = [root]
+    where: dict[str, list[int]] = {}  # places of open elements in the path, by tag
+    blocks = [0]  # of open blocks other than paragraphs
     at, deepest = 0, 1
 
     def text(raw: str) -> None:
         if raw and not path[-1].quiet and path[-1].inside != "svg":
             path[-1].children.append(html.unescape(raw) if "&" in raw else raw)
 
+    def last(tags) -> int:
+        """The place of the innermost open element of some tags, 0 if there is none."""
+        return max((where[t][-1] for t in tags if where.get(t)), default=0)
+
+    def cut(place: int) -> None:
+        """Ends the element at a place and all within it."""
+        while len(path) > place:
+            where[path.pop().tag].pop()
+        while blocks[-1] >= len(path):
+            blocks.pop()
+
     while m := TOKEN.search(page, at):
         text(page[at : m.start()])
         at = m.end()
         if name := m[1]:
             name = name.lower()
-            for i in range(len(path) - 1, 0, -1):
-                if path[i].tag == name:
-                    del path[i:]
-                    break
-                if path[i].tag in ("td", "th", "table") and name not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "body", "html"):
-                    break
+            place = last((name,))
+            if place and (name in CROSSES or place >= last(CELLS)):
+                cut(place)
         elif name := m[2]:
             name = name.lower()
             if name in ("html", "head"):
                 continue
             while path[-1].inside and (name in BREAKOUT or name == "font" and _parsed(m[3]).keys() & {"color", "face", "size"}):
-                path.pop()
+                cut(len(path) - 1)
             ends, border = IMPLIED.get(name, (frozenset(), frozenset()))
             if ends:
-                for i in range(len(path) - 1, 0, -1):
-                    if path[i].tag in border:
-                        break
-                    if path[i].tag in ends:
-                        del path[i:]
-            if name in ENDS_P:
-                for i in range(len(path) - 1, 0, -1):
-                    if path[i].tag == "p":
-                        del path[i:]
-                        break
-                    if path[i].tag in BLOCK:
-                        break
+                limit = last(border)
+                first = min((where[t][i] for t in ends if where.get(t) and (i := bisect_right(where[t], limit)) < len(where[t])), default=0)
+                if first:
+                    cut(first)
+            if name in ENDS_P and (place := last(("p",))) > blocks[-1]:
+                cut(place)
             node = Node(name, m[3], path[-1])
             path[-1].children.append(node)
             if name in RAW and not (path[-1].inside and m[3].endswith("/")):
@@ -143,6 +157,9 @@ def tree(page: str) -> tuple[Node, int]:
                     close = page.find(">", stop)
                     at = len(page) if close < 0 else close + 1
             elif name not in VOID and not m[3].endswith("/"):
+                where.setdefault(name, []).append(len(path))
+                if name in BLOCK and name != "p":
+                    blocks.append(len(path))
                 path.append(node)
                 deepest = max(deepest, len(path))
         elif m[0].startswith("<![CDATA["):
@@ -152,12 +169,23 @@ def tree(page: str) -> tuple[Node, int]:
     return root, deepest
 
 
+class Frame:
+    """A list's item, or the page: the mark before its first line and what is before the others, whether it has lines, and the break that is due."""
+
+    __slots__ = ("mark", "rest", "begun", "gaps")
+
+    def __init__(self, mark: str = "", rest: str = ""):
+        self.mark, self.rest, self.begun, self.gaps = mark, rest, False, 0
+
+
 class Writer:
-    """Lines of text; a block break ends a line, a paragraph break leaves an empty one."""
+    """Lines of text; a block break ends a line, a paragraph break leaves an empty one. Items of lists are frames within frames."""
 
-    def __init__(self) -> None:
+    def __init__(self, nested: int = 0) -> None:
         self.lines: list[str] = []
-        self.line, self.gap, self.gaps = "", False, 0
+        self.frames, self.unsettled = [Frame()], 0  # frames from this one on may have a break or a mark due
+        self.line: list[str] = []
+        self.gap, self.nested = False, nested
 
     def text(self, raw: str) -> None:
         words = WHITE.sub(" ", raw)
@@ -165,43 +193,101 @@ class Writer:
             self.gap = self.gap or bool(words)
             return
         if (self.gap or words[0] == " ") and self.line:
-            self.line += " "
-        self._open()
-        self.line += words.strip(" ")
+            self.line.append(" ")
+        self.line.append(words.strip(" "))
         self.gap = words[-1] == " "
 
-    def _open(self) -> None:
-        if not self.line and self.gaps and self.lines:
-            self.lines += [""] * (self.gaps - 1)
-        if not self.line:
-            self.gaps = 0
+    def _emit(self, line: str) -> None:
+        """A line with the breaks and marks that are due before it."""
+        before = self.frames[max(self.unsettled - 1, 0)].rest
+        for frame in self.frames[self.unsettled :]:
+            if frame.begun:
+                self.lines += [""] * (frame.gaps - 1)
+                before = frame.rest
+            else:
+                before += frame.mark
+            frame.begun, frame.gaps = True, 1
+        self.unsettled = len(self.frames) - 1
+        self.lines.append(before + line if line else "")
 
     def literal(self, line: str) -> None:
         self.end(1)
-        self._open()
-        self.lines.append(line)
-        self.gaps = 1
+        self._emit(line)
 
     def newline(self) -> None:
         if self.line:
             self.end(1)
         else:
-            self.gaps = min(2, max(self.gaps, 1) + 1)
+            top = self.frames[-1]
+            top.gaps = min(2, max(top.gaps, 1) + 1)
 
     def end(self, gaps: int) -> None:
         if self.line:
-            self.lines.append(self.line)
-            self.line, self.gaps = "", 0
+            line, self.line = "".join(self.line), []
+            self._emit(line)
+            self.frames[-1].gaps = 0
         self.gap = False
-        self.gaps = max(self.gaps, gaps)
+        self.frames[-1].gaps = max(self.frames[-1].gaps, gaps)
+
+    def enter(self, mark: str) -> None:
+        self.end(1)
+        self.frames.append(Frame(mark, (self.frames[-1].rest + " " * len(mark))[:INDENT]))
+
+    def leave(self) -> None:
+        self.end(1)
+        self.frames.pop()
+        self.unsettled = min(self.unsettled, len(self.frames) - 1)
 
     def done(self) -> list[str]:
         self.end(1)
         return self.lines
 
 
+def _numbered(number: int, kind: str) -> str:
+    """A list's number in figures, letters or Roman letters; what has none of the latter is in figures."""
+    if kind in ("a", "A") and number > 0:
+        text = ""
+        while number:
+            number, at = divmod(number - 1, 26)
+            text = chr(97 + at) + text
+    elif kind in ("i", "I") and 0 < number < 4000:
+        text = ""
+        for value, letters in ROMAN:
+            text += letters * (number // value)
+            number %= value
+    else:
+        return f"{number}. "
+    return f"{text.upper() if kind.isupper() else text}. "
+
+
+def _whole(value: str, default: int) -> int:
+    found = re.fullmatch(r"\s*([-+]?[0-9]{1,9})\s*", value)
+    return int(found[1]) if found else default
+
+
+def _list(node: Node, out: Writer) -> None:
+    items = [c for c in node.children if not isinstance(c, str) and c.tag == "li" and not c.unseen]
+    reverse, kind = "reversed" in node.attributes, node.attributes.get("type", "").strip()
+    number = _whole(node.attributes.get("start", ""), len(items) if reverse else 1)
+    for item in node.children:
+        if isinstance(item, str) or item.tag != "li":
+            render(_wrapped(item), out)
+            continue
+        if item.unseen:
+            continue
+        number = _whole(item.attributes.get("value", ""), number)
+        out.enter(_numbered(number, item.attributes.get("type", kind).strip()) if node.tag == "ol" else "- ")
+        number += -1 if reverse else 1
+        render(item, out)
+        out.leave()
+
+
 def render(node: Node, out: Writer) -> None:
-    for child in node.children:
+    """Writes what is visible in a node. Of closed details only the first summary is."""
+    children = node.children
+    if node.tag == "details" and "open" not in node.attributes:
+        children = [c for c in children if not isinstance(c, str) and c.tag == "summary"][:1]
+    for child in children:
         if isinstance(child, str):
             out.text(child)
             continue
@@ -225,31 +311,22 @@ def render(node: Node, out: Writer) -> None:
             for line in _plain(child).strip("\n").split("\n"):
                 out.literal(line.rstrip())
             out.end(2)
-        elif tag == "table":
+        elif tag == "table" and out.nested < NESTED:
             out.end(2)
-            for line in _table(child):
+            for line in _table(child, out.nested + 1):
                 out.literal(line)
             out.end(2)
         elif tag in ("ul", "ol", "menu", "dir"):
-            out.end(1 if node.tag == "li" else 2)
-            number = child.attributes.get("start", "").strip() if tag == "ol" else ""
-            number = int(number) if re.fullmatch(r"-?[0-9]{1,9}", number) else 1
-            for item in child.children:
-                if isinstance(item, str) or item.tag != "li":
-                    render(_wrapped(item), out)
-                    continue
-                if item.unseen:
-                    continue
-                inner = Writer()
-                render(item, inner)
-                mark = f"{number}. " if tag == "ol" else "- "
-                number += 1
-                for i, line in enumerate(inner.done()):
-                    out.literal((mark if i == 0 else " " * len(mark)) + line if line else "")
-            out.end(1 if node.tag == "li" else 2)
+            gaps = 1 if node.tag == "li" else 2
+            out.end(gaps)
+            _list(child, out)
+            out.end(gaps)
         elif tag in BLOCK or tag == "foreignobject" or child.inside == tag == "text":
             gaps = 2 if tag in APART else 1
             out.end(gaps)
+            if tag == "optgroup" and not child.quiet and (label := child.attributes.get("label", "")):
+                out.text(label)
+                out.end(1)
             render(child, out)
             out.end(gaps)
         else:
@@ -280,45 +357,47 @@ def _width(text: str) -> int:
     return len(text) if text.isascii() else sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
-def _span(cell: Node | str, name: str) -> int:
+def _span(cell: Node | str, name: str, most: int) -> int:
+    """How many columns or rows a cell takes; no rows are all that are left."""
     value = "" if isinstance(cell, str) else cell.attributes.get(name, "").strip()
-    return min(int(value), 1000) or 1 if re.fullmatch(r"[0-9]{1,6}", value) else 1
+    found = re.match(r"\+?0*([0-9]*)", value)[1] if re.match(r"\+?[0-9]", value) else "1"
+    number = most if len(found) > 6 else min(int(found or 0), most)
+    return number or (most if name == "rowspan" else 1)
 
 
-def _table(table: Node) -> list[str]:
+def _table(table: Node, nested: int = 1) -> list[str]:
     """Lines of a table: cells of a column start at the same place; cells may have many lines, and span columns and rows."""
     rows: list[list[tuple[int, int, list[str]]]] = []
     lines: list[str] = []
-    below: dict[int, int] = {}  # columns that cells of rows above still take, and for how many rows
+    below: dict[int, int] = {}  # the last row that a cell above takes in a column
+    count = 0
 
     def cells(row: Node) -> None:
+        nonlocal count
         own, column = [], 0
-        spans = {}
         for cell in row.children:
             if isinstance(cell, str) or not cell.unseen:
-                inner = Writer()
+                inner = Writer(nested)
                 real = not isinstance(cell, str) and cell.tag in ("td", "th")
                 render(cell if real else _wrapped(cell), inner)
                 held = inner.done()
                 if held or real:
-                    while below.get(column, 0):
+                    while below.get(column, -1) >= count:
                         column += 1
-                    wide = _span(cell, "colspan")
-                    spans |= dict.fromkeys(range(column, column + wide), _span(cell, "rowspan") - 1)
+                    wide = min(_span(cell, "colspan", WIDEST), max(1, WIDEST - column))
+                    tall = _span(cell, "rowspan", TALLEST)
+                    if tall > 1:
+                        below.update(dict.fromkeys(range(column, column + wide), count + tall - 1))
                     own.append((column, wide, held or [""]))
                     column += wide
-        for taken in [c for c in below if c not in spans]:
-            below[taken] -= 1
-            if not below[taken]:
-                del below[taken]
-        below.update({c: n for c, n in spans.items() if n})
+        count += 1
         if own:
             rows.append(own)
 
     def walk(node: Node) -> None:
         for child in node.children:
             if isinstance(child, str) or child.tag not in ("tr", "tbody", "thead", "tfoot"):
-                inner = Writer()
+                inner = Writer(nested)
                 render(_wrapped(child), inner)
                 lines.extend(inner.done())
             elif not child.unseen:
@@ -372,7 +451,10 @@ def rendered(pages: DataFrame, *, out: str = "text") -> DataFrame:
     """pages with the visible text of each whole page.
 
     A null page has a null text, an empty one an empty text; malformed HTML
-    never fails. Rows keep their number and their other columns; if `out` is
+    never fails, and takes time in proportion to its length, but for cells below
+    cells that span many rows. Lists indent by 40 places at most, tables within
+    eight others are laid out as blocks, and a row's spanning cells end at column
+    1000. Rows keep their number and their other columns; if `out` is
     taken, underscores are added to it.
     """
     return pages.withColumn(fresh(pages.columns, out), _rendered()(F.col("html")))

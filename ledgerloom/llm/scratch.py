@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_tables: weakref.WeakSet[DataFrame] = weakref.WeakSet()
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
@@ -20,7 +22,7 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     """
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
@@ -33,7 +35,14 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again."""
     path = shared_dir(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _tables.add(table)
+    return table
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df as a stored table: itself if it is one already."""
+    return df if df in _tables else stored(df, what)
 
 
 def release(*tables: DataFrame | None) -> None:
