@@ -208,13 +208,18 @@ def fee_vote(action: Column, amount: Column, price: Column, units: Column, fee:
     return F.when(trade & excluded & ~included, "EXCLUDED").when(trade & included & ~excluded, "INCLUDED")
 
 
-def key_text(cell: Column) -> Column:
-    """A cell as keys hold it: numbers to 4 places without trailing zeros, other text trimmed, null empty."""
+def key_text(cell: Column, kind: str = "string") -> Column:
+    """A cell as keys hold it: numbers to 4 places without trailing zeros, other text trimmed, null empty. `kind` is the column's type."""
+    if kind == "date":
+        return F.coalesce(cell.cast("string"), F.lit(""))
+    plain = lambda number: F.rtrim(F.rtrim(number.cast("decimal(34,4)").cast("string"), F.lit("0")), F.lit("."))
+    if kind.startswith("decimal") or kind in ("bigint", "int"):
+        return F.coalesce(plain(cell), F.lit(""))
     text = F.trim(cell.cast("string"))
-    number = F.regexp_replace(text.try_cast("decimal(34,10)").cast("decimal(34,4)").cast("string"), r"\.?0+$", "")
-    return F.coalesce(number, text, F.lit(""))
+    # what starts like no number needs no cast
+    return F.coalesce(F.when(text.rlike(r"^[-+.]?[0-9.]"), plain(text.try_cast("decimal(34,10)"))), text, F.lit(""))
 
 
-def essentials_hash(columns: list[Column]) -> Column:
+def essentials_hash(columns: list[Column], kinds: list[str] | None = None) -> Column:
     """SHA-256 of what identifies a row."""
-    return F.sha2(F.concat_ws("|", *map(key_text, columns)), 256)
+    return F.sha2(F.concat_ws("|", *[key_text(c, k) for c, k in zip(columns, kinds or ["string"] * len(columns), strict=True)]), 256)

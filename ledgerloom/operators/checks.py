@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,17 +29,22 @@ def unknown_accounts(ready: DataFrame) -> DataFrame:
 
 
 def row_findings(ready: DataFrame) -> DataFrame:
-    """What a row shows by itself: settlement before the trade, a conversion that does not add up, a lone transfer leg, a fee that fits neither way."""
+    """What a row shows by itself: settlement before the trade, a conversion that does not add up, a fee that fits neither way."""
     own = {"txn_id": F.col("txn_id"), "account": F.col("account"), "symbol": F.col("symbol"), "currency": F.col("currency")}
     trades = ready.where(F.col("action").isin(TRADES))
     early = _finding(trades.where("settle_date < txn_date"), 1, "SETTLE_BEFORE_TRADE", F.format_string("settles %s, traded %s", "settle_date", "txn_date"), **own)
     implied = F.abs(F.col("units") * F.col("price"))
     off = ready.where("action = 'FXT' and units <> 0 and price <> 0").where(F.abs(F.abs("amount") - implied) > 0.005)
     uneven = _finding(off, 2, "FXT_AMOUNT_INCONSISTENT", F.format_string("amount %s against %s", "amount", implied.cast("string")), value=implied, **own)
-    lone = _finding(ready.where("action in ('TFR_IN', 'TFR_OUT') and pair is null"), 3, "TRANSFER_UNPAIRED", F.format_string("%s without its other leg", "action"), **own)
     without, inside = S.fee_fits(F.col("action"), F.col("amount"), F.col("price"), F.col("units"), F.col("commission"))
     odd = _finding(trades.where(F.col("fee") != 0).where(~without & ~inside), 4, "AMBIGUOUS_FEE_CONVENTION", F.format_string("amount %s fits no fee of %s", "amount", "fee"), **own)
-    return early.unionByName(uneven).unionByName(lone).unionByName(odd)
+    return early.unionByName(uneven).unionByName(odd)
+
+
+def lone_legs(ready: DataFrame) -> DataFrame:
+    """Transfer legs that found no other leg."""
+    own = {"txn_id": F.col("txn_id"), "account": F.col("account"), "symbol": F.col("symbol"), "currency": F.col("currency")}
+    return _finding(ready.where("action in ('TFR_IN', 'TFR_OUT') and pair is null"), 3, "TRANSFER_UNPAIRED", F.format_string("%s without its other leg", "action"), **own)
 
 
 def pool_findings(done: DataFrame) -> DataFrame:
@@ -92,10 +99,13 @@ def mixed_currencies(ready: DataFrame) -> DataFrame:
 
 
 def lag_outliers(ready: DataFrame) -> DataFrame:
-    """Trades that settle more than two business days off their account's most frequent lag (ties: the lag seen first); five trades make a habit."""
+    """Trades that settle more than two business days off their account's most frequent lag; five trades make a habit.
+
+    Of equally frequent lags that counts which came first by (txn_date, txn_id).
+    """
     trades = ready.where(F.col("action").isin(TRADES) & (F.col("settle_date") >= F.col("txn_date"))).withColumn("lag", S.business_days(F.col("txn_date"), F.col("settle_date")))
-    counted = trades.groupBy("account", "lag").agg(F.count("*").alias("n"), F.min("txn_id").alias("came"))
-    usual = counted.groupBy("account").agg(F.max_by("lag", F.struct("n", -F.col("came"))).alias("usual"), F.sum("n").alias("of")).where("of >= 5")
+    counted = trades.groupBy("account", "lag").agg(F.count("*").alias("n"), F.min(F.struct("txn_date", "txn_id")).alias("came"))
+    usual = counted.groupBy("account").agg(F.min_by("lag", F.struct(-F.col("n"), "came")).alias("usual"), F.sum("n").alias("of")).where("of >= 5")
     off = trades.join(usual, "account").where(F.abs(F.col("lag") - F.col("usual")) > 2)
     return _finding(off, 10, "SETTLE_LAG_OUTLIER", F.format_string("%s business days, usually %s", "lag", "usual"), txn_id=F.col("txn_id"), account=F.col("account"), symbol=F.col("symbol"), value=F.col("lag"))
 
@@ -110,16 +120,48 @@ def superficial_losses(ready: DataFrame, done: DataFrame) -> DataFrame:
     return _finding(near, 11, "SUPERFICIAL_LOSS_SUSPECT", F.format_string("loss on %s with a buy within 30 days", "ticker"), txn_id=F.col("txn_id"), account=F.col("account"), symbol=F.col("ticker"))
 
 
-def findings(ready: DataFrame, done: DataFrame, ended: DataFrame) -> DataFrame:
-    """All findings, once per code, row and pool. `done` and `ended` are the replay's steps and endings of `ready`."""
-    parts = [unknown_accounts(ready), row_findings(ready), pool_findings(done), cash_negative(ready), negative_endings(ended), split_mismatches(ready, done), mixed_currencies(ready), lag_outliers(ready), superficial_losses(ready, done)]
-    every = parts[0]
-    for part in parts[1:]:
+def parts(codes, ready: Callable[[], DataFrame], done: Callable[[], DataFrame], ended: Callable[[], DataFrame]) -> list[DataFrame]:
+    """Findings that may hold the wanted codes; only what these need is asked for."""
+    found = []
+    wants = lambda *names: not set(names).isdisjoint(codes)
+    if wants("UNKNOWN_ACCOUNT_TYPE"):
+        found.append(unknown_accounts(ready()))
+    if wants("SETTLE_BEFORE_TRADE", "FXT_AMOUNT_INCONSISTENT", "AMBIGUOUS_FEE_CONVENTION"):
+        found.append(row_findings(ready()))
+    if wants("TRANSFER_UNPAIRED"):
+        found.append(lone_legs(ready()))
+    if wants("OVERSELL", "ROC_EXCEEDS_ACB", "INCOME_WITHOUT_POSITION", "DUPLICATE_SPLIT", "SPLIT_WITHOUT_POSITION"):
+        found.append(pool_findings(done()))
+    if wants("CASH_NEGATIVE"):
+        found.append(cash_negative(ready()))
+    if wants("NEGATIVE_FINAL_POSITION"):
+        found.append(negative_endings(ended()))
+    if wants("SPLIT_SCOPE_MISMATCH"):
+        found.append(split_mismatches(ready(), done()))
+    if wants("MIXED_CURRENCY"):
+        found.append(mixed_currencies(ready()))
+    if wants("SETTLE_LAG_OUTLIER"):
+        found.append(lag_outliers(ready()))
+    if wants("SUPERFICIAL_LOSS_SUSPECT"):
+        found.append(superficial_losses(ready(), done()))
+    return found
+
+
+def once(found: list[DataFrame]) -> DataFrame:
+    """Findings once per code, row and pool: the one that is raised first."""
+    every = found[0]
+    for part in found[1:]:
         every = every.unionByName(part)
     rest = [c for c in COLUMNS if c not in ("code", "txn_id", "pool")]
     return every.groupBy("code", "txn_id", "pool").agg(F.min_by(F.struct(*rest), F.struct("turn", "scope")).alias("f")).select(*[F.col(c) if c in ("code", "txn_id", "pool") else F.col(f"f.{c}") for c in COLUMNS])
 
 
+def findings(ready: DataFrame, done: DataFrame, ended: DataFrame, codes=None) -> DataFrame:
+    """All findings, or those of some codes. `done` and `ended` are the replay's steps and endings of `ready`."""
+    found = once(parts(CODES if codes is None else codes, lambda: ready, lambda: done, lambda: ended))
+    return found if codes is None else found.where(F.col("code").isin(list(codes)))
+
+
 def flags(found: DataFrame) -> DataFrame:
     """txn_id, flags: the codes of each row, comma-joined in the order in which they are raised."""
     once = found.where("txn_id is not null").groupBy("txn_id", "code").agg(F.min(F.struct("turn", "scope")).alias("at"))
@@ -154,6 +196,10 @@ CHECKS = {
 }
 
 
+#: All codes that findings may have.
+CODES = [*(c for _, codes in CHECKS.values() for c in codes), "SPLIT_WITHOUT_POSITION", "SUPERFICIAL_LOSS_SUSPECT"]
+
+
 def check_findings(found: DataFrame, disabled: list[str] = ()) -> DataFrame:
     """slug, subject, detail, txn_ids: what each check reports.
 

@@ -16,42 +16,13 @@ def signed_units() -> Column:
     return F.when(F.col("action") == "BUY", F.col("units")).when(F.col("action") == "SELL", -F.col("units")).otherwise(0).cast("decimal(20,2)")
 
 
-def first_winner(rows: DataFrame, keys: list[str], vote: str, order: str) -> DataFrame:
-    """The most frequent vote of each key; of equally frequent ones that which came first."""
-    counted = rows.groupBy(*keys, vote).agg(F.count("*").alias("votes"), F.min(order).alias("came"))
-    best = F.max_by(F.struct(vote, "votes"), F.struct("votes", -F.col("came"))).alias("best")
+def first_winner(rows: DataFrame, keys: list[str], vote: str, order: list[str]) -> DataFrame:
+    """The most frequent vote of each key; of equally frequent ones that which came first in the given order."""
+    counted = rows.groupBy(*keys, vote).agg(F.count("*").alias("votes"), F.min(F.struct(*order)).alias("came"))
+    best = F.min_by(F.struct(vote, "votes"), F.struct(-F.col("votes"), "came")).alias("best")
     return counted.groupBy(*keys).agg(best, F.sum("votes").alias("of")).select(*keys, f"best.{vote}", "best.votes", "of")
 
 
-def pools(rows: DataFrame) -> DataFrame:
-    """Every row three times: in its account, its account type and the whole ledger."""
-    scopes = F.array(*[F.struct(F.lit(s).alias("scope"), p.alias("pool")) for s, p in (("acct", F.col("account")), ("type", F.col("acct_type")), ("all", F.lit("ALL")))])
-    return rows.withColumn("p", F.explode(scopes)).select(*rows.columns, "p.scope", "p.pool")
-
-
-def cash_by_pool(rows: DataFrame) -> DataFrame:
-    """cash, dividends and fees per (scope, pool, currency): summed by account first, then rolled up."""
-    fee = F.when(F.col("action").isin("BUY", "SELL"), F.col("fee")).otherwise(0)
-    one = rows.groupBy("account", "acct_type", "currency").agg(
-        F.sum(cash_delta()).alias("cash"), F.sum(F.when(F.col("action") == "DIVIDEND", F.col("amount")).otherwise(0)).alias("dividends"), F.sum(fee).alias("fees")
-    )
-    money = lambda c: F.sum(c).cast("decimal(30,2)").alias(c)
-    return pools(one).groupBy("scope", "pool", "currency").agg(money("cash"), money("dividends"), money("fees"))
-
-
-def daily_balances(rows: DataFrame) -> DataFrame:
-    """account, currency, settle_date, first_id, balance at the end of each day: days are summed before the window."""
-    days = rows.groupBy("account", "currency", "settle_date").agg(F.sum(cash_delta()).alias("delta"), F.min("txn_id").alias("first_id"))
-    until = Window.partitionBy("account", "currency").orderBy("settle_date").rowsBetween(Window.unboundedPreceding, 0)
-    return days.select("account", "currency", "settle_date", "first_id", F.sum("delta").over(until).cast("decimal(30,2)").alias("balance"))
-
-
-def first_negative(rows: DataFrame) -> DataFrame:
-    """The first day on which each account's cash is below zero; margin accounts may be."""
-    low = daily_balances(rows.where("acct_type <> 'MARGIN'")).where("balance < 0")
-    return low.groupBy("account", "currency").agg(F.min_by(F.struct("settle_date", "first_id", "balance"), "settle_date").alias("d")).select("account", "currency", "d.*")
-
-
 def currency_majority(rows: DataFrame) -> DataFrame:
     """Rows whose currency is not that of most rows of their ticker (ties: by name)."""
     trades = rows.where(F.col("action").isin("BUY", "SELL", "DIVIDEND", "ROC"))
@@ -86,14 +57,6 @@ def merged_groups(rows: DataFrame, keys: list[str], sources: list[str], target:
     return stay.unionByName(full.select(*[new.get(c, F.col(f"first.`{c}`")).alias(c) for c in rows.columns]))
 
 
-def required_reasons(rows: DataFrame) -> DataFrame:
-    """txn_id, reasons: what a row lacks for its action, joined by '; '; null if nothing."""
-    lacks = lambda c, when: F.when(when & F.col(c).isNull(), F.lit(f"MISSING {c}"))
-    trade = F.col("action").isin("BUY", "SELL")
-    reasons = [lacks("ticker", F.col("action").isin("BUY", "SELL", "DIVIDEND", "ROC", "SPLIT")), lacks("units", trade), lacks("amount", F.col("action") != "SPLIT"), lacks("price", trade), lacks("account", F.lit(True))]
-    return rows.select("txn_id", F.nullif(F.array_join(F.array_compact(F.array(*reasons)), "; "), F.lit("")).alias("reasons"))
-
-
 def ruled(rows: DataFrame, rules: list[tuple[dict[str, list[str]], dict[str, str | None]]]) -> DataFrame:
     """Rules in turn: where every condition column has one of its values (`contains:x` looks inside), columns are set.
 

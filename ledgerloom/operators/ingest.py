@@ -113,7 +113,8 @@ def on_trading_days(rows: DataFrame, days: DataFrame) -> DataFrame:
 
 
 def keyed(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("_key", S.essentials_hash([F.col(c) for c in ESSENTIALS]))
+    kinds = dict(rows.dtypes)
+    return rows.withColumn("_key", S.essentials_hash([F.col(c) for c in ESSENTIALS], [kinds[c] for c in ESSENTIALS]))
 
 
 @dataclass(frozen=True)
@@ -195,13 +196,17 @@ def statement_transfers(rows: DataFrame, account: Column) -> DataFrame:
 
 
 def settled_by_statement(ledger: DataFrame, statement: DataFrame) -> DataFrame:
-    """ledger with the settlement dates of statement lines that exactly one calculated row fits: action, trade day, ticker, currency, amount within a cent, units if given."""
+    """ledger with the settlement dates of statement lines that exactly one calculated row fits: action, trade day, ticker, currency, amount within a cent, units if given.
+
+    Only rows whose settlement was calculated are looked at, and those that are
+    settled are calculated no more. Of several lines that fit one row the latest
+    date counts.
+    """
     parts = S.statement_parts(F.col("description"))
-    asked = statement.select(F.monotonically_increasing_id().alias("line"), S.date_parse(F.col("date")).try_cast("date").alias("settles"), S.action_alias(F.col("transaction")).alias("action"), F.abs(F.col("amount").try_cast("double")).alias("paid"), "currency", parts["ticker"].alias("ticker"), parts["units"].alias("of"), parts["txn_date"].try_cast("date").alias("txn_date"))
-    pairs = asked.join(ledger.where("settle_calculated = 1"), ["action", "txn_date", "ticker", "currency"]).where(F.abs(F.abs(F.col("amount").cast("double")) - F.col("paid")) < 0.01)
-    pairs = pairs.where(F.col("of").isNull() | (F.abs(F.abs(F.col("units").cast("double")) - F.col("of")) < 1e-4))
-    once = pairs.groupBy("line").agg(F.count("*").alias("n"), F.min("txn_id").alias("txn_id"), F.first("settles").alias("settles")).where("n = 1")
-    news = once.groupBy("txn_id").agg(F.max("settles").alias("settles"))
+    line = F.struct(S.date_parse(F.col("date")).try_cast("date").alias("settles"), F.monotonically_increasing_id().alias("line"))
+    asked = statement.select(line.alias("statement_id"), S.action_alias(F.col("transaction")).alias("action"), F.col("amount").try_cast("decimal(30,10)").alias("amount"), "currency", parts["ticker"].alias("ticker"), parts["units"].alias("units"), parts["txn_date"].try_cast("date").alias("txn_date"))
+    once = matching.matched_once(asked.where("statement_id.settles is not null"), ledger.where("settle_calculated = 1"))
+    news = once.groupBy("txn_id").agg(F.max("statement_id.settles").alias("settles"))
     hit = ledger.join(news, "txn_id", "left")
     return hit.select(*[(F.coalesce("settles", "settle_date") if c == "settle_date" else F.when(F.col("settles").isNull(), F.col(c)).otherwise(0) if c == "settle_calculated" else F.col(f"`{c}`")).alias(c) for c in ledger.columns])
 
@@ -243,13 +248,21 @@ def uncovered(held: DataFrame, first, last) -> DataFrame:
 # -- changes ---------------------------------------------------------------
 
 
+def _one_a_key(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The greatest row of each key, column by column in turn."""
+    rest = [F.col(f"`{c}`") for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.max(F.struct(*rest)).alias("_row")).select(*[F.col(c) if c in key else F.col(f"_row.`{c}`") for c in rows.columns]) if rest else rows.distinct()
+
+
 def upserted(table: DataFrame, news: DataFrame, key: list[str]) -> DataFrame:
-    """table with the rows of news, which replace those of equal keys; columns that one side lacks are null."""
+    """table with the rows of news, which replace those of equal keys; columns that one side lacks are null. Of several of one key the greatest counts."""
+    news = _one_a_key(news, key)
     return table.join(news.select(*key).distinct(), key, "left_anti").unionByName(news, allowMissingColumns=True)
 
 
 def updated(table: DataFrame, updates: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
-    """table with `columns` taken from the update of equal key, nulls too."""
+    """table with `columns` taken from the update of equal key, nulls too. Of several updates of one key the greatest counts."""
+    updates = _one_a_key(updates, key)
     held = updates.select(*key, F.struct(*columns).alias("_new"))
     hit = table.join(held, key, "left")
     return hit.select(*[F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(f"`{c}`") for c in table.columns])

@@ -18,23 +18,16 @@ from ledgerloom.sources.scratch import stored
 def with_rates(rows: DataFrame, rates: DataFrame) -> DataFrame:
     """rows with fx_date and rate: the latest on or before settle_date, else the earliest; null for CAD.
 
-    Days, not rows, are matched: the distinct settlement days meet the rate days
-    in a window by month, whose carry-over comes from the month's last rate.
+    The rates become a calendar, a row a day from the first to the last of them, so
+    rows, their days held to that span, only look theirs up.
     """
-    days = rows.where("currency <> 'CAD'").select(F.col("settle_date").alias("day")).distinct()
-    known = rates.select(F.col("fx_date").alias("day"), F.struct("fx_date", "rate").alias("fx"))
-    both = days.select("day", F.lit(None).cast(known.schema["fx"].dataType).alias("fx"), F.lit(1).alias("asks")).unionByName(known.withColumn("asks", F.lit(0)))
-    both = both.withColumn("month", F.trunc("day", "month"))
-    within = F.last("fx", ignorenulls=True).over(Window.partitionBy("month").orderBy("day", "asks").rowsBetween(Window.unboundedPreceding, 0))
-    ends = known.groupBy(F.trunc("day", "month").alias("of")).agg(F.max_by("fx", "day").alias("end"))  # a row a month
-    first = rates.agg(F.min_by(F.struct("fx_date", "rate"), "fx_date").alias("first"))
-    months = both.select("month").distinct()
-    before = months.join(ends, F.col("of") < F.col("month"), "left").groupBy("month").agg(F.max_by("end", "of").alias("before"))
-    found = both.withColumn("own", within).where("asks = 1").join(before, "month", "left").crossJoin(F.broadcast(first))  # one row
-    found = found.select(F.col("day").alias("settle_date"), F.coalesce("own", "before", "first").alias("fx"))
-    joined = rows.join(found, "settle_date", "left")
-    of = lambda name: F.when(F.col("currency") != "CAD", F.col(f"fx.{name}")).alias(name)
-    return joined.select(*rows.columns, of("fx_date"), of("rate"))
+    known = rates.groupBy("fx_date").agg(F.max("rate").alias("rate"))
+    until = F.coalesce(F.date_sub(F.lead("fx_date").over(Window.orderBy("fx_date")), 1), F.col("fx_date"))  # a row a day
+    calendar = known.withColumn("_until", until).select(F.explode(F.sequence("fx_date", "_until")).alias("_day"), F.struct("fx_date", "rate").alias("fx"))
+    span = F.broadcast(rates.agg(F.min("fx_date").alias("_from"), F.max("fx_date").alias("_to")))  # one row
+    day = F.when(F.col("currency") != "CAD", F.greatest(F.least("settle_date", "_to"), "_from"))
+    joined = rows.crossJoin(span).withColumn("_day", day).join(calendar, "_day", "left")
+    return joined.select(*rows.columns, F.col("fx.fx_date").alias("fx_date"), F.col("fx.rate").alias("rate"))
 
 
 def rate_class(rows: DataFrame, rates: DataFrame) -> DataFrame:
@@ -51,6 +44,8 @@ def canonical(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     only then do rows join the finished chains. Of edges that share an old name
     one counts, the latest (then the smallest new name).
     """
+    if aliases.isEmpty():
+        return rows.withColumn("canonical", F.col("ticker"))
     step = stored(aliases.groupBy(F.upper(F.trim("old")).alias("old")).agg(F.min_by(F.struct(F.upper(F.trim("new")).alias("new"), "effective"), F.struct(-F.unix_date("effective"), "new")).alias("e")).select("old", "e.*"), "renames")
     chain = step.select(F.col("old").alias("ticker"), F.array(F.struct("effective", "new")).alias("path"), F.col("new").alias("next"))
     step = step.select(F.col("old").alias("next"), F.col("new").alias("then"), F.col("effective").alias("when"))
@@ -102,12 +97,30 @@ def unmatched(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(others.select(*keys).distinct(), keys, "left_anti").select(*rows.columns)
 
 
-def matched_once(statement: DataFrame, rows: DataFrame, cents: float = 0.01) -> DataFrame:
-    """statement_id, txn_id where exactly one row has the same action, day, ticker and currency, and nearly the amount."""
-    keys = ["action", "txn_date", "ticker", "currency"]
-    pairs = statement.alias("s").join(rows.alias("r"), keys).where(F.abs(F.col("s.amount") - F.col("r.amount")) < cents)
-    found = pairs.groupBy("s.statement_id").agg(F.count("*").alias("n"), F.min("r.txn_id").alias("txn_id"))
-    return found.where("n = 1").select("statement_id", "txn_id")
+def matched_once(statement: DataFrame, rows: DataFrame, tolerance: str = "0.01", units_tolerance: str = "0.0001") -> DataFrame:
+    """statement_id, txn_id where exactly one row has the same action, day, ticker and currency, nearly the amount, and nearly the units where the line tells them.
+
+    A band join: amounts fall into buckets as wide as the tolerance, a line looks
+    into its own and the two beside it, and then exactly. Rows of equal keys,
+    amounts and units are counted first, and so are lines, so however many of
+    them a day and ticker have, each pair of different amounts meets once.
+    Amounts and units compare by size. Lines without an amount match nothing.
+    """
+    keys, exact = ["action", "txn_date", "ticker", "currency"], "decimal(30,10)"
+    bucket = lambda c: F.floor(F.col(c) / F.lit(tolerance).cast(exact)).cast("bigint")
+    size = lambda c: F.abs(F.col(c).cast(exact))
+    units = lambda d: size("units") if "units" in d.columns else F.lit(None).cast(exact)
+    lines = statement.select("statement_id", *keys, size("amount").alias("paid"), units(statement).alias("of"))
+    lines = lines.withColumn("of", F.when(F.col("of") > 0, F.col("of")))
+    asked = lines.where("paid is not null").groupBy(*keys, "paid", "of").agg(F.count("*").alias("lines"))
+    near = asked.withColumn("at", F.explode(F.array(*[bucket("paid") + i for i in (-1, 0, 1)])))
+    held = rows.select("txn_id", *keys, size("amount").alias("amount"), units(rows).alias("units"))
+    held = held.groupBy(*keys, "amount", "units").agg(F.count("*").alias("n"), F.min("txn_id").alias("txn_id")).withColumn("at", bucket("amount"))
+    fits = (F.abs(F.col("amount") - F.col("paid")) < F.lit(tolerance).cast(exact)) & (F.col("of").isNull() | (F.abs(F.col("units") - F.col("of")) < F.lit(units_tolerance).cast(exact)))
+    found = near.join(held, [*keys, "at"]).where(fits).groupBy(*keys, "paid", "of").agg(F.sum("n").alias("n"), F.min("txn_id").alias("txn_id")).where("n = 1").drop("n")
+    found = found.withColumnRenamed("of", "_of")
+    back = [lines[k] == found[k] for k in [*keys, "paid"]] + [lines["of"].eqNullSafe(found["_of"])]
+    return lines.join(found, back).select("statement_id", "txn_id")
 
 
 def split_missing(rows: DataFrame, splits: DataFrame) -> DataFrame:

@@ -2,10 +2,14 @@
 
 Every row is applied to its account, its account type and the whole ledger. What
 a row needs beside the running state is joined to it first: its symbol, its rate,
-what it cost, and the transfer leg it belongs to. Then rows are dealt by lane and
-sorted inside their partitions, and each task streams through them with the
-states of one lane. A lane is a pool's symbol; symbols between which transfers
-move cost share one lane per grain, since a leg needs what the other one carried.
+what it cost, and the transfer leg it belongs to. Then rows are dealt by symbol
+and sorted inside their partitions, and each task streams through them with the
+states of one symbol's pools.
+
+Two things would tie symbols, or the parts of one, to each other. A transfer into
+another symbol needs what its out leg carried: such legs are worked out first, in
+waves, each taking the lanes as far as the legs known so far allow. And a symbol
+with very many rows is cut into segments; how, `segments` says.
 """
 
 from __future__ import annotations
@@ -13,28 +17,35 @@ from __future__ import annotations
 from collections.abc import Iterator
 from decimal import Decimal
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars as S
 from ledgerloom.operators import matching
 from ledgerloom.operators.fold import intraday
+from ledgerloom.sources.scratch import release, stored
 
 SCOPES = ("acct", "type", "all")
+#: What counts as no units, and for how many days after the last units income is still expected.
 DUST = Decimal("1e-9")
 TAIL_DAYS = 60
 MONEY = "decimal(30,10)"
+SEGMENT = 200_000  # rows of a symbol from which it is cut
 
 
 def loaded(rows: DataFrame) -> DataFrame:
-    """Rows of known actions, with defaults: CAD for other currencies, the trade day for a missing settlement, zero for missing figures."""
+    """Rows of known actions, with defaults: CAD for other currencies, the trade day for a missing settlement, zero for missing figures.
+
+    A missing account is the account without a name, and a missing type is UNKNOWN.
+    """
     known = rows.where(F.col("action").isin(S.ACTIONS))
     number = lambda c: F.coalesce(F.col(c).cast(MONEY), F.lit(0).cast(MONEY)).alias(c)
     return known.select(
         "txn_id", "txn_date", F.coalesce("settle_date", "txn_date").alias("settle_date"), "action",
         F.when(F.col("currency").isin(S.CURRENCIES), F.col("currency")).otherwise("CAD").alias("currency"),
-        F.upper(F.trim("ticker")).alias("ticker"), "account", "acct_type", *map(number, ("amount", "price", "units", "fee")),
+        F.upper(F.trim("ticker")).alias("ticker"), F.coalesce("account", F.lit("")).alias("account"), F.coalesce("acct_type", F.lit("UNKNOWN")).alias("acct_type"),
+        *map(number, ("amount", "price", "units", "fee")),
     )
 
 
@@ -42,17 +53,30 @@ def account_facts(rows: DataFrame, configured: dict[str, str] | None = None) ->
     """account, fee_sign, convention, near_even: which sign a charge has, and whether amounts hold the fee.
 
     Votes of trades with a fee decide; without a usable vote the fee is outside
-    the amount. `near_even` marks a winner of under six tenths of the votes.
-    `configured` maps accounts to INCLUDED or EXCLUDED and leaves no vote.
+    the amount, and of equally many votes those count that came first by
+    (txn_date, txn_id). `near_even` marks a winner of under six tenths of the
+    votes. `configured` maps accounts to INCLUDED or EXCLUDED and leaves no vote.
+
+    Votes hang on the sign and the sign on all rows, so both signs' votes are
+    counted at once: the rows are read a single time, and no account is a task.
     """
-    signs = rows.groupBy("account").agg(F.when(F.sum(F.signum("fee")) < 0, -1).otherwise(1).alias("fee_sign"))
-    trades = rows.join(signs, "account").withColumn("vote", S.fee_vote(F.col("action"), F.col("amount"), F.col("price"), F.col("units"), F.col("fee") * F.col("fee_sign")))
-    counted = trades.where("vote is not null").groupBy("account", "vote").agg(F.count("*").alias("n"), F.min("txn_id").alias("came"))
-    won = counted.groupBy("account").agg(F.max_by("vote", F.struct("n", -F.col("came"))).alias("won"), (F.max("n") / F.sum("n") < 0.6).alias("near_even"))
+    figures, votes = [F.sum(F.signum("fee")).alias("lean")], {}
+    for sign in (1, -1):
+        vote = S.fee_vote(F.col("action"), F.col("amount"), F.col("price"), F.col("units"), F.col("fee") * sign)
+        for name in ("INCLUDED", "EXCLUDED"):
+            n, came = f"{name}{sign}", f"{name}{sign}came"
+            figures += [F.count_if(vote == name).alias(n), F.min(F.when(vote == name, F.struct("txn_date", "txn_id"))).alias(came)]
+            votes[name, sign] = (F.col(n), F.col(came))
+    counted = rows.groupBy("account").agg(*figures).withColumn("fee_sign", F.when(F.col("lean") < 0, -1).otherwise(1))
+    of = lambda name, i: F.when(F.col("fee_sign") < 0, votes[name, -1][i]).otherwise(votes[name, 1][i])
+    inside, outside = of("INCLUDED", 0), of("EXCLUDED", 0)
+    first = (inside > outside) | ((inside == outside) & (of("INCLUDED", 1) < of("EXCLUDED", 1)))
+    won = F.when(F.coalesce(first, F.lit(False)), "INCLUDED").otherwise("EXCLUDED")
+    even = (inside + outside > 0) & (F.greatest(inside, outside) * 10 < (inside + outside) * 6)
     given = F.lit(None).cast("string")
     for account, convention in (configured or {}).items():
         given = F.when(F.col("account") == account, convention).otherwise(given)
-    return signs.join(won, "account", "left").select("account", "fee_sign", F.coalesce(given, "won", F.lit("EXCLUDED")).alias("convention"), (given.isNull() & F.coalesce("near_even", F.lit(False))).alias("near_even"))
+    return counted.select("account", "fee_sign", F.coalesce(given, won).alias("convention"), (given.isNull() & even).alias("near_even"))
 
 
 def with_trade_cash(rows: DataFrame, facts: DataFrame) -> DataFrame:
@@ -68,19 +92,36 @@ def moves_position() -> Column:
     return (F.col("units") != 0) & (F.coalesce("ticker", F.lit("")) != "")
 
 
-def prepared(rows: DataFrame, rates: DataFrame, aliases: DataFrame, configured: dict[str, str] | None = None) -> DataFrame:
-    """One row per ledger row with all that its replay needs: symbol, rate, trade cash, pair and lane of symbols."""
+def priced(rows: DataFrame, configured: dict[str, str] | None = None) -> DataFrame:
+    """rows with defaults and what trades cost or brought: all that cash needs."""
     own = loaded(rows)
-    own = with_trade_cash(own, account_facts(own, configured))
-    own = own.withColumn("currency", S.convertible(F.col("currency")))
+    return with_trade_cash(own, account_facts(own, configured))
+
+
+def prepared(rows: DataFrame, rates: DataFrame, aliases: DataFrame, configured: dict[str, str] | None = None) -> DataFrame:
+    """One row per ledger row with all that its replay needs: symbol, rate, trade cash, and its transfer pair.
+
+    `pair` is the pair's out leg. `waits` marks in legs whose out leg came before
+    them and has a symbol, so that something was carried, and out legs of such;
+    `crosses` marks those whose legs differ in symbol. Rows in EUR are an error,
+    since no rate of theirs is known.
+    """
+    own = priced(rows, configured).withColumn("currency", S.convertible(F.col("currency")))
     own = matching.canonical(matching.with_rates(own, rates), aliases).withColumnRenamed("canonical", "symbol")
     own = own.withColumn("symbol", F.nullif("symbol", F.lit("")))
-    pairs = matching.paired_transfers(own)
-    legs = pairs.select(F.explode(F.array("out_id", "in_id")).alias("txn_id"), F.col("out_id").alias("pair"))
-    own = own.join(legs, "txn_id", "left")
-    joined = own.where("pair is not null and symbol is not null").groupBy("pair").agg(F.min("symbol").alias("a"), F.max("symbol").alias("b"))
-    groups = matching.closed(joined.select("a", "b").distinct())
-    return own.join(groups.select(F.col("name").alias("symbol"), F.col("family").alias("lane")), "symbol", "left")
+    none = own.withColumns({"pair": F.lit(None).cast("bigint"), "waits": F.lit(False), "crosses": F.lit(False)})
+    transfers = F.col("action").isin("TFR_OUT", "TFR_IN")
+    if rows.where(transfers).isEmpty():
+        return none
+    legs = stored(own.where(transfers), "legs")
+    pairs = matching.paired_transfers(legs)
+    order = F.struct("txn_date", intraday(F.col("action")).alias("rank"), "txn_id")
+    side = lambda name: legs.select(F.col("txn_id").alias(f"{name}_id"), F.col("symbol").alias(f"{name}_symbol"), order.alias(f"{name}_at"))
+    both = pairs.join(side("out"), "out_id").join(side("in"), "in_id")
+    waits = F.col("out_symbol").isNotNull() & F.col("in_symbol").isNotNull() & (F.col("out_at") < F.col("in_at"))
+    marks = both.select(F.explode(F.array("out_id", "in_id")).alias("txn_id"), F.col("out_id").alias("pair"), waits.alias("waits"), (waits & (F.col("out_symbol") != F.col("in_symbol"))).alias("crosses"))
+    marked = legs.join(marks, "txn_id", "left").select(*own.columns, "pair", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("waits", "crosses")])
+    return none.where(~transfers).unionByName(marked)
 
 
 def scoped(rows: DataFrame) -> DataFrame:
@@ -89,7 +130,7 @@ def scoped(rows: DataFrame) -> DataFrame:
     return rows.withColumn("p", F.explode(pools)).select(*rows.columns, "p.scope", "p.pool")
 
 
-class _Pool:
+class Pool:
     """The running state of one symbol in one pool."""
 
     __slots__ = ("units", "cad", "usd", "gain_cad", "gain_usd", "currency", "held_on", "splits", "oversold")
@@ -116,7 +157,16 @@ class _Pool:
         return self.units == zero and (self.held_on is None or (day - self.held_on).days > TAIL_DAYS)
 
 
-def _apply(pool: _Pool, row, carried: dict, zero, one, dust) -> tuple[list[str], object]:
+class Row:
+    """A dealt row; figures are decimals or floats."""
+
+    __slots__ = ("symbol", "txn_id", "txn_date", "action", "currency", "pair", "waits", "crosses", "moved", "account", "acct_type", "units", "price", "amount", "cost", "proceeds", "rate", "repeated")
+
+    def pools(self) -> tuple:
+        return ((0, self.account), (1, self.acct_type), (2, "ALL"))
+
+
+def apply(pool: Pool, row: Row, scope: int, carried: dict, zero, one, dust) -> tuple[list[str], object]:
     """One row on one pool: the codes it raises, and the figure that goes with them."""
     codes, value = [], None
     pool.currency = pool.currency or row.currency
@@ -148,7 +198,8 @@ def _apply(pool: _Pool, row, carried: dict, zero, one, dust) -> tuple[list[str],
             codes.append("INCOME_WITHOUT_POSITION")
     elif row.action == "SPLIT" and row.price > zero and row.units > zero:
         ratio = row.units / row.price
-        if (row.txn_date, ratio) in pool.splits:
+        again = (row.txn_date, ratio) in pool.splits if row.repeated is None else bool(row.repeated >> scope & 1)
+        if again:
             codes.append("DUPLICATE_SPLIT")
         else:
             pool.splits.add((row.txn_date, ratio))
@@ -157,14 +208,14 @@ def _apply(pool: _Pool, row, carried: dict, zero, one, dust) -> tuple[list[str],
             pool.units *= ratio
     elif row.action in ("TFR_OUT", "TFR_IN") and size != zero:
         out = row.action == "TFR_OUT"
-        if not isinstance(row.pair, str):
+        if row.pair is None:
             pool.units += -size if out else size
             pool.settle_dust(zero, dust)
         elif out:
-            carried[row.pair] = pool.take(size, zero, one)
+            carried[scope, row.pair] = pool.take(size, zero, one)
             pool.settle_dust(zero, dust)
         else:
-            moved_cad, moved_usd = carried.pop(row.pair, (zero, zero))
+            moved_cad, moved_usd = (row.moved[2 * scope], row.moved[2 * scope + 1]) if row.moved else carried.pop((scope, row.pair), (zero, zero))
             pool.units, pool.cad = pool.units + size, pool.cad + moved_cad
             if usd:
                 pool.usd += moved_usd if moved_usd != zero else moved_cad / row.rate
@@ -178,74 +229,206 @@ def _apply(pool: _Pool, row, carried: dict, zero, one, dust) -> tuple[list[str],
 FIGURES = ("units", "acb_cad", "acb_usd", "delta_cad", "delta_usd", "gain_cad", "gain_usd")
 #: Codes that only the account's own pool raises.
 ACCOUNT_ONLY = {"INCOME_WITHOUT_POSITION", "DUPLICATE_SPLIT", "SPLIT_WITHOUT_POSITION"}
+STEP_NAMES = ["txn_id", "scope", "pool", "symbol", "holding", *FIGURES, "codes", "value"]
+END_NAMES = ["scope", "pool", "symbol", "holding", *(f for f in FIGURES if "delta" not in f), "oversold"]
+#: What a task is dealt: the figures as decimals or doubles.
+NUMBERS = ("units", "price", "amount", "cost", "proceeds", "rate")
+DEALT = ["symbol", "txn_id", "txn_date", "action", "currency", "pair", "waits", "crosses", "moved", "account", "acct_type", *NUMBERS]
+
+
+def step_shape(exact: bool) -> str:
+    kind = "string" if exact else "double"
+    return f"txn_id bigint, scope int, pool string, symbol string, holding string, {', '.join(f'{f} {kind}' for f in FIGURES)}, codes array<string>, value {kind}"
+
+
+def end_shape(exact: bool) -> str:
+    kind = "string" if exact else "double"
+    return f"scope int, pool string, symbol string, holding string, {', '.join(f'{f} {kind}' for f in END_NAMES[4:-1])}, oversold bigint"
+
 
+def numbers(exact: bool) -> tuple:
+    """zero, one, dust, a number from text, and what is written for a number."""
+    return (Decimal(0), Decimal(1), DUST, Decimal, str) if exact else (0.0, 1.0, 1e-9, float, float)
 
-def _walk(exact: bool, final: bool):
-    zero, one, dust = (Decimal(0), Decimal(1), DUST) if exact else (0.0, 1.0, 1e-9)
-    text = str if exact else float
 
-    def figures(p: _Pool, before=None) -> tuple:
-        usd = p.currency == "USD"
-        delta = (p.cad - before[0], p.usd - before[1] if usd else zero) if before else ()
-        return tuple(map(text, (p.units, p.cad, p.usd if usd else zero, *delta, p.gain_cad, p.gain_usd if usd else zero)))
+def rows_of(batch: pa.RecordBatch, names: list[str], read) -> Iterator[Row]:
+    """A batch's rows, column by column."""
+    held = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names]
+    for values in zip(*held, strict=True):
+        row = Row()
+        row.repeated = None
+        for name, value in zip(names, values, strict=True):
+            setattr(row, name, value)
+        row.moved = row.moved and [read(x) for x in row.moved]
+        yield row
 
-    def ends(lane, pools: dict) -> list[tuple]:
-        return [(scope, pool, symbol, p.currency, *figures(p), p.oversold) for (scope, pool, symbol), p in pools.items()] if lane is not None else []
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lane, pools, carried = None, {}, {}
+def batch_of(rows: list[tuple], names: list[str], shape: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, shape.field(n).type) for n, c in zip(names, zip(*rows, strict=True) if rows else [[]] * len(names), strict=True)], schema=shape)
+
+
+def figures(p: Pool, zero, text, before=None) -> tuple:
+    """A pool's figures as they are written; without a USD holding there are no USD figures."""
+    usd = p.currency == "USD"
+    delta = (p.cad - before[0], p.usd - before[1] if usd else zero) if before else ()
+    return tuple(map(text, (p.units, p.cad, p.usd if usd else zero, *delta, p.gain_cad, p.gain_usd if usd else zero)))
+
+
+def steps_of(row: Row, pools: dict, carried: dict, kit: tuple) -> list[tuple]:
+    """A row applied to its three pools: the lines that the replay returns for it."""
+    zero, one, dust, _, text = kit
+    out = []
+    for scope, pool in row.pools():
+        p = pools.get((scope, pool))
+        if p is None:
+            p = pools[scope, pool] = Pool(zero)
+        before = (p.cad, p.usd)
+        codes, value = apply(p, row, scope, carried, zero, one, dust)
+        codes = [c for c in codes if scope == 0 or c not in ACCOUNT_ONLY]
+        out.append((row.txn_id, scope, pool, row.symbol, p.currency, *figures(p, zero, text, before), codes, None if value is None else text(value)))
+    return out
+
+
+def ends_of(symbol, pools: dict, kit: tuple) -> list[tuple]:
+    return [(scope, pool, symbol, p.currency, *figures(p, kit[0], kit[4]), p.oversold) for (scope, pool), p in pools.items()]
+
+
+def _walk(exact: bool, final: bool, shape: pa.Schema):
+    kit = numbers(exact)
+    names = END_NAMES if final else STEP_NAMES
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbol, pools, carried = None, {}, {}
         for batch in batches:
             out = []
-            for row in batch.itertuples(index=False):
-                if row.key != lane:
-                    out += ends(lane, pools) if final else []
-                    lane, pools, carried = row.key, {}, {}
-                p = pools.get((row.scope, row.pool, row.symbol))
-                if p is None:
-                    p = pools[row.scope, row.pool, row.symbol] = _Pool(zero)
-                before = (p.cad, p.usd)
-                codes, value = _apply(p, row, carried, zero, one, dust)
-                if not final:
-                    codes = [c for c in codes if row.scope == 0 or c not in ACCOUNT_ONLY]
-                    out.append((row.txn_id, row.scope, row.pool, row.symbol, p.currency, *figures(p, before), codes, None if value is None else text(value)))
-            yield pd.DataFrame(out, columns=END_NAMES if final else STEP_NAMES)
+            for row in rows_of(batch, DEALT, kit[3]):
+                if row.symbol != symbol:
+                    out += ends_of(symbol, pools, kit) if final else []
+                    symbol, pools, carried = row.symbol, {}, {}
+                lines = steps_of(row, pools, carried, kit)
+                out += [] if final else lines
+            yield batch_of(out, names, shape)
         if final:
-            yield pd.DataFrame(ends(lane, pools), columns=END_NAMES)
+            yield batch_of(ends_of(symbol, pools, kit), names, shape)
 
     return walk
 
 
-STEP_NAMES = ["txn_id", "scope", "pool", "symbol", "holding", *FIGURES, "codes", "value"]
-END_NAMES = ["scope", "pool", "symbol", "holding", *(f for f in FIGURES if "delta" not in f), "oversold"]
+LEGS = "pair bigint, moved array<string>"
 
 
-def _dealt(ready: DataFrame, exact: bool) -> DataFrame:
+def _legs(exact: bool):
+    """What crossing out legs carry, as far as a symbol's rows can be applied: up to the first in leg whose other leg is not known."""
+    zero, one, dust, read, _ = numbers(exact)
+
+    def legs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbol, pools, carried, open_ = None, {}, {}, True
+        for batch in batches:
+            out = []
+            for row in rows_of(batch, DEALT, read):
+                if row.symbol != symbol:
+                    symbol, pools, carried, open_ = row.symbol, {}, {}, True
+                if row.action == "TFR_IN" and row.crosses and not row.moved:
+                    open_ = False
+                if not open_:
+                    continue
+                for scope, pool in row.pools():
+                    apply(pools.setdefault((scope, pool), Pool(zero)), row, scope, carried, zero, one, dust)
+                if row.action == "TFR_OUT" and row.crosses:
+                    out.append((row.pair, [repr(x) if not exact else str(x) for scope in range(3) for x in carried.pop((scope, row.pair), (zero, zero))]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.list_(pa.string()))], ["pair", "moved"])
+
+    return legs
+
+
+def dealt_rows(ready: DataFrame, exact: bool) -> DataFrame:
+    """The rows that have a symbol, with what the walk reads; figures as decimals or doubles."""
     kind = MONEY if exact else "double"
-    number = lambda c: F.col(c).cast(kind).alias(c)
-    rows = scoped(ready.where("symbol is not null")).withColumn("rank", intraday(F.col("action")))
-    # symbols without a paired leg need no other pool's rows: their lanes are a pool each
-    key = F.when(F.col("lane").isNotNull(), F.concat_ws("|", F.lit("~"), "scope", "lane")).otherwise(F.concat_ws("|", "scope", "symbol", "pool"))
-    rows = rows.select(key.alias("key"), "scope", "pool", "symbol", "txn_id", "txn_date", "rank", "action", "currency", F.col("pair").cast("string").alias("pair"), *map(number, ("units", "price", "amount", "cost", "proceeds", "rate")))
-    return rows.repartition("key").sortWithinPartitions("key", "txn_date", "rank", "txn_id")
+    rows = ready.where("symbol is not null").withColumn("rank", intraday(F.col("action")))
+    taken = [c for c in DEALT if c not in (*NUMBERS, "moved")]
+    return rows.select(*taken, "rank", F.lit(None).cast("array<string>").alias("moved"), *[F.col(c).cast(kind).alias(c) for c in NUMBERS])
+
+
+def by_symbol(rows: DataFrame) -> DataFrame:
+    return rows.repartition("symbol").sortWithinPartitions("symbol", "txn_date", "rank", "txn_id").select(DEALT)
+
 
+def with_moved(rows: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Crossing in legs get what their out legs carried, as far as it is known; other rows don't move for it."""
+    if known is None:
+        return rows
+    waiting = (F.col("action") == "TFR_IN") & F.col("crosses")
+    got = rows.where(waiting).drop("moved").join(known, "pair", "left").select(rows.columns)
+    return rows.where(~waiting).unionByName(got)
 
-def steps(ready: DataFrame, *, exact: bool = True) -> DataFrame:
+
+def crossing_legs(rows: DataFrame, exact: bool, walked: DataFrame | None = None, also=None) -> DataFrame | None:
+    """pair, moved: what each leg between two symbols carries, in waves as long as the longest chain of such legs.
+
+    A wave walks the symbols that have an out leg not known yet, up to the first
+    in leg that has to wait. Legs that are known once stay so. `walked` are the
+    rows that are walked, if not all, and `also` says how the legs of the others,
+    which are cut into segments, are found from what is known.
+    """
+    wanted = rows.where("action = 'TFR_OUT' and crosses").select("pair", "symbol")
+    if wanted.isEmpty():
+        return None
+    wanted, known, had = stored(wanted, "crossing"), None, 0
+    walked = rows if walked is None else walked
+    while True:
+        left = wanted if known is None else wanted.join(known, "pair", "left_anti")
+        again = walked.join(left.select("symbol").distinct(), "symbol", "left_semi")
+        found = by_symbol(with_moved(again, known)).mapInArrow(_legs(exact), LEGS)
+        for more in ([also(known)] if also is not None else []) + ([known] if known is not None else []):
+            found = found.unionByName(more)
+        last, known = known, stored(found.dropDuplicates(["pair"]), "carried")
+        release(last)
+        last, had = had, known.count()
+        if had == last or wanted.join(known, "pair", "left_anti").isEmpty():
+            release(wanted)
+            return known
+
+
+def _replayed(ready: DataFrame, exact: bool, final: bool, segment: int) -> DataFrame:
+    from ledgerloom.operators import segments
+
+    rows = dealt_rows(ready, exact)
+    many = rows.groupBy("symbol").count().where(F.col("count") > segment).select("symbol")
+    many = stored(many, "many")  # one symbol per `segment` rows at most
+    shape = pa_schema(ready, end_shape(exact) if final else step_shape(exact))
+    if many.isEmpty():
+        known = crossing_legs(rows, exact)
+        return by_symbol(with_moved(rows, known)).mapInArrow(_walk(exact, final, shape), end_shape(exact) if final else step_shape(exact))
+    light, heavy = (rows.join(many, "symbol", how).select(rows.columns) for how in ("left_anti", "left_semi"))
+    cut = segments.Cut(heavy, exact, segment)
+    known = crossing_legs(rows, exact, light, cut.legs)
+    walked = by_symbol(with_moved(light, known)).mapInArrow(_walk(exact, final, shape), end_shape(exact) if final else step_shape(exact))
+    return walked.unionByName(cut.endings(known) if final else cut.steps(known))
+
+
+def pa_schema(df: DataFrame, shape: str) -> pa.Schema:
+    """The Arrow schema of a DDL string."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(shape))
+
+
+def steps(ready: DataFrame, *, exact: bool = True, segment: int = SEGMENT) -> DataFrame:
     """Figures of each pool after each row: three rows per ledger row with a symbol.
 
     Exact figures are decimals of 28 digits, as text; else doubles. `scope` is 0
     for accounts, 1 for account types, 2 for the whole ledger; `codes` are what
-    the row raised there and `value` the figure that goes with them.
+    the row raised there and `value` the figure that goes with them. Symbols with
+    more than `segment` rows are cut, and figures then carry the rounding of the
+    maps that lead to each cut.
     """
-    kind = "string" if exact else "double"
-    shape = f"txn_id bigint, scope int, pool string, symbol string, holding string, {', '.join(f'{f} {kind}' for f in FIGURES)}, codes array<string>, value {kind}"
-    return _dealt(ready, exact).mapInPandas(_walk(exact, False), shape)
+    return _replayed(ready, exact, False, segment)
 
 
-def endings(ready: DataFrame, *, exact: bool = True) -> DataFrame:
+def endings(ready: DataFrame, *, exact: bool = True, segment: int = SEGMENT) -> DataFrame:
     """The last figures of each symbol in each pool, and how often it was oversold there."""
-    kind = "string" if exact else "double"
-    shape = f"scope int, pool string, symbol string, holding string, {', '.join(f'{f} {kind}' for f in END_NAMES[4:-1])}, oversold bigint"
-    return _dealt(ready, exact).mapInPandas(_walk(exact, True), shape)
+    return _replayed(ready, exact, True, segment)
 
 
 def master(ready: DataFrame, done: DataFrame, flags: DataFrame | None = None) -> DataFrame:

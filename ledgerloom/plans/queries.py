@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
 from collections.abc import Callable
+from decimal import Decimal
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars as S
-from ledgerloom.operators import checks, findings, fold, ingest, matching, replay
+from ledgerloom.operators import checks, findings, fold, incremental, ingest, matching, portfolio, replay
+from ledgerloom.sources import folder, tables
 from ledgerloom.sources import ledger as source
-from ledgerloom.sources.scratch import stored
+from ledgerloom.sources.scratch import shared_dir, stored
 
 _TYPES = ", ".join(f"'{t}'" for t in source.ACCOUNT_TYPES)
 _OF = lambda n: f"'B' || {n} || '-' || [{_TYPES}][({n}) % 9 + 1]"
@@ -28,7 +33,7 @@ ledger AS (
 rates AS (
   SELECT fx_date, CAST((13500 + 50 * (dayofyear(fx_date) % 7)) * CAST(0.0001 AS DECIMAL(5,4)) AS DECIMAL(20,4)) AS rate
   FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS fx_date FROM orders) WHERE isodow(fx_date) < 6),
-edges(old, new, effective) AS (VALUES {", ".join(f"('{a}', '{b}', DATE '{d}')" for a, b, d in source.ALIASES)}),
+edges AS (SELECT 'T' || p_partkey AS old, 'T' || (p_partkey + 1) AS new, DATE '1992-06-01' + CAST(p_partkey * 37 % 2000 AS INTEGER) AS effective FROM part WHERE p_partkey % 3 > 0),
 delta AS (SELECT *, CAST(CASE action WHEN 'BUY' THEN -amount - fee WHEN 'SELL' THEN amount - fee WHEN 'DIVIDEND' THEN amount ELSE 0 END AS DECIMAL(20,2)) AS cash,
           CAST(CASE action WHEN 'BUY' THEN units WHEN 'SELL' THEN -units ELSE 0 END AS DECIMAL(20,2)) AS signed,
           CASE action WHEN 'BUY' THEN 0 WHEN 'SELL' THEN 5 ELSE 6 END AS rank FROM ledger)
@@ -88,16 +93,16 @@ _add("filter_text", f"{_IDS} WHERE ticker IN ('T7', 'T8', 'T9') OR account ILIKE
 _add("filter_ids", f"{_IDS} WHERE txn_id IN ({_WANTED})", lambda d: d.where(F.col("txn_id").isin(*map(int, _WANTED.split(", ")))).select(IDS))
 _add("filter_year", f"{_IDS} WHERE txn_date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'", lambda d: d.where("txn_date between date'1996-01-01' and date'1996-12-31'").select(IDS))
 _FAMILY = ", reach(a, b) AS (SELECT old, new FROM edges UNION SELECT new, old FROM edges UNION SELECT r.a, CASE WHEN e.old = r.b THEN e.new ELSE e.old END FROM reach r JOIN edges e ON e.old = r.b OR e.new = r.b)"
-_with("alias_family", f"{_FAMILY} SELECT a AS ticker, least(a, min(b)) AS family FROM reach GROUP BY a", lambda s, _: matching.families(source.aliases(s)))
+_with("alias_family", f"{_FAMILY} SELECT a AS ticker, least(a, min(b)) AS family FROM reach GROUP BY a", lambda s, d: matching.families(source.aliases(s, d)))
 _with(
     "filter_ticker_family",
     f"{_FAMILY} {_IDS} WHERE ticker = 'T2' OR ticker IN (SELECT b FROM reach WHERE a = 'T2')",
-    lambda s, d: source.ledger(s, d).join(F.broadcast(_family_of(s, "T2")), "ticker", "left_semi").select(IDS),  # a few names
+    lambda s, d: source.ledger(s, d).join(F.broadcast(_family_of(s, d, "T2")), "ticker", "left_semi").select(IDS),  # a few names
 )
 
 
-def _family_of(spark: SparkSession, ticker: str) -> DataFrame:
-    all_of = matching.families(source.aliases(spark))
+def _family_of(spark: SparkSession, sf_dir: str, ticker: str) -> DataFrame:
+    all_of = matching.families(source.aliases(spark, sf_dir))
     return all_of.join(all_of.where(F.col("ticker") == ticker).select("family"), "family", "left_semi").select("ticker")
 
 
@@ -114,7 +119,7 @@ _add("agg_counting", "SELECT count(*) AS n FROM ledger WHERE action IN ('BUY', '
 _add("agg_currency_split", "SELECT ticker, currency, count(*) AS n FROM ledger GROUP BY ALL", lambda d: d.where(F.col("action").isin("BUY", "SELL", "DIVIDEND", "ROC")).groupBy("ticker", "currency").agg(F.count("*").alias("n")))
 _add("agg_fee_sign", "SELECT account, CASE WHEN sum(sign(fee)) FILTER (WHERE fee <> 0) < 0 THEN -1 ELSE 1 END AS fee_sign FROM ledger GROUP BY account", lambda d: d.groupBy("account").agg(F.when(F.sum(F.when(F.col("fee") != 0, F.signum("fee"))) < 0, -1).otherwise(1).alias("fee_sign")))
 _PRICED = """, priced AS (SELECT *, CASE WHEN txn_id % 3 = 0 THEN amount + fee * CASE action WHEN 'BUY' THEN 1 ELSE -1 END ELSE amount END AS paid, CAST(amount AS DOUBLE) AS gross, 0.01 + 0.005 * CAST(units AS DOUBLE) AS tol FROM ledger),
-votes AS (SELECT txn_id, account, CASE WHEN action IN ('BUY', 'SELL') AND fee <> 0 THEN
+votes AS (SELECT txn_id, txn_date, account, CASE WHEN action IN ('BUY', 'SELL') AND fee <> 0 THEN
   CASE WHEN abs(paid - gross) <= tol AND NOT abs(paid - CASE action WHEN 'BUY' THEN gross + fee ELSE gross - fee END) <= tol THEN 'EXCLUDED'
        WHEN NOT abs(paid - gross) <= tol AND abs(paid - CASE action WHEN 'BUY' THEN gross + fee ELSE gross - fee END) <= tol THEN 'INCLUDED' END END AS vote FROM priced)"""
 
@@ -124,10 +129,10 @@ def _votes(d: DataFrame) -> DataFrame:
     return d.select("txn_id", "account", S.fee_vote(F.col("action"), paid, F.col("amount") / F.col("units"), F.col("units"), F.col("fee")).alias("vote"))
 
 
-_add("fee_classify", f"{_PRICED} SELECT * FROM votes", _votes)
+_add("fee_classify", f"{_PRICED} SELECT txn_id, account, vote FROM votes", _votes)
 _add(
     "agg_fee_convention",
-    f"{_PRICED}, n AS (SELECT account, vote, count(*) AS votes, min(txn_id) AS came FROM votes WHERE vote IS NOT NULL GROUP BY ALL), won AS (SELECT account, arg_max(vote, (votes, -came)) AS vote, max(votes) / sum(votes) < 0.6 AS near FROM n GROUP BY account)"
+    f"{_PRICED}, n AS (SELECT account, vote, count(*) AS votes, min((txn_date, txn_id)) AS came FROM votes WHERE vote IS NOT NULL GROUP BY ALL), won AS (SELECT account, arg_min(vote, (-votes, came)) AS vote, max(votes) / sum(votes) < 0.6 AS near FROM n GROUP BY account)"
     " SELECT DISTINCT account, 1 AS fee_sign, CASE WHEN account LIKE '%-RESP' THEN 'INCLUDED' ELSE coalesce(vote, 'EXCLUDED') END AS convention, account NOT LIKE '%-RESP' AND coalesce(near, false) AS near_even FROM ledger LEFT JOIN won USING (account)",
     lambda d: _conventions(d),
 )
@@ -136,23 +141,23 @@ _add(
 def _conventions(d: DataFrame) -> DataFrame:
     """Every third row's amount holds its fee; the accounts of one type are configured."""
     paid = F.when(F.col("txn_id") % 3 == 0, F.col("amount") + F.col("fee") * F.when(F.col("action") == "BUY", 1).otherwise(-1)).otherwise(F.col("amount"))
-    facts = replay.account_facts(d.select("txn_id", "account", "action", paid.alias("amount"), (F.col("amount") / F.col("units")).alias("price"), "units", "fee"))
+    facts = replay.account_facts(d.select("txn_id", "txn_date", "account", "action", paid.alias("amount"), (F.col("amount") / F.col("units")).alias("price"), "units", "fee"))
     given = F.col("account").endswith("-RESP")
     return facts.select("account", "fee_sign", F.when(given, "INCLUDED").otherwise(F.col("convention")).alias("convention"), (~given & F.col("near_even")).alias("near_even"))
 
 
 _WEEKDAYS = "CAST((SELECT count(*) FROM range(1, 14) r(i) WHERE i <= settle_date - txn_date AND isodow(txn_date + CAST(i AS INTEGER)) < 6) AS INTEGER)"
-_LAGS = f"{FULL}, t AS (SELECT *, {_WEEKDAYS} AS lag FROM full_ledger WHERE action IN ('BUY', 'SELL') AND settle_date >= txn_date), n AS (SELECT account, lag, count(*) AS votes, min(txn_id) AS came FROM t GROUP BY ALL)"
+_LAGS = f"{FULL}, t AS (SELECT *, {_WEEKDAYS} AS lag FROM full_ledger WHERE action IN ('BUY', 'SELL') AND settle_date >= txn_date), n AS (SELECT account, lag, count(*) AS votes, min((txn_date, txn_id)) AS came FROM t GROUP BY ALL)"
 _with(
     "agg_mode_lag",
-    f"{_LAGS} SELECT account, arg_max(lag, (votes, -came)) AS lag, max(votes) AS votes, CAST(sum(votes) AS BIGINT) AS \"of\" FROM n GROUP BY account",
-    lambda s, d: findings.first_winner(source.full_ledger(s, d).where("action in ('BUY', 'SELL') and settle_date >= txn_date").withColumn("lag", S.business_days(F.col("txn_date"), F.col("settle_date"))), ["account"], "lag", "txn_id"),
+    f"{_LAGS} SELECT account, arg_min(lag, (-votes, came)) AS lag, max(votes) AS votes, CAST(sum(votes) AS BIGINT) AS \"of\" FROM n GROUP BY account",
+    lambda s, d: findings.first_winner(source.full_ledger(s, d).where("action in ('BUY', 'SELL') and settle_date >= txn_date").withColumn("lag", S.business_days(F.col("txn_date"), F.col("settle_date"))), ["account"], "lag", ["txn_date", "txn_id"]),
 )
 _with(
     "agg_cash",
     f"{FULL} SELECT CAST(scope AS INTEGER) AS scope, pool, of_currency AS currency, CAST(sum(moved) AS DECIMAL(30,2)) AS cash, CAST(sum(CASE WHEN action = 'CONTRIBUTION' THEN abs(amount) ELSE 0 END) AS DECIMAL(30,2)) AS contributions, CAST(sum(CASE WHEN action = 'WITHDRAWAL' THEN abs(amount) ELSE 0 END) AS DECIMAL(30,2)) AS withdrawals,"
     " CAST(sum(CASE WHEN action = 'DIVIDEND' THEN amount ELSE 0 END) AS DECIMAL(30,2)) AS dividends, CAST(sum(fees) AS DECIMAL(30,2)) AS fees FROM pooled GROUP BY ALL",
-    lambda s, d: replay.cash(_ready(s, d)).select("scope", "pool", "currency", *[F.col(c).cast("decimal(30,2)").alias(c) for c in ("cash", "contributions", "withdrawals", "dividends", "fees")]),
+    lambda s, d: replay.cash(_priced(s, d)).select("scope", "pool", "currency", *[F.col(c).cast("decimal(30,2)").alias(c) for c in ("cash", "contributions", "withdrawals", "dividends", "fees")]),
 )
 _add("agg_summary_last", "SELECT ticker, arg_max(txn_id, (txn_date, txn_id)) AS txn_id, arg_max(account, (txn_date, txn_id)) AS account, arg_max(amount, (txn_date, txn_id)) AS amount FROM ledger GROUP BY ticker", lambda d: d.groupBy("ticker").agg(F.max_by(F.struct("txn_id", "account", "amount"), F.struct("txn_date", "txn_id")).alias("l")).select("ticker", "l.*"))
 _add(
@@ -170,7 +175,7 @@ _with(
 _with(
     "asof_alias",
     ", walk(txn_id, txn_date, ticker, now, depth) AS (SELECT txn_id, txn_date, ticker, ticker, 0 FROM ledger UNION ALL SELECT w.txn_id, w.txn_date, w.ticker, e.new, depth + 1 FROM walk w JOIN edges e ON e.old = w.now AND w.txn_date < e.effective WHERE depth < 8) SELECT txn_id, ticker, arg_max(now, depth) AS canonical FROM walk GROUP BY txn_id, ticker",
-    lambda s, d: matching.canonical(source.ledger(s, d), source.aliases(s)).select("txn_id", "ticker", "canonical"),
+    lambda s, d: matching.canonical(source.ledger(s, d), source.aliases(s, d)).select("txn_id", "ticker", "canonical"),
 )
 _add(
     "superficial_loss",
@@ -178,7 +183,7 @@ _add(
     lambda d: matching.superficial_losses(d.where(F.col("acct_type").isin(S.TAXABLE) & (F.col("action") == "SELL")), d.where("action = 'BUY'")).select("txn_id", "ticker", "account"),
 )
 _KEY = "sha256(concat_ws('|', CAST(txn_date AS VARCHAR), action, {0}, currency, {1}, {2}, ticker, account))".format(*[f"regexp_replace(CAST(CAST({c} AS DECIMAL(34,4)) AS VARCHAR), '\\.?0+$', '')" for c in ("amount", "price", "units")])
-_hashed = lambda d: d.select("txn_id", "action", S.essentials_hash([F.col(c) for c in ingest.ESSENTIALS]).alias("key"))
+_hashed = lambda d: ingest.keyed(d).select("txn_id", "action", F.col("_key").alias("key"))
 _add("hash_key", f"SELECT txn_id, action, {_KEY} AS key FROM ledger", _hashed)
 _IMPORTED = "CAST(CASE WHEN txn_id % 10 = 3 THEN amount + 0.01 ELSE amount END AS DECIMAL(20,2))"
 _DEDUPE = f", h AS (SELECT {_KEY} AS key FROM ledger), i AS (SELECT * REPLACE ({_IMPORTED} AS amount) FROM ledger) SELECT txn_id FROM i WHERE {_KEY} NOT IN (SELECT key FROM h) OR txn_id % 13 = 0"
@@ -204,6 +209,27 @@ _add(
     ", s AS (SELECT txn_id AS statement_id, action, txn_date, ticker, currency, amount + 0.005 AS amount FROM ledger WHERE action = 'DIVIDEND') SELECT statement_id, min(txn_id) AS txn_id FROM s JOIN ledger l USING (action, txn_date, ticker, currency) WHERE abs(CAST(s.amount AS DECIMAL(22,3)) - l.amount) < 0.01 GROUP BY statement_id HAVING count(*) = 1",
     lambda d: matching.matched_once(d.where("action = 'DIVIDEND'").select(F.col("txn_id").alias("statement_id"), "action", "txn_date", "ticker", "currency", (F.col("amount") + F.lit("0.005").cast("decimal(4,3)")).alias("amount")), d),
 )
+_STATEMENT = f""", c AS (SELECT * FROM ledger WHERE action <> 'DIVIDEND'),
+s AS (SELECT txn_id AS line, action, txn_date, ticker, currency, settle_date + 3 AS settles, CAST(amount + CASE WHEN txn_id % 4 = 0 THEN 0.005 ELSE 0.02 END AS DECIMAL(22,3)) AS paid, CASE WHEN txn_id % 8 = 0 THEN units + 1 ELSE units END AS of_units FROM c WHERE txn_id % 2 = 0),
+hits AS (SELECT line, any_value(settles) AS settles, min(txn_id) AS txn_id FROM s JOIN c USING (action, txn_date, ticker, currency) WHERE abs(paid - amount) < 0.01 AND abs(of_units - units) < 0.0001 GROUP BY line HAVING count(*) = 1),
+news AS (SELECT txn_id, max(settles) AS settles FROM hits GROUP BY txn_id)
+SELECT txn_id, coalesce(news.settles, settle_date) AS settle_date, CASE WHEN action = 'DIVIDEND' OR news.settles IS NOT NULL THEN 0 ELSE 1 END AS settle_calculated FROM ledger LEFT JOIN news USING (txn_id)"""
+
+
+def _statement(d: DataFrame) -> DataFrame:
+    """A broker's statement over every second trade, in its own words: settlement three days later, amounts off by half a cent or two, units at times off by one."""
+    even, off = d.where("txn_id % 2 = 0 and action <> 'DIVIDEND'"), F.when(F.col("txn_id") % 4 == 0, F.lit("0.005")).otherwise(F.lit("0.02")).cast("decimal(4,3)")
+    units = (F.col("units") + F.when(F.col("txn_id") % 8 == 0, 1).otherwise(0)).cast("string")
+    text = F.concat(F.col("ticker"), F.when(F.col("action") == "BUY", " - bought ").otherwise(" - sold "), units, F.lit(" shares on "), F.col("txn_date").cast("string"))
+    return even.select(F.date_add("settle_date", 3).cast("string").alias("date"), F.col("action").alias("transaction"), (F.col("amount") + off).cast("string").alias("amount"), "currency", text.alias("description"))
+
+
+def _lettered(d: DataFrame) -> DataFrame:
+    """Tickers as statements spell them: letters alone."""
+    return d.withColumn("ticker", F.concat(F.lit("T."), F.translate(F.substr("ticker", F.lit(2)), "0123456789", "ABCDEFGHIJ")))
+
+
+_add("stmt_match_whole", _STATEMENT, lambda d: ingest.settled_by_statement(ingest.with_settlement(_lettered(d).drop("settle_date")), _statement(_lettered(d))).select("txn_id", "settle_date", "settle_calculated"))
 _RATED = """, rated AS (SELECT l.*, CASE action WHEN 'BUY' THEN 0 WHEN 'SELL' THEN 5 ELSE 6 END AS rank, CASE WHEN currency = 'CAD' THEN 1.0::DOUBLE ELSE CAST(coalesce(r.rate, f.rate) AS DOUBLE) END AS rate,
     CAST(amount + fee AS DOUBLE) AS cost, CAST(amount - fee AS DOUBLE) AS proceeds, CAST(units AS DOUBLE) AS u FROM ledger l ASOF LEFT JOIN rates r ON l.settle_date >= r.fx_date, (SELECT * FROM rates ORDER BY fx_date LIMIT 1) f)"""
 _WALK = f"""{_RATED}, seq AS (SELECT *, row_number() OVER (PARTITION BY account, ticker ORDER BY txn_date, rank, txn_id) AS n FROM rated),
@@ -221,11 +247,10 @@ _with(
 
 def _plain(s: SparkSession, d: str) -> DataFrame:
     """The trades ready for replay, without renames."""
-    return replay.prepared(source.ledger(s, d), source.rates(s, d), source.aliases(s).limit(0))
+    return stored(replay.prepared(source.ledger(s, d), source.rates(s, d), source.aliases(s, d).limit(0)), "ready")
 
 
 def _losses(ready: DataFrame) -> DataFrame:
-    ready = stored(ready, "ready")
     return checks.superficial_losses(ready, stored(replay.steps(ready, exact=False), "steps")).select("txn_id", F.col("symbol").alias("ticker"), "account")
 
 
@@ -262,52 +287,58 @@ _with(
 )
 
 
-_kept: dict[tuple[str, str, str], DataFrame] = {}
+def _priced(s: SparkSession, d: str) -> DataFrame:
+    """The full ledger with what trades cost or brought, each row's ticker as its symbol: for what needs no replay."""
+    return replay.priced(source.full_ledger(s, d)).withColumn("symbol", F.nullif("ticker", F.lit("")))
+
+
+class _Replay:
+    """The full ledger's replay, each part made when it is first asked for. A query makes its own, so that it reads the tables as they are."""
 
+    def __init__(self, s: SparkSession, d: str):
+        self.s, self.d = s, d
 
-def _once(name: str, s: SparkSession, d: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """Made and written once a session and folder: many queries read the same replay, and their plans stay small."""
-    key = (s.sparkContext.applicationId, d, name)
-    if key not in _kept:
-        _kept[key] = stored(make(), name)
-    return _kept[key]
+    @cached_property
+    def ready(self) -> DataFrame:
+        return stored(replay.prepared(source.full_ledger(self.s, self.d), source.rates(self.s, self.d), source.aliases(self.s, self.d)), "ready")
 
+    @cached_property
+    def steps(self) -> DataFrame:
+        return stored(replay.steps(self.ready), "steps")
 
-def _ready(s: SparkSession, d: str) -> DataFrame:
-    """The full ledger ready for replay."""
-    return _once("ready", s, d, lambda: replay.prepared(source.full_ledger(s, d), source.rates(s, d), source.aliases(s)))
+    @cached_property
+    def endings(self) -> DataFrame:
+        return stored(replay.endings(self.ready), "endings")
 
+    def findings(self, codes=checks.CODES) -> DataFrame:
+        found = checks.once(checks.parts(codes, lambda: self.ready, lambda: self.steps, lambda: self.endings))
+        return found.where(F.col("code").isin(list(codes)))
 
-def _replayed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    ready = _ready(s, d)
-    return ready, _once("steps", s, d, lambda: replay.steps(ready)), _once("endings", s, d, lambda: replay.endings(ready))
+    def master(self) -> DataFrame:
+        return replay.master(self.ready, self.steps, checks.flags(self.findings()))
 
 
-def _findings(s: SparkSession, d: str) -> DataFrame:
-    return _once("findings", s, d, lambda: checks.findings(*_replayed(s, d)))
+_found["win_acb_fold_exact"] = lambda s, d: replay.steps(_Replay(s, d).ready)
+_found["findings"] = lambda s, d: _Replay(s, d).findings()
+_found["proj_master_columns"] = lambda s, d: _Replay(s, d).master()
+_found["acb_summary"] = lambda s, d: replay.summary(_Replay(s, d).master())
+_found["sort_findings"] = lambda s, d: checks.in_order(_Replay(s, d).findings())
+_found["flags_attach"] = lambda s, d: checks.flags(_Replay(s, d).findings())
+_found["agg_flags_rollup"] = lambda s, d: checks.flag_counts(checks.flags(_Replay(s, d).findings()))
+_found["filter_acb_view"] = lambda s, d: replay.view(_Replay(s, d).master(), pool="TFSA", scope="type", since="1996-01-01", income=False)
+_found["filter_checks_ignore"] = lambda s, d: _heard(_Replay(s, d))
+_found["chk_run"] = lambda s, d: checks.checks(_Replay(s, d).findings())
+_found["agg_check_rollup"] = lambda s, d: checks.check_counts(checks.checks(_Replay(s, d).findings()))
 
 
-def _master(s: SparkSession, d: str) -> DataFrame:
-    ready, done, _ = _replayed(s, d)
-    return replay.master(ready, done, checks.flags(_findings(s, d)))
+def _heard(of: _Replay) -> DataFrame:
+    return checks.heard(of.findings(), of.ready, ["B1-MARGIN"], ["t7"])
 
 
-_found["win_acb_fold_exact"] = lambda s, d: replay.steps(_ready(s, d))
-_found["findings"] = _findings
-_found["proj_master_columns"] = _master
-_found["acb_summary"] = lambda s, d: replay.summary(_master(s, d))
-_found["sort_summary"] = _found["acb_summary"]
-_found["sort_findings"] = lambda s, d: checks.in_order(_findings(s, d))
-_found["flags_attach"] = lambda s, d: checks.flags(_findings(s, d))
-_found["agg_flags_rollup"] = lambda s, d: checks.flag_counts(checks.flags(_findings(s, d)))
-_found["filter_acb_view"] = lambda s, d: replay.view(_master(s, d), pool="TFSA", scope="type", since="1996-01-01", income=False)
-_found["filter_checks_ignore"] = lambda s, d: checks.heard(_findings(s, d), _ready(s, d), ["B1-MARGIN"], ["t7"])
-_found["chk_run"] = lambda s, d: checks.checks(_findings(s, d))
-_found["agg_check_rollup"] = lambda s, d: checks.check_counts(checks.checks(_findings(s, d)))
-for _slug in checks.CHECKS:
-    _found[f"chk_{_slug.replace('-', '_')}"] = lambda s, d, slug=_slug: checks.check_findings(_findings(s, d), [c for c in checks.CHECKS if c != slug])
+for _slug, (_, _codes) in checks.CHECKS.items():
+    _found[f"chk_{_slug.replace('-', '_')}"] = lambda s, d, slug=_slug, codes=_codes: checks.check_findings(_Replay(s, d).findings(codes), [c for c in checks.CHECKS if c != slug])
 for _code in ("DUPLICATE_SPLIT", "SPLIT_WITHOUT_POSITION", "SPLIT_SCOPE_MISMATCH", "ROC_EXCEEDS_ACB", "INCOME_WITHOUT_POSITION", "TRANSFER_UNPAIRED"):
-    _found[f"dx_{_code}"] = lambda s, d, code=_code: _findings(s, d).where(F.col("code") == code)
+    _found[f"dx_{_code}"] = lambda s, d, code=_code: _Replay(s, d).findings([code])
 
 
 def _units(d: DataFrame) -> DataFrame:
@@ -320,10 +351,10 @@ _UNITS = ", u AS (SELECT txn_id, ticker, txn_date, rank, CAST(sum(signed) OVER (
 _add("win_units_running", f"{_UNITS} SELECT txn_id, ticker, held FROM u", lambda d: _units(d).select("txn_id", "ticker", "held"))
 _add("win_movements", f"{_UNITS} SELECT txn_id, ticker, CAST(sign(held - lag(held) OVER (PARTITION BY ticker ORDER BY txn_date, rank, txn_id)) AS INTEGER) AS moved FROM u", lambda d: findings.movements(_units(d)))
 _DAYS = f"{FULL}, days AS (SELECT scope, pool, of_currency AS currency, settle_date, min(txn_id) AS first_id, sum(moved) AS moved FROM pooled GROUP BY ALL), balances AS (SELECT CAST(scope AS INTEGER) AS scope, pool, currency, settle_date, first_id, CAST(sum(moved) OVER (PARTITION BY scope, pool, currency ORDER BY settle_date ROWS UNBOUNDED PRECEDING) AS DECIMAL(30,2)) AS balance FROM days)"
-_with("win_cash_running", f"{_DAYS} SELECT * FROM balances", lambda s, d: replay.balances(_ready(s, d)).withColumn("balance", F.col("balance").cast("decimal(30,2)")))
+_with("win_cash_running", f"{_DAYS} SELECT * FROM balances", lambda s, d: replay.balances(_priced(s, d)).withColumn("balance", F.col("balance").cast("decimal(30,2)")))
 _NEGATIVE = f"{_DAYS} SELECT pool AS account, currency, min(settle_date) AS settle_date, arg_min(first_id, settle_date) AS first_id FROM balances WHERE scope = 0 AND balance < 0 AND pool NOT LIKE '%-MARGIN' GROUP BY pool, currency"
 for _name in ("win_cash_first_negative", "dx_CASH_NEGATIVE"):
-    _with(_name, _NEGATIVE, lambda s, d: checks.cash_negative(_ready(s, d)).select("account", "currency", F.col("as_of").alias("settle_date"), F.col("txn_id").alias("first_id")))
+    _with(_name, _NEGATIVE, lambda s, d: checks.cash_negative(_priced(s, d)).select("account", "currency", F.col("as_of").alias("settle_date"), F.col("txn_id").alias("first_id")))
 _with(
     "win_dup_split",
     f"{FULL} SELECT txn_id, row_number() OVER (PARTITION BY account, ticker, txn_date, units / price ORDER BY txn_id) > 1 AS repeated FROM full_ledger WHERE action = 'SPLIT'",
@@ -339,8 +370,8 @@ def _without_repeats(d: DataFrame) -> DataFrame:
     return ingest.without_own_repeats(again, ingest.Approval("ok", "yes")).select("txn_id")
 
 
-_add("sort_default", f"{_IDS} ORDER BY txn_date DESC, txn_id DESC LIMIT 100", lambda d: d.orderBy(F.desc("txn_date"), F.desc("txn_id")).limit(100).select(IDS))
-_add("sort_multi", f"{_IDS} ORDER BY account, amount DESC, txn_id LIMIT 100", lambda d: d.orderBy("account", F.desc("amount"), "txn_id").limit(100).select(IDS))
+_add("sort_default", f"{_IDS} ORDER BY txn_date DESC, txn_id DESC", lambda d: d.orderBy(F.desc("txn_date"), F.desc("txn_id")).select(IDS))
+_add("sort_multi", f"{_IDS} ORDER BY account, amount DESC, txn_id", lambda d: d.orderBy("account", F.desc("amount"), "txn_id").select(IDS))
 _add("sort_default_all", f"{_IDS} ORDER BY txn_date DESC, txn_id DESC", lambda d: d.orderBy(F.desc("txn_date"), F.desc("txn_id")).select(IDS))
 _add("sort_multi_all", f"{_IDS} ORDER BY account, amount DESC, txn_date DESC, txn_id DESC", lambda d: d.orderBy("account", F.desc("amount"), F.desc("txn_date"), F.desc("txn_id")).select(IDS))
 _add("limit_head", f"{_IDS} ORDER BY txn_date, txn_id LIMIT 10", lambda d: d.orderBy("txn_date", "txn_id").limit(10).select(IDS))
@@ -377,8 +408,8 @@ _add("trade_cash", "SELECT txn_id, cash FROM delta", lambda d: d.select("txn_id"
 _add("edit_arith", "SELECT txn_id, CAST(units * 2 + 1.5 AS DECIMAL(22,2)) AS units FROM ledger WHERE action = 'BUY'", lambda d: d.where("action = 'BUY'").select("txn_id", (F.col("units") * 2 + F.lit("1.5").cast("decimal(2,1)")).cast("decimal(22,2)").alias("units")))
 _RULES = [({"action": ["DIVIDEND"], "account": ["contains:tfsa"]}, {"action": "FCH", "nothing": "x"}), ({"action": ["FCH"]}, {"ticker": ""}), ({"missing": ["x"]}, {"action": "BUY"})]
 _add("ing_rule", "SELECT txn_id, CASE WHEN action = 'DIVIDEND' AND account LIKE '%TFSA%' THEN 'FCH' ELSE action END AS action, CASE WHEN action = 'DIVIDEND' AND account LIKE '%TFSA%' THEN NULL ELSE ticker END AS ticker FROM ledger", lambda d: findings.ruled(d, _RULES).select("txn_id", "action", "ticker"))
-_with("dx_SETTLE_BEFORE_TRADE", f"{FULL} SELECT txn_id FROM full_ledger WHERE action IN ('BUY', 'SELL') AND settle_date < txn_date", lambda s, d: checks.row_findings(_ready(s, d)).where("code = 'SETTLE_BEFORE_TRADE'").select("txn_id"))
-_with("dx_FXT_AMOUNT_INCONSISTENT", f"{FULL} SELECT txn_id FROM full_ledger WHERE action = 'FXT' AND units <> 0 AND abs(abs(amount) - abs(units * price)) > 0.005", lambda s, d: checks.row_findings(_ready(s, d)).where("code = 'FXT_AMOUNT_INCONSISTENT'").select("txn_id"))
+_with("dx_SETTLE_BEFORE_TRADE", f"{FULL} SELECT txn_id FROM full_ledger WHERE action IN ('BUY', 'SELL') AND settle_date < txn_date", lambda s, d: checks.row_findings(_priced(s, d)).where("code = 'SETTLE_BEFORE_TRADE'").select("txn_id"))
+_with("dx_FXT_AMOUNT_INCONSISTENT", f"{FULL} SELECT txn_id FROM full_ledger WHERE action = 'FXT' AND units <> 0 AND abs(abs(amount) - abs(units * price)) > 0.005", lambda s, d: checks.row_findings(_priced(s, d)).where("code = 'FXT_AMOUNT_INCONSISTENT'").select("txn_id"))
 _add(
     "dx_AMBIGUOUS_FEE_CONVENTION",
     "SELECT txn_id FROM ledger WHERE action IN ('BUY', 'SELL') AND fee <> 0 AND txn_id % 101 = 0",
@@ -399,10 +430,10 @@ _add(
 )
 _with(
     "dx_SETTLE_LAG_OUTLIER",
-    f"{_LAGS}, u AS (SELECT account, arg_max(lag, (votes, -came)) AS usual FROM n GROUP BY account HAVING sum(votes) >= 5) SELECT txn_id, account, CAST(lag AS DOUBLE) AS value FROM t JOIN u USING (account) WHERE abs(lag - usual) > 2",
-    lambda s, d: checks.lag_outliers(_ready(s, d)).select("txn_id", "account", "value"),
+    f"{_LAGS}, u AS (SELECT account, arg_min(lag, (-votes, came)) AS usual FROM n GROUP BY account HAVING sum(votes) >= 5) SELECT txn_id, account, CAST(lag AS DOUBLE) AS value FROM t JOIN u USING (account) WHERE abs(lag - usual) > 2",
+    lambda s, d: checks.lag_outliers(_priced(s, d)).select("txn_id", "account", "value"),
 )
-_with("dx_UNKNOWN_ACCOUNT_TYPE", f"{FULL} SELECT DISTINCT account FROM full_ledger WHERE acct_type = 'UNKNOWN'", lambda s, d: checks.unknown_accounts(_ready(s, d)).select("account"))
+_with("dx_UNKNOWN_ACCOUNT_TYPE", f"{FULL} SELECT DISTINCT account FROM full_ledger WHERE acct_type = 'UNKNOWN'", lambda s, d: checks.unknown_accounts(_priced(s, d)).select("account"))
 _with(
     "fx_convert",
     f"{_FX}, amount, settle_date FROM ledger l ASOF LEFT JOIN rates r ON l.settle_date >= r.fx_date, (SELECT * FROM rates ORDER BY fx_date LIMIT 1) f".replace("SELECT txn_id", ", c AS (SELECT txn_id", 1)
@@ -456,16 +487,98 @@ _add("agg_settle_stats", "SELECT count(*) AS total, count(*) FILTER (WHERE actio
 _NEWS = "SELECT txn_id, ticker, account, CAST(amount * 2 AS DECIMAL(22,2)) AS amount FROM ledger WHERE txn_id % 5 = 0"
 _wide = lambda d: d.select("txn_id", "ticker", "account", F.col("amount").cast("decimal(22,2)").alias("amount"))
 _news = lambda d: _wide(d.where("txn_id % 5 = 0")).withColumn("amount", (F.col("amount") * 2).cast("decimal(22,2)"))
-_add("sink_upsert", f"SELECT txn_id, ticker, account, CAST(amount AS DECIMAL(22,2)) AS amount FROM ledger WHERE txn_id % 5 > 0 AND txn_id % 7 > 0 UNION ALL {_NEWS}", lambda d: ingest.upserted(_wide(d.where("txn_id % 7 > 0")), _news(d), ["txn_id"]).where("txn_id % 7 > 0 or txn_id % 5 = 0"))
-_add("sink_update", "SELECT txn_id, ticker, account, CAST(CASE WHEN txn_id % 5 = 0 THEN amount * 2 ELSE amount END AS DECIMAL(22,2)) AS amount FROM ledger", lambda d: ingest.updated(_wide(d), _news(d), ["txn_id"], ["amount"]))
-for _name in ("sink_delete", "mut_delete"):
-    _add(_name, "SELECT txn_id FROM ledger WHERE txn_id % 5 > 0", lambda d: ingest.deleted(d, _news(d), ["txn_id"]).select("txn_id"))
+
+
+def _committed(d: DataFrame, change: Callable[[tables.Store], dict]) -> DataFrame:
+    """A ledger table after an import and a change, both committed to a store."""
+    shape = tables.Shape("txn_id bigint, ticker string, account string, amount decimal(22,2)", ("txn_id",), buckets=16, rules={"an amount": F.col("amount").isNotNull()})
+    store = tables.Store(d.sparkSession, f"{shared_dir(d.sparkSession)}/store-{uuid.uuid4().hex[:12]}", {"ledger": shape})
+    store.append("ledger", _wide(d))
+    return store.read("ledger", change(store))
+
+
+_add("sink_append", "SELECT txn_id, ticker, account, CAST(amount AS DECIMAL(22,2)) AS amount FROM ledger", lambda d: _committed(d.where("txn_id % 7 > 0"), lambda s: s.append("ledger", _wide(d.where("txn_id % 7 = 0")))))
+_add("sink_upsert", f"SELECT txn_id, ticker, account, CAST(amount AS DECIMAL(22,2)) AS amount FROM ledger WHERE txn_id % 5 > 0 AND txn_id % 7 > 0 UNION ALL {_NEWS}", lambda d: _committed(d.where("txn_id % 7 > 0"), lambda s: s.upsert("ledger", _news(d))))
+_add("sink_update", "SELECT txn_id, ticker, account, CAST(CASE WHEN txn_id % 5 = 0 THEN amount * 2 ELSE amount END AS DECIMAL(22,2)) AS amount FROM ledger", lambda d: _committed(d, lambda s: s.update("ledger", _news(d), ["amount"])))
+_add("sink_delete", "SELECT txn_id FROM ledger WHERE txn_id % 5 > 0", lambda d: _committed(d, lambda s: s.delete("ledger", _news(d))).select("txn_id"))
+_add("mut_delete", "SELECT txn_id FROM ledger WHERE txn_id % 5 > 0", lambda d: ingest.deleted(d, _news(d), ["txn_id"]).select("txn_id"))
+_CORRECTED = "ticker IN ('T3', 'T11', 'T40') AND action = 'BUY' AND txn_id % 2 = 0"
+_add(
+    "cache_load_or_build",
+    f", c AS (SELECT DISTINCT ticker FROM ledger WHERE {_CORRECTED}) SELECT ticker AS symbol, ticker IN (SELECT ticker FROM c) AS replayed, CAST(sum(signed) AS DECIMAL(30,2)) AS units FROM delta GROUP BY ticker",
+    lambda d: _corrected(d),
+)
+
+
+def _corrected(d: DataFrame) -> DataFrame:
+    """The trades' replay in a store, brought up to date after some prices and amounts were corrected: which symbols were replayed again, and all units."""
+    spark = d.sparkSession
+    rates, renames = spark.createDataFrame([(dt.date(1992, 1, 1), Decimal("1.3"))], "fx_date date, rate decimal(20,4)"), spark.createDataFrame([], "old string, new string, effective date")
+    states = incremental.store(spark, f"{shared_dir(spark)}/states-{uuid.uuid4().hex[:12]}")
+    ready = lambda rows: stored(replay.prepared(rows, rates, renames), "ready")
+    incremental.load_or_build(states, ready(d))
+    wrong = F.expr(_CORRECTED)
+    fixed = d.withColumns({"amount": F.when(wrong, F.col("amount") * 2).otherwise(F.col("amount")), "price": F.when(wrong, F.col("price") * 2).otherwise(F.col("price"))})
+    manifest, again = incremental.load_or_build(states, ready(fixed))
+    ended = states.read("endings", manifest).where("scope = 2").select("symbol", F.col("units").cast("decimal(30,2)").alias("units"))
+    return ended.join(again.withColumn("replayed", F.lit(True)), "symbol", "left").select("symbol", F.coalesce("replayed", F.lit(False)).alias("replayed"), "units")
+
+
+_found["cache_fingerprint"] = lambda s, d: incremental.fingerprints(_Replay(s, d).ready)
 _edit = lambda d: ingest.edited(ingest.with_settlement(d.drop("settle_date")), {"units": ("*", 2), "amount": ("/", 4), "action": ("=", "DIVIDEND")})
-_add("mut_edit", "SELECT txn_id, CAST(units * 2 AS DECIMAL(20,2)) AS units, txn_date AS settle_date, 0 AS settle_calculated FROM ledger", lambda d: _edit(d).select("txn_id", "units", F.when(F.col("settle_date") == F.col("txn_date"), F.col("settle_date")).otherwise(F.col("settle_date")).alias("settle_date"), "settle_calculated").where("settle_date is not null"))
+_add("mut_edit", "SELECT txn_id, CAST(units * 2 AS DECIMAL(20,2)) AS units, CAST(CAST(amount * 0.25 AS DECIMAL(24,4)) AS DECIMAL(20,2)) AS amount, txn_date AS settle_date, 0 AS settle_calculated FROM ledger", lambda d: _edit(d).select("txn_id", F.col("units").cast("decimal(20,2)").alias("units"), F.col("amount").cast("decimal(20,2)").alias("amount"), "settle_date", "settle_calculated"))
 _add("mut_diff", "SELECT * FROM (VALUES ('action', (SELECT count(*) FROM ledger WHERE action <> 'DIVIDEND')), ('units', (SELECT count(*) FROM ledger WHERE units <> 0))) t(\"column\", \"rows\")", lambda d: ingest.changed_columns(d, d.withColumns({"action": F.lit("DIVIDEND"), "units": (F.col("units") * 2).cast("decimal(20,2)")})))
 _add("edit_conflicts", f", k AS (SELECT *, {_KEY} AS key FROM ledger), e AS (SELECT * REPLACE (CASE WHEN txn_id % 4 = 0 THEN amount ELSE amount + 1000000 END AS amount) FROM ledger WHERE txn_id % 2 = 0) SELECT txn_id FROM k WHERE txn_id % 2 = 1 AND key IN (SELECT {_KEY} FROM e)", lambda d: ingest.conflicts(d, d.where("txn_id % 2 = 0").withColumn("amount", F.when(F.col("txn_id") % 4 == 0, F.col("amount")).otherwise(F.col("amount") + 1_000_000))).select("txn_id"))
 
 
+# -- folders and the portfolio -------------------------------------------------
+
+
+#: Headers of three brokers, in the order of the columns that are written.
+_HEADERS = [["Trade Date", "Action", "Amount", "$", "Price", "Quantity", "Symbol", "Fee", "ref"], ["txn_date", "action", "amount", "currency", "price", "units", "ticker", "fee", "ref"], [" DATE ", "ACTION", "AMOUNT", "Currency", "PRICE", "Units", "Ticker", "FEE", "ref"]]
+_FILED = {"txn_date": ["Trade Date", "date"], "currency": ["$"], "units": ["quantity"], "ticker": ["symbol"]}
+
+
+def _scan_dir(s: SparkSession, d: str) -> DataFrame:
+    """The trades written as brokers' files, a folder a broker, with broken files among them; taken from there, twice."""
+    top = f"{shared_dir(s)}/files-{uuid.uuid4().hex[:12]}"
+    text = lambda c: F.col(c).cast("string")
+    for i, header in enumerate(_HEADERS):
+        mine = source.ledger(s, d).where(F.col("txn_id") % 3 == i)
+        cells = [text(c).alias(h) for c, h in zip(["txn_date", "action", "amount", "currency", "price", "units", "ticker", "fee", "txn_id"], header, strict=True)]
+        mine.select(*cells).write.option("header", True).csv(f"{top}/broker{i}")
+    s.createDataFrame([("no,header,here",), ("1,2,3",)], "value string").coalesce(1).write.text(f"{top}/broken")
+    box = folder.inbox(s, f"{top}-inbox", "txn_date string, action string, amount string, currency string, price string, units string, ticker string, fee string, others map<string,string>")
+    scan = lambda paths: folder.scan_ledger(s, paths, _FILED)
+    folder.take(box, top, scan, "part-*")
+    return box.read("rows", folder.take(box, top, scan, "part-*")).select(F.col("others")["ref"].cast("bigint").alias("txn_id"), "ticker", F.col("amount").cast("decimal(20,2)").alias("amount"), "currency")
+
+
+_with("scan_dir", "SELECT txn_id, ticker, amount, currency FROM ledger", _scan_dir)
+_QUARTERS = "SELECT CAST(unnest(generate_series(DATE '1993-03-31', DATE '1998-12-31', INTERVAL 3 MONTH)) AS DATE) AS day"
+_HELD = f""", q AS ({_QUARTERS}), moves AS (SELECT acct_type AS pool, ticker, txn_date AS day, sum(CASE action WHEN 'BUY' THEN units ELSE -units END) AS units, sum(CASE action WHEN 'BUY' THEN amount ELSE -amount END) AS paid FROM ledger WHERE action <> 'DIVIDEND' GROUP BY ALL),
+held AS (SELECT pool, ticker, day, CAST(sum(units) OVER w AS DECIMAL(30,2)) AS units, CAST(sum(paid) OVER w AS DECIMAL(30,2)) AS paid FROM moves WINDOW w AS (PARTITION BY pool, ticker ORDER BY day)),
+prices AS (SELECT ticker, txn_date AS day, arg_max(price, txn_id) AS price FROM ledger WHERE action <> 'DIVIDEND' GROUP BY ALL),
+asked AS (SELECT DISTINCT pool, ticker, q.day FROM held, q),
+open AS (SELECT a.*, h.units, h.paid FROM asked a ASOF JOIN held h ON a.pool = h.pool AND a.ticker = h.ticker AND a.day >= h.day WHERE h.units <> 0),
+valued AS (SELECT o.day, o.pool, o.ticker, o.units, o.paid, p.price, p.day AS priced_on, CAST(o.units * p.price AS DECIMAL(38,6)) AS market FROM open o ASOF LEFT JOIN prices p ON o.ticker = p.ticker AND o.day >= p.day)"""
+
+
+def _valued(d: DataFrame) -> DataFrame:
+    days = d.sparkSession.sql("SELECT explode(transform(sequence(0, 23), i -> add_months(date'1993-03-31', 3 * i))) AS day").select(F.last_day("day").alias("day"))
+    return portfolio.valued(portfolio.positions(d, "acct_type"), portfolio.last_prices(d), days)
+
+
+_add("portfolio_positions", _HELD.replace(_QUARTERS, f"SELECT last_day(day) AS day FROM ({_QUARTERS})") + " SELECT * FROM valued", _valued)
+_add(
+    "portfolio_totals",
+    _HELD.replace(_QUARTERS, f"SELECT last_day(day) AS day FROM ({_QUARTERS})")
+    + ", r AS (SELECT day, pool, count(*) AS positions, CAST(sum(market) AS DECIMAL(38,6)) AS market, CAST(sum(paid) AS DECIMAL(30,2)) AS paid FROM valued GROUP BY ROLLUP (day, pool) HAVING day IS NOT NULL)"
+    " SELECT r.*, CASE WHEN w.market <> 0 THEN CAST(r.market AS DOUBLE) / CAST(w.market AS DOUBLE) END AS share FROM r JOIN r w ON w.day = r.day AND w.pool IS NULL",
+    lambda d: portfolio.totals(_valued(d)),
+)
+
+
 def acb_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ended(spark, sf_dir)
 

@@ -14,10 +14,6 @@ from ledgerloom.functions.scalars import settled
 #: Account types in the order in which suppliers get them.
 ACCOUNT_TYPES = ["NON_REGISTERED", "MARGIN", "CORPORATE", "TFSA", "RRSP", "RRIF", "RESP", "FHSA", "LIRA"]
 
-#: Rename edges: old ticker, new ticker, effective date.
-ALIASES = [("T1", "T2", "1994-01-01"), ("T2", "T3", "1996-01-01"), ("T5", "T6", "1995-06-30"), ("T7", "T8", "1993-03-01"), ("T8", "T9", "1997-01-01"), ("T20", "T21", "1996-06-01")]
-
-
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trades and dividends: a row per order line, so that filters reach the scan.
 
@@ -102,5 +98,8 @@ def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.where(F.weekday("fx_date") < 5).select("fx_date", rate.alias("rate"))
 
 
-def aliases(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ALIASES, "old string, new string, effective string").withColumn("effective", F.col("effective").cast("date"))
+def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """old, new, effective: of every three parts in turn the first is renamed to the second, and that to the third, on some day of the years of trade."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 3 > 0")
+    name = lambda i: F.concat(F.lit("T"), F.col("p_partkey") + i)
+    return parts.select(name(0).alias("old"), name(1).alias("new"), F.date_add(F.lit("1992-06-01").cast("date"), (F.col("p_partkey") * 37 % 2000).cast("int")).alias("effective"))
