@@ -146,7 +146,7 @@ def take(of: Store, folder: str, scan, pattern: str = "*.csv") -> dict:
     """Takes the files of a folder that were not taken before: rows, lines kept aside and files, all in one version.
 
     `scan` gives the lines of a list of paths. A file counts as another once its length or time differs; then its
-    rows replace those it gave before.
+    rows replace those it gave before. Spark's readers pass over files without a byte.
     """
     spark = of.spark
 

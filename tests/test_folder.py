@@ -17,7 +17,7 @@ def test_files_with_their_own_headers(spark, tmp_path):
     put("IB-TFSA.csv", 'Trade Date,Action,Amount,$,Price,Quantity,Symbol,Note\n2024-01-05,BUY,"1,000",CAD,10,100,ABC,"two\nlines"\n\n2024-01-06,SELL,5\n')
     put("x.csv", "﻿account,ticker,units,price,currency,amount,action,txn_date,Symbol\nQT-RRSP,XYZ,1,2,USD,3,BUY,2024-02-01,other\n,XYZ,1,2,USD,4,BUY,2024-02-02,other\n")
     put("short.csv", "Trade Date,Action\n2024-01-05,BUY\n")
-    put("empty.csv", "")
+    put("empty.csv", "\n \n")
     put("latin.csv", b"Trade Date\n\xff\xfe\n")
     put("notes.txt", "not taken")
     box = folder.inbox(spark, str(tmp_path / "box"), "txn_date string, action string, amount string, currency string, units string, ticker string, account string, others map<string,string>")
