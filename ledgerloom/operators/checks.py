@@ -32,7 +32,7 @@ def row_findings(ready: DataFrame) -> DataFrame:
     """What a row shows by itself: settlement before the trade, a conversion that does not add up, a fee that fits neither way."""
     own = {"txn_id": F.col("txn_id"), "account": F.col("account"), "symbol": F.col("symbol"), "currency": F.col("currency")}
     trades = ready.where(F.col("action").isin(TRADES))
-    early = _finding(trades.where("settle_date < txn_date"), 1, "SETTLE_BEFORE_TRADE", F.format_string("settles %s, traded %s", "settle_date", "txn_date"), **own)
+    early = _finding(trades.where("settle_date < txn_date"), 1, "SETTLE_BEFORE_TRADE", F.format_string("settles %s, traded %s", F.col("settle_date").cast("string"), F.col("txn_date").cast("string")), **own)
     implied = F.abs(F.col("units") * F.col("price"))
     off = ready.where("action = 'FXT' and units <> 0 and price <> 0").where(F.abs(F.abs("amount") - implied) > 0.005)
     uneven = _finding(off, 2, "FXT_AMOUNT_INCONSISTENT", F.format_string("amount %s against %s", "amount", implied.cast("string")), value=implied, **own)
@@ -51,7 +51,7 @@ def pool_findings(done: DataFrame) -> DataFrame:
     """The codes that the replay raised, by pool."""
     raised = done.select("txn_id", "scope", "pool", "symbol", "value", F.explode("codes").alias("raised"))
     account = F.when(F.col("scope") == 0, F.col("pool"))
-    return _finding(raised, 5, F.col("raised"), F.format_string("%s of %s in %s", "raised", "symbol", "pool"), txn_id=F.col("txn_id"), scope=F.col("scope"), pool=F.col("pool"), symbol=F.col("symbol"), account=account, value=F.col("value"))
+    return _finding(raised, 5, F.col("raised"), F.format_string("%s of %s in %s", "raised", "symbol", "pool"), txn_id=F.col("txn_id"), scope=F.col("scope"), pool=F.col("pool"), symbol=F.col("symbol"), account=account, value=F.when(F.col("raised").isin("OVERSELL", "ROC_EXCEEDS_ACB"), F.col("value")))
 
 
 def cash_negative(ready: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def cash_negative(ready: DataFrame) -> DataFrame:
     low = replay.balances(own).where("scope = 0").where(F.bround("balance", 2) < 0)
     first = low.groupBy("pool", "currency").agg(F.min_by(F.struct("settle_date", "first_id", "balance"), "settle_date").alias("d")).select("pool", "currency", "d.*")
     return _finding(
-        first, 6, "CASH_NEGATIVE", F.format_string("%s of %s on %s", F.col("balance").cast("string"), "currency", "settle_date"), txn_id=F.col("first_id"), scope=F.lit(0),
+        first, 6, "CASH_NEGATIVE", F.format_string("%s of %s on %s", F.col("balance").cast("string"), "currency", F.col("settle_date").cast("string")), txn_id=F.col("first_id"), scope=F.lit(0),
         pool=F.concat_ws(":", "pool", "currency"), account=F.col("pool"), currency=F.col("currency"), as_of=F.col("settle_date"), value=F.col("balance"),
     )
 
@@ -221,7 +221,7 @@ def check_findings(found: DataFrame, disabled: list[str] = ()) -> DataFrame:
     single = rest.join(widest, "txn_id", "left").select("slug", F.coalesce("symbol", "account", F.lit("")).alias("subject"), F.concat("detail", F.when(F.col("code") == "OVERSELL", where).otherwise("")).alias("detail"), F.when(F.col("txn_id").isNotNull(), F.array("txn_id")).otherwise(F.array().cast("array<bigint>")).alias("txn_ids"))
     mixed = own.where("code = 'MIXED_CURRENCY'").groupBy("slug", F.col("symbol").alias("subject")).agg(F.concat_ws(", ", F.sort_array(F.collect_set("detail"))).alias("detail"), F.sort_array(F.collect_list("txn_id")).alias("txn_ids"))
     split = own.where("code = 'SPLIT_SCOPE_MISMATCH'").groupBy("slug", F.col("symbol").alias("subject"), "as_of").agg(F.concat_ws(", ", F.sort_array(F.collect_set("account"))).alias("accounts"))
-    split = split.select("slug", "subject", F.format_string("split of %s missing in %s", "as_of", "accounts").alias("detail"), F.array().cast("array<bigint>").alias("txn_ids"))
+    split = split.select("slug", "subject", F.format_string("split of %s missing in %s", F.col("as_of").cast("string"), "accounts").alias("detail"), F.array().cast("array<bigint>").alias("txn_ids"))
     return single.unionByName(mixed).unionByName(split)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars as S
 from ledgerloom.operators import checks, findings, fold, incremental, ingest, matching, portfolio, replay
+from ledgerloom.plans import oracles
 from ledgerloom.sources import folder, tables
 from ledgerloom.sources import ledger as source
 from ledgerloom.sources.scratch import shared_dir, stored
@@ -261,7 +262,8 @@ _add(
     lambda d: matching.split_missing(d, d.where("action = 'DIVIDEND' and txn_date >= date'1996-01-01'").select("ticker", F.col("txn_date").alias("day"), "account").distinct()),
 )
 _legs = lambda d: d.where("action in ('BUY', 'SELL')").withColumn("action", F.when(F.col("action") == "SELL", "TFR_OUT").otherwise("TFR_IN"))
-_add("pair_transfers", None, lambda d: matching.paired_transfers(_legs(d)))
+_SIDES = ", legs AS (SELECT txn_id AS id, CASE action WHEN 'SELL' THEN 'TFR_OUT' ELSE 'TFR_IN' END AS side, settle_date AS day, units AS size, ticker, account FROM ledger WHERE action IN ('BUY', 'SELL'))"
+_add("pair_transfers", f"{_SIDES}{oracles.pairs('legs')} SELECT o AS out_id, i AS in_id FROM paired", lambda d: matching.paired_transfers(_legs(d)))
 _FOLD = f"""{_RATED}, of AS (SELECT 0 AS scope, account AS pool, * FROM rated UNION ALL SELECT 1, acct_type, * FROM rated UNION ALL SELECT 2, 'ALL', * FROM rated),
 folded AS (SELECT scope, pool, ticker, arg_min(currency, (txn_date, rank, txn_id)) AS holding, list_reduce(list({{'u': u, 'c': cost * rate, 'n': CASE WHEN currency = 'USD' THEN cost ELSE 0 END, 'p': proceeds * rate, 'q': CASE WHEN currency = 'USD' THEN proceeds ELSE 0 END, 'us': currency = 'USD', 'g': CAST(0 AS DOUBLE), 'h': CAST(0 AS DOUBLE), 'k': action, 'o': CAST(0 AS BIGINT)}} ORDER BY txn_date, rank, txn_id),
   lambda s, r: CASE WHEN r.k = 'BUY' THEN {{'u': s.u + r.u, 'c': s.c + r.c, 'n': s.n + r.n, 'p': s.p, 'q': s.q, 'us': s.us, 'g': s.g, 'h': s.h, 'k': r.k, 'o': s.o}}
@@ -336,9 +338,15 @@ def _heard(of: _Replay) -> DataFrame:
 
 
 for _slug, (_, _codes) in checks.CHECKS.items():
+    if _slug in oracles.CHECKS:
+        _sql[f"chk_{_slug.replace('-', '_')}"] = f"{LEDGER}{FULL}{oracles.CHECKS[_slug]}" if oracles.CHECKS[_slug].startswith(",") else f"{LEDGER}{FULL} {oracles.CHECKS[_slug]}"
     _found[f"chk_{_slug.replace('-', '_')}"] = lambda s, d, slug=_slug, codes=_codes: checks.check_findings(_Replay(s, d).findings(codes), [c for c in checks.CHECKS if c != slug])
 for _code in ("DUPLICATE_SPLIT", "SPLIT_WITHOUT_POSITION", "SPLIT_SCOPE_MISMATCH", "ROC_EXCEEDS_ACB", "INCOME_WITHOUT_POSITION", "TRANSFER_UNPAIRED"):
     _found[f"dx_{_code}"] = lambda s, d, code=_code: _Replay(s, d).findings([code])
+    if _code in ("DUPLICATE_SPLIT", "SPLIT_WITHOUT_POSITION", "INCOME_WITHOUT_POSITION"):
+        _sql[f"dx_{_code}"] = LEDGER + FULL + oracles.raised(_code)
+_sql["dx_SPLIT_SCOPE_MISMATCH"] = LEDGER + FULL + oracles.SCOPE_MISMATCH
+_sql["dx_TRANSFER_UNPAIRED"] = f"{LEDGER}{FULL}{oracles.ALONE} SELECT * FROM alone"
 
 
 def _units(d: DataFrame) -> DataFrame:
