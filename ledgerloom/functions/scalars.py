@@ -162,13 +162,16 @@ def quote_symbol(ticker: Column) -> Column:
     return F.when(keeps, F.concat(F.translate(head, ".", "-"), F.lit("."), suffix)).otherwise(F.translate(ticker, ".", "-"))
 
 
-def account_type(account: Column) -> Column:
-    """The rightmost word that names a type, else the longest type that the name holds, else UNKNOWN."""
+def account_type(account: Column, overrides: dict[str, str] | None = None, naming: bool = True) -> Column:
+    """The type given for the account, as it is written or in upper case; else the rightmost word that names a type, else the longest type that the name holds, else UNKNOWN. Without `naming`, names tell nothing."""
+    given = [F.when((account == name) | (F.upper(account) == name), kind) for name, kind in (overrides or {}).items()]
+    if not naming:
+        return F.coalesce(*given, F.lit("UNKNOWN"))
     name = F.upper(F.trim(account))
     known = F.create_map(*[F.lit(x) for pair in ACCOUNT_WORDS.items() for x in pair])
     named = F.filter(F.transform(F.reverse(F.split(name, r"[-_\s]+")), lambda w: known[w]), lambda t: t.isNotNull())
     held = [F.when(name.contains(word), ACCOUNT_WORDS[word]) for word in sorted(ACCOUNT_WORDS, key=lambda w: (-len(w), w))]
-    return F.coalesce(F.get(named, F.lit(0)), *held, F.lit("UNKNOWN"))
+    return F.coalesce(*given, F.get(named, F.lit(0)), *held, F.lit("UNKNOWN"))
 
 
 def q2(x: Column) -> Column:

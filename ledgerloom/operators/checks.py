@@ -55,12 +55,14 @@ def pool_findings(done: DataFrame) -> DataFrame:
 
 
 def cash_negative(ready: DataFrame) -> DataFrame:
-    """The first day on which an account's cash ends below zero to the cent; margin accounts may be."""
-    own = ready.where("acct_type <> 'MARGIN'")
-    low = replay.balances(own).where("scope = 0").where(F.bround("balance", 2) < 0)
-    first = low.groupBy("pool", "currency").agg(F.min_by(F.struct("settle_date", "first_id", "balance"), "settle_date").alias("d")).select("pool", "currency", "d.*")
+    """The first day on which an account's cash ends below zero to the cent, and whether it has stayed there since; margin accounts may be."""
+    days = replay.balances(ready.where("acct_type <> 'MARGIN'")).where("scope = 0")
+    low = F.bround("balance", 2) < 0
+    first = F.min_by(F.when(low, F.struct("settle_date", "first_id", "balance")), F.when(low, F.col("settle_date"))).alias("d")
+    found = days.groupBy("pool", "currency").agg(first, F.max_by("balance", "settle_date").alias("ended")).where("d is not null").select("pool", "currency", "d.*", "ended")
+    tail = F.when(F.bround("ended", 2) == F.bround("balance", 2), ", unchanged since").otherwise(", and moved on since")
     return _finding(
-        first, 6, "CASH_NEGATIVE", F.format_string("%s of %s on %s", F.col("balance").cast("string"), "currency", F.col("settle_date").cast("string")), txn_id=F.col("first_id"), scope=F.lit(0),
+        found, 6, "CASH_NEGATIVE", F.format_string("%s of %s on %s%s", F.col("balance").cast("string"), "currency", F.col("settle_date").cast("string"), tail), txn_id=F.col("first_id"), scope=F.lit(0),
         pool=F.concat_ws(":", "pool", "currency"), account=F.col("pool"), currency=F.col("currency"), as_of=F.col("settle_date"), value=F.col("balance"),
     )
 
@@ -90,12 +92,14 @@ def split_mismatches(ready: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def mixed_currencies(ready: DataFrame) -> DataFrame:
-    """Rows whose currency is not that of most rows of their symbol (ties by name)."""
+    """Rows whose currency is not that of most rows of their symbol (ties by name), with how many rows it has of each."""
     rows = ready.where(F.col("action").isin(DENOMINATED) & F.col("symbol").isNotNull())
     counted = rows.groupBy("symbol", "currency").agg(F.count("*").alias("n"))
-    top = counted.groupBy("symbol").agg(F.min_by("currency", F.struct(-F.col("n"), "currency")).alias("most"), F.max("n").alias("n"), F.count("*").alias("kinds")).where("kinds > 1")
-    odd = rows.join(top, "symbol").where("currency <> most")
-    return _finding(odd, 9, "MIXED_CURRENCY", F.format_string("%s here, %s on %s rows", "currency", "most", "n"), txn_id=F.col("txn_id"), pool=F.col("symbol"), account=F.col("account"), symbol=F.col("symbol"), currency=F.col("currency"))
+    each = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "currency")))  # a currency each
+    top = counted.groupBy("symbol").agg(each.alias("each")).where(F.size("each") > 1)
+    said = F.array_join(F.transform("each", lambda x: F.concat((-x["n"]).cast("string"), F.when(x["n"] == -1, " row of ").otherwise(" rows of "), x["currency"])), ", ")
+    odd = rows.join(top.select("symbol", F.col("each")[0]["currency"].alias("most"), F.concat(F.lit("booked in "), said).alias("said")), "symbol").where("currency <> most")
+    return _finding(odd, 9, "MIXED_CURRENCY", F.col("said"), txn_id=F.col("txn_id"), pool=F.col("symbol"), account=F.col("account"), symbol=F.col("symbol"), currency=F.col("currency"))
 
 
 def lag_outliers(ready: DataFrame) -> DataFrame:

@@ -62,7 +62,7 @@ def one(slug: str, subject: str, detail: str, source: str) -> str:
 
 _LOWEST = """, days AS (SELECT account, of_currency AS currency, settle_date, min(txn_id) AS first_id, sum(moved) AS moved FROM cash WHERE acct_type <> 'MARGIN' GROUP BY ALL),
 balances AS (SELECT *, CAST(sum(moved) OVER (PARTITION BY account, currency ORDER BY settle_date ROWS UNBOUNDED PRECEDING) AS DECIMAL(38,10)) AS balance FROM days),
-lowest AS (SELECT account, currency, arg_min({'day': settle_date, 'id': first_id, 'balance': balance}, settle_date) AS d FROM balances WHERE balance < -0.005 GROUP BY ALL)"""
+lowest AS (SELECT account, currency, arg_min({'day': settle_date, 'id': first_id, 'balance': balance}, settle_date) FILTER (WHERE balance < -0.005) AS d, arg_max(balance, settle_date) AS ended FROM balances GROUP BY ALL)"""
 _WEEKDAYS = "(SELECT count(*) FROM range(1, 14) r(i) WHERE i <= settle_date - txn_date AND isodow(txn_date + CAST(i AS INTEGER)) < 6)"
 _LATE = f"""{SYMBOLS}, lags AS (SELECT *, {_WEEKDAYS} AS lag FROM sym WHERE action IN ('BUY', 'SELL') AND settle_date >= txn_date), n AS (SELECT account, lag, count(*) AS votes, min((txn_date, txn_id)) AS came FROM lags GROUP BY ALL),
 usual AS (SELECT account, arg_min(lag, (-votes, came)) AS usual FROM n GROUP BY account HAVING sum(votes) >= 5)"""
@@ -80,9 +80,10 @@ ended AS (SELECT scope, pool, symbol, arg_max(after, (txn_date, turn, txn_id)) A
 SELECT 'unit-balances' AS slug, symbol AS subject, detail || ['; short in this account only', '; short in the account type too', '; missing from the whole ledger'][widest + 1] AS detail, [txn_id] AS txn_ids FROM pooled_findings JOIN over USING (txn_id) WHERE code = 'OVERSELL' AND scope = 0
 UNION ALL SELECT 'unit-balances', symbol, symbol || ' ends at ' || CAST(after / CAST(100 AS DECIMAL(38,10)) AS DECIMAL(38,10)) || ' in ' || pool, {_NONE} FROM ended e WHERE scope = 0 AND after < 0 AND NOT EXISTS (SELECT 1 FROM pooled_findings f WHERE f.code = 'OVERSELL' AND f.scope = 0 AND f.symbol = e.symbol AND f.account = e.pool)""",
     "currency-consistency": f"""{SYMBOLS}, said AS (SELECT * FROM sym WHERE action IN ('BUY', 'SELL', 'DIVIDEND', 'ROC') AND symbol IS NOT NULL), n AS (SELECT symbol, currency, count(*) AS n FROM said GROUP BY ALL),
-top AS (SELECT symbol, arg_min(currency, (-n, currency)) AS most, max(n) AS n FROM n GROUP BY symbol HAVING count(*) > 1)
-SELECT 'currency-consistency' AS slug, symbol AS subject, string_agg(DISTINCT currency || ' here, ' || most || ' on ' || n || ' rows', ', ' ORDER BY currency || ' here, ' || most || ' on ' || n || ' rows') AS detail, list(txn_id ORDER BY txn_id) AS txn_ids FROM said JOIN top USING (symbol) WHERE currency <> most GROUP BY symbol""",
-    "cash-balances": f"{_LOWEST} SELECT 'cash-balances' AS slug, account AS subject, d.balance || ' of ' || currency || ' on ' || d.day AS detail, [d.id] AS txn_ids FROM lowest",
+top AS (SELECT symbol, arg_min(currency, (-n, currency)) AS most, 'booked in ' || string_agg(n || CASE WHEN n = 1 THEN ' row of ' ELSE ' rows of ' END || currency, ', ' ORDER BY n DESC, currency) AS said FROM n GROUP BY symbol HAVING count(*) > 1)
+SELECT 'currency-consistency' AS slug, symbol AS subject, any_value(top.said) AS detail, list(txn_id ORDER BY txn_id) AS txn_ids FROM said JOIN top USING (symbol) WHERE currency <> most GROUP BY symbol""",
+    "fee-conventions": f"{SYMBOLS} " + one("fee-conventions", "coalesce(symbol, account)", "'amount ' || CAST(amount AS DECIMAL(38,10)) || ' fits no fee of ' || CAST(fee AS DECIMAL(38,10))", "sym WHERE action IN ('BUY', 'SELL') AND fee <> 0 AND txn_id % 101 = 0"),
+    "cash-balances": f"{_LOWEST} SELECT 'cash-balances' AS slug, account AS subject, d.balance || ' of ' || currency || ' on ' || d.day || CASE WHEN ended = d.balance THEN ', unchanged since' ELSE ', and moved on since' END AS detail, [d.id] AS txn_ids FROM lowest WHERE d IS NOT NULL",
     "settlement-dates": f"{_LATE} " + one("settlement-dates", "coalesce(symbol, account)", "'settles ' || settle_date || ', traded ' || txn_date", "sym WHERE action IN ('BUY', 'SELL') AND settle_date < txn_date")
     + " UNION ALL " + one("settlement-dates", "coalesce(symbol, account)", "lag || ' business days, usually ' || usual", "lags JOIN usual USING (account) WHERE abs(lag - usual) > 2"),
 }

@@ -55,7 +55,7 @@ FULL = f""", moves AS (
   FROM (SELECT *, user_id % 10 + CASE WHEN action = 'TFR_IN' THEN 1 ELSE 0 END AS supp FROM (
     SELECT *, CAST(value AS DECIMAL(20,2)) AS v, CAST(ts AS DATE) AS day, unnest(CASE WHEN event_type = 'signup' THEN ['FXT'] WHEN event_type = 'error' THEN ['FCH'] WHEN event_type = 'purchase' AND event_id % 20 = 0 THEN ['SPLIT']
       WHEN event_type = 'click' AND event_id % 25 = 0 THEN ['ROC'] WHEN event_type = 'view' AND event_id % 70 = 0 THEN ['TFR_OUT'] WHEN event_type = 'view' AND event_id % 10 = 0 THEN ['TFR_OUT', 'TFR_IN'] ELSE [] END) AS action FROM events))),
-full_ledger AS (SELECT * REPLACE (CASE WHEN action = 'DIVIDEND' THEN settle_date WHEN txn_id % 97 = 0 THEN txn_date - 1 WHEN txn_id % 89 = 0 THEN settle_date + 7 ELSE settle_date END AS settle_date) FROM ledger UNION ALL SELECT * FROM moves),
+full_ledger AS (SELECT * REPLACE (CASE WHEN action = 'DIVIDEND' THEN settle_date WHEN txn_id % 97 = 0 THEN txn_date - 1 WHEN txn_id % 89 = 0 THEN settle_date + 7 ELSE settle_date END AS settle_date, CAST(CASE WHEN action <> 'DIVIDEND' AND txn_id % 101 = 0 THEN amount + 500 ELSE amount END AS DECIMAL(20,2)) AS amount) FROM ledger UNION ALL SELECT * FROM moves),
 cash AS (SELECT l.*, m.* FROM full_ledger l, LATERAL (
   SELECT currency AS of_currency, CASE action WHEN 'BUY' THEN -amount - fee WHEN 'SELL' THEN amount - fee ELSE amount END AS moved, CASE WHEN action IN ('BUY', 'SELL') THEN fee WHEN action = 'FCH' THEN greatest(-amount, 0) ELSE 0 END AS fees WHERE action IN ('BUY', 'SELL', 'DIVIDEND', 'FCH', 'CONTRIBUTION', 'WITHDRAWAL')
   UNION ALL SELECT 'CAD', CASE WHEN action = 'FXT' THEN amount ELSE 0 END, 0 WHERE action = 'FXT' UNION ALL SELECT 'USD', units - fee, fee WHERE action = 'FXT') m),
@@ -400,6 +400,12 @@ for _name, _f, _expr in [
 ]:
     _with(_name, None, _parts(_f))
     _sql[_name] = f"{_PARTS}{_expr} AS v FROM part"
+_add(
+    "account_type_given",
+    "SELECT DISTINCT account, CASE WHEN account LIKE 'B1-%' THEN 'LIRA' ELSE acct_type END AS named, CASE WHEN account LIKE 'B1-%' THEN 'LIRA' ELSE 'UNKNOWN' END AS unnamed FROM ledger",
+    lambda d: d.select("account").distinct().select("account", S.account_type(F.col("account"), _GIVEN).alias("named"), S.account_type(F.col("account"), _GIVEN, naming=False).alias("unnamed")),
+)
+_GIVEN = {f"B1-{t}": "LIRA" for t in source.ACCOUNT_TYPES}
 _add("date_settle", "SELECT txn_id, settle_date FROM ledger", lambda d: d.select("txn_id", "settle_date"))
 _add(
     "date_business_days",

@@ -85,9 +85,11 @@ def movements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def full_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trades, dividends and all other actions; every 97th trade settles before it is made, and every 89th a week late."""
+    """Trades, dividends and all other actions; every 97th trade settles before it is made, every 89th a week late, and every 101st has 500 too much."""
     trades = ledger(spark, sf_dir)
     late = F.when(F.col("txn_id") % 97 == 0, F.date_sub("txn_date", 1)).when(F.col("txn_id") % 89 == 0, F.date_add("settle_date", 7)).otherwise(F.col("settle_date"))
+    off = (F.col("action") != "DIVIDEND") & (F.col("txn_id") % 101 == 0)
+    trades = trades.withColumn("amount", F.when(off, F.col("amount") + 500).otherwise(F.col("amount")).cast("decimal(20,2)"))
     return trades.withColumn("settle_date", F.when(F.col("action") == "DIVIDEND", F.col("settle_date")).otherwise(late)).unionByName(movements(spark, sf_dir))
 
 
