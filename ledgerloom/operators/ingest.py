@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars as S
@@ -53,8 +53,8 @@ def _text(c: str) -> Column:
     return F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit(""))
 
 
-def formatted(rows: DataFrame, optional: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(valid, rejected): rows in stored form, and rows as they came with `reasons` joined by '; '.
+def judged(rows: DataFrame, optional: dict[str, str] | None = None) -> DataFrame:
+    """rows in stored form, with `_raw`, the row as it came, and `reasons`, why it can't be stored, joined by '; '; null where it can.
 
     optional: logical types of further columns: date, numeric, currency, action
     or string. A required value that is missing is MISSING (a blank date or
@@ -78,14 +78,18 @@ def formatted(rows: DataFrame, optional: dict[str, str] | None = None) -> tuple[
         need = must(c) if c in NUMBERS else F.lit(False)
         bad = _text(c).isNotNull() & values[c].isNull()
         reasons.append(F.when(need & _text(c).isNull(), f"MISSING {c}").when(need & bad, f"INVALID {c}").when(bad, f"NON-NUMERIC {c}"))
-    judged = tagged.withColumn("reasons", F.nullif(F.array_join(F.array_compact(F.array(*reasons)), "; "), F.lit("")))
-    rejected = judged.where("reasons is not null").select("_raw.*", "reasons")
-    good = judged.where("reasons is null")
+    told = tagged.withColumn("reasons", F.nullif(F.array_join(F.array_compact(F.array(*reasons)), "; "), F.lit("")))
     plain = [c for c in rows.columns if c not in values]
-    out = good.select(*[F.col(f"`{c}`") for c in plain], *[(F.when(F.col("ticker").isNull(), None).otherwise(F.coalesce(v, _text("ticker"))) if c == "ticker" else v).alias(c) for c, v in values.items()])
+    out = told.select("_raw", "reasons", *[F.col(f"`{c}`") for c in plain], *[(F.when(F.col("ticker").isNull(), None).otherwise(F.coalesce(v, _text("ticker"))) if c == "ticker" else v).alias(c) for c, v in values.items()])
     for c, which in (("amount", 0), ("units", 1), ("price", 2)):
         out = out.withColumn(c, S.signed(F.col("action"), F.col(c), which)) if c in out.columns else out
-    return out, rejected
+    return out
+
+
+def formatted(rows: DataFrame, optional: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(valid, rejected): rows in stored form, and rows as they came with their reasons."""
+    told = judged(rows, optional)
+    return told.where("reasons is null").drop("_raw", "reasons"), told.where("reasons is not null").select("_raw.*", "reasons")
 
 
 def with_settlement(rows: DataFrame) -> DataFrame:
@@ -149,38 +153,63 @@ def aligned(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(*[F.col(f"`{c}`") if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns], *[F.col(f"`{c}`") for c in rows.columns if c not in columns])
 
 
+#: Where a row may stop on its way in.
+STOPS = ("rejected", "repeats", "known", "imported")
+
+
 @dataclass(frozen=True)
 class Imported:
-    """What each step of an import left; `tally` counts them."""
+    """An import: `told` has every row after merges with the step that stopped it; `read` and `merged` are how many rows came, and were left by merges."""
 
-    read: DataFrame
-    merged: DataFrame
-    valid: DataFrame
-    rejected: DataFrame
-    unique: DataFrame
-    new: DataFrame
-    final: DataFrame
+    told: DataFrame
+    read: int
+    merged: int
+    columns: tuple[str, ...]
+    approval: Approval | None
+
+    def _stored_form(self, *stops: str) -> DataFrame:
+        return self.told.where(F.col("stopped").isin(list(stops))).drop("_raw", "reasons", "stopped", "_key")
+
+    @property
+    def rejected(self) -> DataFrame:
+        """Rows as they came, with reasons."""
+        return self.told.where("stopped = 'rejected'").select("_raw.*", "reasons")
+
+    @property
+    def valid(self) -> DataFrame:
+        return self._stored_form("repeats", "known", "imported")
+
+    @property
+    def final(self) -> DataFrame:
+        """What is to be stored, in the stored table's order of columns."""
+        own = self._stored_form("imported")
+        return aligned(own.drop(self.approval.column) if self.approval else own, list(self.columns))
 
     def tally(self) -> DataFrame:
-        n = lambda d, name: d.agg(F.count("*").alias(name))
-        counts = n(self.read, "read")
-        for d, name in ((self.merged, "merged"), (self.rejected, "rejected"), (self.valid, "valid"), (self.unique, "unique"), (self.new, "imported")):
-            counts = counts.crossJoin(n(d, name))  # one row each
-        return counts.select("read", (F.col("read") - F.col("merged")).alias("merged"), "rejected", (F.col("valid") - F.col("unique")).alias("repeats"), (F.col("unique") - F.col("imported")).alias("known"), "imported")
+        """read, merged, and how many rows each step stopped: a row."""
+        counts = [F.count_if(F.col("stopped") == s).alias(s) for s in STOPS]
+        return self.told.agg(*counts).select(F.lit(self.read).cast("bigint").alias("read"), F.lit(self.read - self.merged).cast("bigint").alias("merged"), *STOPS)
 
 
 def imported(raw: DataFrame, held: DataFrame, *, keywords: dict[str, list[str]] | None = None, ignored: list[str] = (), account: str | None = None, merges: list[dict] = (), rules: list = (), optional: dict[str, str] | None = None, approval: Approval | None = None) -> Imported:
-    """An import: headers, merges, rules, formats, settlement, repeats, stored rows, columns of the stored table."""
-    read = mapped_headers(raw, keywords or {}, ignored, account)
-    merged = read
+    """An import: headers, merges, rules, formats, settlement, repeats, stored rows, columns of the stored table.
+
+    The input is read once: rows are judged, counted on their way by observed
+    metrics, and written; then each row is told the step that stops it.
+    """
+    seen, left = Observation(), Observation()
+    one = F.count(F.lit(1)).alias("n")
+    merged = mapped_headers(raw, keywords or {}, ignored, account).observe(seen, one)
     for m in merges:
         merged = findings.merged_groups(merged, m["match_fields"], m["source_actions"], m["target_action"], m.get("amount_field", "amount"), m.get("operations"))
-    valid, rejected = formatted(findings.ruled(merged, list(rules)), optional)
-    valid, rejected = stored(with_settlement(valid), "valid"), stored(rejected, "rejected")
-    unique = stored(without_own_repeats(valid, approval), "unique")
-    new = without_stored(unique, held, approval)
-    final = new.drop(approval.column) if approval else new
-    return Imported(read, merged, valid, rejected, unique, new, aligned(final, [c for c in held.columns if c != "txn_id"]))
+    told = with_settlement(judged(findings.ruled(merged.observe(left, one), list(rules)), optional))
+    told = stored(keyed(told), "judged")
+    again = told.where("reasons is null").groupBy("_key").count().where("count > 1").select("_key", F.lit(True).alias("_again"))
+    known = keyed(held).select("_key", F.lit(True).alias("_known")).distinct()
+    fresh = _approved(told, approval)
+    stop = F.when(F.col("reasons").isNotNull(), "rejected").when(F.col("_again") & ~fresh, "repeats").when(F.col("_known") & ~fresh, "known").otherwise("imported")
+    tagged = told.join(again, "_key", "left").join(known, "_key", "left").withColumn("stopped", stop).drop("_again", "_known")
+    return Imported(stored(tagged, "told"), seen.get["n"], left.get["n"], tuple(c for c in held.columns if c != "txn_id"), approval)
 
 
 # -- statements ------------------------------------------------------------

@@ -490,7 +490,12 @@ def _import(d: DataFrame) -> ingest.Imported:
 _FATES = """, r AS (SELECT *, concat_ws('; ', CASE WHEN txn_id % 19 = 0 THEN 'INVALID txn_date' END, CASE WHEN txn_id % 17 = 0 AND action <> 'DIVIDEND' THEN 'MISSING price' END, CASE WHEN txn_id % 23 = 0 THEN 'NON-NUMERIC fee' END) AS reasons FROM ledger)"""
 _add("ing_pipeline", f"{_FATES} SELECT txn_id FROM r WHERE reasons = '' AND txn_id % 29 > 0 AND (currency = 'CAD' OR action = 'DIVIDEND' AND txn_id % 17 = 0)", lambda d: _import(d).final.select(F.col("ref").cast("bigint").alias("txn_id")))
 _add("ing_required", f"{_FATES} SELECT txn_id, reasons FROM r WHERE reasons <> '' UNION ALL SELECT txn_id, reasons FROM r WHERE reasons <> '' AND txn_id % 29 = 0", lambda d: _import(d).rejected.select(F.col("ref").cast("bigint").alias("txn_id"), "reasons"))
-_found["agg_import_tally"] = lambda s, d: _import(source.ledger(s, d)).tally()
+_add(
+    "agg_import_tally",
+    f"{_FATES}, twice AS (SELECT * FROM r UNION ALL SELECT * FROM r WHERE txn_id % 29 = 0) SELECT count(*) AS read, CAST(0 AS BIGINT) AS merged, count(*) FILTER (WHERE reasons <> '') AS rejected, count(*) FILTER (WHERE reasons = '' AND txn_id % 29 = 0) AS repeats,"
+    " count(*) FILTER (WHERE reasons = '' AND txn_id % 29 > 0 AND NOT (currency = 'CAD' OR action = 'DIVIDEND' AND txn_id % 17 = 0)) AS known, count(*) FILTER (WHERE reasons = '' AND txn_id % 29 > 0 AND (currency = 'CAD' OR action = 'DIVIDEND' AND txn_id % 17 = 0)) AS imported FROM twice",
+    lambda d: _import(d).tally(),
+)
 _add(
     "ing_settle",
     "SELECT txn_id, CASE WHEN txn_id % 3 = 0 THEN DATE '2000-01-03' ELSE settle_date END AS settle_date, CASE WHEN txn_id % 3 = 0 OR action = 'DIVIDEND' THEN 0 ELSE 1 END AS settle_calculated FROM ledger",

@@ -240,6 +240,39 @@ def test_queries_match_sql(spark, duck, name):
     assert sorted(map(key, map(tuple, got.select(columns).collect()))) == sorted(map(key, want))
 
 
+def test_queries_without_sql(spark, monkeypatch):
+    """Each runs, over one replay that they share here, and they agree with each other."""
+    one = plans._Replay(spark, SF)
+    found = stored(one.findings(), "findings")
+    one.findings = lambda codes=checks.CODES: found.where(F.col("code").isin(list(codes)))
+    monkeypatch.setattr(plans, "_Replay", lambda s, d: one)
+    names = sorted(set(plans.queries()) - set(plans.oracle_sql()))
+    got = {n: plans.queries()[n](spark, SF).collect() for n in names}
+    every = found.collect()
+    by = {}
+    for r in every:
+        if r.txn_id is not None:
+            by.setdefault(r.txn_id, set()).add(r.code)
+    assert {r.txn_id: set(r["flags"].split(",")) for r in got["flags_attach"]} == by
+    assert {r.flag: r.n for r in got["agg_flags_rollup"]} == {c: sum(c in s for s in by.values()) for c in set().union(*by.values())}
+    reported = {s: plans.queries()[f"chk_{s.replace('-', '_')}"](spark, SF).count() for s in checks.CHECKS}
+    assert {r.slug: r.findings for r in got["chk_run"]} == reported and [r.slug for r in got["chk_run"]] == list(checks.CHECKS)
+    assert tuple(got["agg_check_rollup"][0]) == tuple(sum(r.status == s for r in got["chk_run"]) for s in ("FAIL", "WARN"))
+    order = [(r.txn_id or 0, r.pool or "", r.code) for r in got["sort_findings"]]
+    assert order == sorted(order) and len(order) == len(every) == len(got["findings"])
+    rows = {r.txn_id: r for r in one.ready.collect()}
+    heard = lambda r: (r.account or (rows[r.txn_id].account if r.txn_id in rows else "")) != "B1-MARGIN" and (r.symbol or (rows[r.txn_id].symbol or rows[r.txn_id].ticker if r.txn_id in rows else "")) != "T7"
+    assert len(got["filter_checks_ignore"]) == sum(map(heard, every)) < len(every)
+    assert len(got["proj_master_columns"]) == len(rows) and len(got["acb_summary"]) == len({r.symbol for r in rows.values() if r.symbol})
+    view = got["filter_acb_view"]
+    assert view and all(r.acct_type == "TFSA" and str(r.txn_date) >= "1996-01-01" and r.impact != "INCOME" for r in view)
+    assert len(got["win_acb_fold_exact"]) == 3 * sum(r.symbol is not None for r in rows.values())
+    assert sum(r.n for r in got["cache_fingerprint"]) == sum(r.symbol is not None for r in rows.values())
+    lost = [r for r in every if r.code == "ROC_EXCEEDS_ACB"]
+    assert len(got["dx_ROC_EXCEEDS_ACB"]) == len(lost) > 0 and all(r.value > 0 and rows[r.txn_id].action == "ROC" for r in lost)
+    assert got["chk_income_sanity"]
+
+
 @pytest.mark.parametrize("name", ["sort_default_all", "sort_multi_all"])
 def test_sorts_return_the_whole_ledger_in_order(spark, duck, name):
     got = [tuple(r) for r in plans.queries()[name](spark, SF).collect()]
