@@ -60,14 +60,19 @@ def account_facts(rows: DataFrame, configured: dict[str, str] | None = None) ->
     Votes hang on the sign and the sign on all rows, so both signs' votes are
     counted at once: the rows are read a single time, and no account is a task.
     """
-    figures, votes = [F.sum(F.signum("fee")).alias("lean")], {}
+    # figures once a row as doubles, as in `S.fee_fits`; both signs' votes are told from them
+    plain = rows.select("account", "txn_date", "txn_id", F.col("action") == "BUY", F.signum("fee"), F.abs(F.col("price") * F.col("units")).cast("double"), F.abs("amount").cast("double"), F.col("fee").cast("double"), 0.01 + 0.005 * F.abs("units").cast("double"), F.col("action").isin("BUY", "SELL") & (F.col("fee") != 0))
+    plain = plain.toDF("account", "txn_date", "txn_id", "buys", "lean", "gross", "paid", "charged", "tolerance", "votes")
+    told, figures, votes = ["account", "lean", F.when(F.col("votes"), F.struct("txn_date", "txn_id")).alias("at")], [F.sum("lean").alias("lean")], {}
+    outside = F.abs(F.col("paid") - F.col("gross")) <= F.col("tolerance")
     for sign in (1, -1):
-        vote = S.fee_vote(F.col("action"), F.col("amount"), F.col("price"), F.col("units"), F.col("fee") * sign)
-        for name in ("INCLUDED", "EXCLUDED"):
-            n, came = f"{name}{sign}", f"{name}{sign}came"
-            figures += [F.count_if(vote == name).alias(n), F.min(F.when(vote == name, F.struct("txn_date", "txn_id"))).alias(came)]
-            votes[name, sign] = (F.col(n), F.col(came))
-    counted = rows.groupBy("account").agg(*figures).withColumn("fee_sign", F.when(F.col("lean") < 0, -1).otherwise(1))
+        charged = sign * F.col("charged")
+        inside = F.abs(F.col("paid") - F.when(F.col("buys"), F.col("gross") + charged).otherwise(F.col("gross") - charged)) <= F.col("tolerance")
+        for name, rule in (("INCLUDED", inside & ~outside), ("EXCLUDED", outside & ~inside)):
+            told.append((F.col("votes") & rule).alias(f"{name}{sign}"))
+            figures += [F.count_if(f"{name}{sign}").alias(f"{name}{sign}"), F.min(F.when(F.col(f"{name}{sign}"), F.col("at"))).alias(f"{name}{sign}came")]
+            votes[name, sign] = (F.col(f"{name}{sign}"), F.col(f"{name}{sign}came"))
+    counted = plain.select(*told).groupBy("account").agg(*figures).withColumn("fee_sign", F.when(F.col("lean") < 0, -1).otherwise(1))
     of = lambda name, i: F.when(F.col("fee_sign") < 0, votes[name, -1][i]).otherwise(votes[name, 1][i])
     inside, outside = of("INCLUDED", 0), of("EXCLUDED", 0)
     first = (inside > outside) | ((inside == outside) & (of("INCLUDED", 1) < of("EXCLUDED", 1)))
@@ -513,7 +518,8 @@ def realized(ended: DataFrame) -> DataFrame:
 
 
 def balances(ready: DataFrame) -> DataFrame:
-    """scope, pool, currency, settle_date, first_id, balance at the end of each day: days are summed before the window."""
-    days = scoped(cash_moves(ready)).groupBy("scope", "pool", "currency", "settle_date").agg(F.sum("cash").alias("moved"), F.min("txn_id").alias("first_id"))
+    """scope, pool, currency, settle_date, first_id, balance at the end of each day: days are summed by account, then by pool, before the window."""
+    own = cash_moves(ready).groupBy("account", "acct_type", "currency", "settle_date").agg(F.sum("cash").alias("moved"), F.min("txn_id").alias("first_id"))
+    days = scoped(own).groupBy("scope", "pool", "currency", "settle_date").agg(F.sum("moved").alias("moved"), F.min("first_id").alias("first_id"))
     until = Window.partitionBy("scope", "pool", "currency").orderBy("settle_date").rowsBetween(Window.unboundedPreceding, 0)
     return days.select("scope", "pool", "currency", "settle_date", "first_id", F.sum("moved").over(until).cast("decimal(38,10)").alias("balance"))
