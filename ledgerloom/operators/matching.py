@@ -124,11 +124,22 @@ def matched_once(statement: DataFrame, rows: DataFrame, tolerance: str = "0.01",
 
 
 def split_missing(rows: DataFrame, splits: DataFrame) -> DataFrame:
-    """Accounts that hold a ticker on the day of a split and have no split row: ticker, day, account."""
-    held = rows.join(splits.select("ticker", F.col("day").alias("day")).distinct(), "ticker").where("txn_date < day")
-    signed = F.when(F.col("action") == "SELL", -F.col("units")).when(F.col("action") == "BUY", F.col("units")).otherwise(0)
-    holders = held.groupBy("ticker", "day", "account").agg(F.sum(signed).alias("held")).where("held > 0")
-    return unmatched(holders.select("ticker", "day", "account"), splits, ["ticker", "day", "account"])
+    """Accounts that hold a ticker on the day of a split and have no split row: ticker, day, account.
+
+    A ticker's split days lie in one sorted array. Rows are summed by the first
+    of these days that comes after them, so no row is repeated for the later
+    ones; running sums of the few remaining figures tell what an account held on
+    each day. Rows and splits without a ticker, a day or an account count for nothing.
+    """
+    days = splits.where("ticker is not null and day is not null").groupBy("ticker").agg(F.array_sort(F.collect_set("day")).alias("days"))  # at most a day each
+    signed = F.when(F.col("action") == "SELL", -F.col("units")).when(F.col("action") == "BUY", F.col("units"))
+    before = rows.where("account is not null").select("ticker", "account", "txn_date", signed.alias("units")).where("units is not null")
+    slot = F.size(F.filter("days", lambda d: d <= F.col("txn_date")))
+    sums = before.join(days, "ticker").withColumn("slot", slot).where(F.col("slot") < F.size("days")).groupBy("ticker", "account", "slot").agg(F.sum("units").alias("units"))
+    own = Window.partitionBy("ticker", "account").orderBy("slot")
+    held = sums.select("ticker", "account", "slot", F.sum("units").over(own).alias("held"), F.lead("slot").over(own).alias("next")).where("held > 0").join(days, "ticker")
+    spans = F.slice("days", F.col("slot") + 1, F.coalesce("next", F.size("days")) - F.col("slot"))
+    return unmatched(held.select("ticker", F.explode(spans).alias("day"), "account"), splits, ["ticker", "day", "account"])
 
 
 class _Queues:

@@ -214,6 +214,22 @@ def test_transfers_pair_once(spark):
     assert [tuple(r) for r in matching.paired_transfers(legs).collect()] == [(1, 3)]
 
 
+def test_splits_that_holders_lack(spark):
+    r, start = random.Random(11), dt.date(2020, 1, 1)
+    day = lambda: start + dt.timedelta(r.randrange(12))
+    rows = [(r.choice(["BUY", "BUY", "SELL", "DIVIDEND", None]), day(), r.choice("XY"), r.choice(["a", "b", "c", None]), r.choice([1, 2, 3, None])) for _ in range(200)]
+    rows += [("BUY", start, "Z", "a", 1), ("BUY", start, None, "a", 1), ("BUY", None, "X", "d", 1)]
+    splits = [(r.choice("XY"), day(), r.choice("abc")) for _ in range(9)] + [("W", start, "a"), (None, start, "a"), ("X", None, "a")]
+    want = set()
+    for ticker, on in {(t, d) for t, d, _ in splits if t and d}:
+        for account in "abcd":
+            held = sum((n or 0) * {"BUY": 1, "SELL": -1}.get(kind, 0) for kind, d, t, a, n in rows if (t, a) == (ticker, account) and d and d < on)
+            want |= {(ticker, on, account)} if held > 0 and (ticker, on, account) not in splits else set()
+    d = spark.createDataFrame(rows, "action string, txn_date date, ticker string, account string, units int").withColumn("day", F.lit(0))
+    got = matching.split_missing(d, spark.createDataFrame(splits, "ticker string, day date, account string"))
+    assert len(want) >= 5 and sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_rules_in_turn(spark):
     d = spark.createDataFrame([("DIVIDEND", "a-TFSA", "T"), ("BUY", "b", "T")], "action string, account string, ticker string")
     got = findings.ruled(d, [({"account": ["contains:tfsa"]}, {"action": "FCH"}), ({"action": ["FCH"]}, {"ticker": ""}), ({"gone": ["1"]}, {"action": "X"})]).collect()
