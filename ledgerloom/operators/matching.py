@@ -133,11 +133,11 @@ def split_missing(rows: DataFrame, splits: DataFrame) -> DataFrame:
     """
     days = splits.where("ticker is not null and day is not null").groupBy("ticker").agg(F.array_sort(F.collect_set("day")).alias("days"))  # at most a day each
     signed = F.when(F.col("action") == "SELL", -F.col("units")).when(F.col("action") == "BUY", F.col("units"))
-    before = rows.where("account is not null").select("ticker", "account", "txn_date", signed.alias("units")).where("units is not null")
+    before = rows.where("account is not null and txn_date is not null").select("ticker", "account", "txn_date", signed.alias("units")).where("units is not null")
     slot = F.size(F.filter("days", lambda d: d <= F.col("txn_date")))
-    sums = before.join(days, "ticker").withColumn("slot", slot).where(F.col("slot") < F.size("days")).groupBy("ticker", "account", "slot").agg(F.sum("units").alias("units"))
+    sums = before.join(days, "ticker").select("ticker", "account", slot.alias("slot"), "units", "days").groupBy("ticker", "account", "slot").agg(F.sum("units").alias("units"), F.any_value("days").alias("days"))
     own = Window.partitionBy("ticker", "account").orderBy("slot")
-    held = sums.select("ticker", "account", "slot", F.sum("units").over(own).alias("held"), F.lead("slot").over(own).alias("next")).where("held > 0").join(days, "ticker")
+    held = sums.where(F.col("slot") < F.size("days")).select("ticker", "account", "days", "slot", F.sum("units").over(own).alias("held"), F.lead("slot").over(own).alias("next")).where("held > 0")
     spans = F.slice("days", F.col("slot") + 1, F.coalesce("next", F.size("days")) - F.col("slot"))
     return unmatched(held.select("ticker", F.explode(spans).alias("day"), "account"), splits, ["ticker", "day", "account"])
 
