@@ -21,7 +21,8 @@ from ledgerloom.llm.scratch import batches_of, fresh, stored
 
 NGRAMS = (3, 4)
 BUCKET_BITS = 18
-#: All pairs of a word with itself share this one feature, so that it is learned from few rows; without it 3 in 100 held-out rows of sf0.1 are wrong.
+#: All pairs of a word with itself share this one feature, so that it is learned from few rows. Of the teaching rows of sf0.1, those
+#: with remainder 1 (795) judge a model of the others (1826): 0.9987 of them are right with the feature, 0.9711 without.
 _REPEAT = np.uint64(0x5EED)
 
 
