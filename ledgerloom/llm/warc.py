@@ -27,6 +27,8 @@ SKIPPABLE = 0x184D2A5D
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
 
 SAMPLE_BYTES, DICTIONARY_BYTES = 2_000_000, 65_536
+#: Parts into which the copies of one payload are dealt: one payload may be that of a third of all pages.
+SALTS = 64
 
 
 def record_bytes(page_id: int | None, url: str | None, kind: str, payload: bytes, digest: str, length: int, refers_to: int | None) -> bytes:
@@ -73,7 +75,7 @@ def parse_record(data: bytes) -> dict:
 
 
 def archive_bytes(records: list[bytes], level: int) -> bytes:
-    """A whole archive. Too few records for a dictionary leave it without one."""
+    """A whole archive. The dictionary learns from the first 32,768 bytes of sampled records; too few leave the archive without one."""
     sample, size = [], 0
     for r in records[:: max(1, sum(map(len, records)) // SAMPLE_BYTES)]:
         sample.append(r[:32_768])  # for the dictionary only; the records stay whole
@@ -172,16 +174,20 @@ def records(pages: DataFrame, *, least_bytes: int = 1000) -> DataFrame:
     Of pages with equal payloads (the html in UTF-8, null as empty) of at least
     `least_bytes` bytes that with the largest page_id is the response and the
     others revisit it. Rows that repeat that page_id are responses too; a null
-    page_id is below all others, and if all are null each is a response.
+    page_id is below all others, and if all are null each is a response. An empty
+    table gives no record; columns other than these three are left out.
     """
     html = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html).alias("digest"))
-    large = own.where(F.length("html") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("newest"), F.count("*").alias("n"))
-    again = large.where("n > 1 and newest is not null").select("digest", "newest")
-    older = (F.length("html") >= least_bytes) & F.col("newest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("newest"))
-    joined = own.join(again, "digest", "left")
+    enough = F.length("html") >= least_bytes
+    large = own.where(enough).groupBy("digest").agg(F.max("page_id").alias("newest"), F.count("*").alias("n"))
+    again = large.where("n > 1 and newest is not null").select(F.col("digest").alias("of"), "newest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    # copies of one payload are dealt into SALTS parts, and payloads that nothing may refer to go anywhere
+    mixed = F.xxhash64("page_id", "url")
+    own = own.withColumn("of", F.when(enough, F.col("digest")).otherwise(mixed.cast("string"))).withColumn("salt", F.pmod(mixed, F.lit(SALTS)).cast("int"))
+    older = F.col("newest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("newest"))
     kind = F.when(older, "revisit").otherwise("response")
-    return joined.select("page_id", "url", "html", kind.alias("record_type"), "digest", F.when(older, F.col("newest")).alias("refers_to"))
+    return own.join(again, ["of", "salt"], "left").select("page_id", "url", "html", kind.alias("record_type"), "digest", F.when(older, F.col("newest")).alias("refers_to"))
 
 
 def write(pages: DataFrame, folder: str, *, least_bytes: int = 1000, level: int = 3, archive_bytes: int = 16_000_000) -> DataFrame:

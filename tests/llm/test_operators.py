@@ -199,6 +199,27 @@ def test_warc_round_trip(spark):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_copies_of_one_payload_are_dealt_into_parts(spark):
+    hot, other = "h" * 1000, "o" * 2000
+    pages = [(i, "u", hot if i % 3 == 0 else None if i % 3 == 1 else other if i % 2 else f"{i} " + "x" * 1500, 1) for i in range(3000)]
+    d = spark.createDataFrame(pages, "page_id bigint, url string, html string, digest_ int")
+    with_parts = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in with_parts}
+    try:
+        for k, v in with_parts.items():
+            spark.conf.set(k, v)
+        made = warc.records(d).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    newest = {html: max(i for i, _, h, _ in pages if h == html) for html in (hot, other)}
+    want = {i: newest[h] if h in newest and i != newest[h] else None for i, _, h, _ in pages}
+    assert {r.page_id: r.refers_to for r in made} == want
+    assert all((r.record_type == "revisit") == (r.refers_to is not None) for r in made)
+    sizes = [sum(r.part == p for r in made) for p in {r.part for r in made}]
+    assert len(sizes) == 16 and max(sizes) < 2 * 3000 / 16
+
+
 def test_archive_has_leading_dictionary():
     records = [warc.record_bytes(i, "u", "response", f"<html>{i} same text again and again</html>".encode() * 20, "0" * 40, 1, None) for i in range(300)]
     data = warc.archive_bytes(records, 3)
