@@ -21,6 +21,8 @@ from ledgerloom.llm.scratch import batches_of, fresh, stored
 
 #: Ids are worked on with an i before them, so that this key of items with a null id is none of them and sorts behind them.
 UNNAMED = "n"
+#: About as many items as a row of the shuffled path verifies at once.
+ITEMS = 256
 FOUND = "struct<n_words:bigint,n_hit:bigint,item_ids:array<string>,spans:array<struct<first:int,last:int>>>"
 
 
@@ -214,15 +216,19 @@ def _prints(window: int, k: int, lengths: list[int], with_short: bool):
 
 
 def _verify(window: int, k: int):
-    @F.arrow_udf("array<int>")
+    """Which words of a text windows of the given items hit, and by which items."""
+
+    @F.arrow_udf("struct<at:array<int>,item_ids:array<string>>")
     def verify(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, others in batches:
-            out = []
-            for text, other in zip(texts, others, strict=True):
-                (_, words), (_, item) = _items(["", ""], pa.array([text.as_py(), other.as_py()], pa.string()))
-                hit, found = Index([("", item)], window, k).marked(words)
-                out.append(np.flatnonzero(hit).tolist() if found else [])
-            yield pa.array(out, pa.list_(pa.int32()))
+            at, ids = [], []
+            for text, held in zip(texts, others.to_pylist(), strict=True):
+                names, bodies = [x["item_id"] for x in held], [x["other"] for x in held]
+                (_, words), *items = _items(["", *names], pa.array([text.as_py(), *bodies], pa.string()))
+                hit, found = Index(items, window, k).marked(words)
+                at.append(np.flatnonzero(hit).tolist())
+                ids.append(sorted({items[i][0] for i in found}))
+            yield pa.StructArray.from_arrays([pa.array(at, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.string()))], ["at", "item_ids"])
 
     return verify
 
@@ -249,8 +255,9 @@ def _united():
 def contamination(documents: DataFrame, benchmark: DataFrame, *, window: int = 10, k: int = 5, most_words: int = 1_000_000, out: str = "contamination") -> DataFrame:
     """documents with a struct column: n_words, n_hit, item_ids (sorted as strings), spans of hit words.
 
-    A benchmark of at most `most_words` words is broadcast as an index (under 40
-    bytes a word); a larger one is joined by fingerprint in a shuffle. Null and
+    A benchmark whose texts have at most 2 * `most_words` bytes, and so no more
+    than that many words, is broadcast as an index (under 40 bytes a word); a
+    larger one is joined by fingerprint in a shuffle. Empty tables are fine. Null and
     empty texts have no words and no hits; items without words or with a null
     text never occur; an item of fewer words than a window is one window. Items
     with a null id count like others, but together are one null at the end of
@@ -269,15 +276,21 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, window: int = 1
         return documents.withColumn(out, _scan(index)(F.col("text")))
     row = fresh([*documents.columns, out], "row")
     keyed = stored(documents.withColumn(row, F.monotonically_increasing_id()), "numbered")  # written, so that a row keeps its number
-    of_items = items.withColumn("p", _prints(window, k, list(range(1, window)), False)(F.col("text")))
-    of_items = of_items.select("item_id", "p.n_words", F.explode("p.prints").alias("print"))
+    # an item is known by a hash of its id and text, as many may share an id or have none; equal hashes only verify more
+    bodies = items.dropDuplicates(["item_id", "text"]).withColumn("item", F.xxhash64("item_id", "text"))
+    of_items = bodies.withColumn("p", _prints(window, k, list(range(1, window)), False)(F.col("text")))
+    of_items = of_items.select("item", "p.n_words", F.explode("p.prints").alias("print"))
     lengths = [r[0] for r in of_items.where(F.col("n_words") < window).select("n_words").distinct().collect()]  # at most window - 1
     texts = keyed.select(row, "text")
     of_texts = stored(texts.select(row, _prints(window, k, lengths, True)(F.col("text")).alias("p")), "prints")
-    pairs = of_texts.select(row, F.explode("p.prints").alias("print")).join(of_items.select("item_id", "print").distinct(), "print").select(row, "item_id").distinct()
-    hits = pairs.join(texts, row).join(items.dropDuplicates(["item_id", "text"]).withColumnRenamed("text", "other"), "item_id")
-    hits = hits.select(row, "item_id", _verify(window, k)(F.col("text"), F.col("other")).alias("at")).where(F.size("at") > 0)
-    gathered = hits.groupBy(row).agg(F.collect_list("at").alias("at"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    pairs = of_texts.select(row, F.explode("p.prints").alias("print")).join(of_items.select("item", "print").distinct(), "print").select(row, "item").distinct()
+    pairs = stored(pairs, "pairs")
+    # ids meet first; the items of a row are gathered in slices, so a text moves once for about ITEMS of them and no slice grows with the benchmark
+    slices_of = pairs.groupBy(row).agg(F.ceil(F.count("*") / ITEMS).alias("slices"))
+    sliced = pairs.join(slices_of, row).withColumn("slice", F.pmod("item", "slices"))
+    held = sliced.join(bodies.withColumnRenamed("text", "other"), "item").groupBy(row, "slice").agg(F.collect_list(F.struct("item_id", "other")).alias("held"))
+    hits = held.join(texts, row).select(row, _verify(window, k)(F.col("text"), F.col("held")).alias("found")).select(row, "found.*").where(F.size("item_ids") > 0)
+    gathered = hits.groupBy(row).agg(F.collect_list("at").alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
     counts = of_texts.select(row, F.col("p.n_words").alias("n_words"))
     joined = counts.join(gathered, row, "left").select(row, _united()(F.col("n_words"), F.col("at"), F.col("item_ids")).alias(out))
     return keyed.join(joined, row).drop(row)

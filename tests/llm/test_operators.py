@@ -60,6 +60,18 @@ def test_decontamination_on_odd_texts(spark):
     assert decontaminate.contamination(d.limit(0), b.limit(0)).count() == 0
 
 
+def test_rows_that_many_items_hit(spark, monkeypatch):
+    shared = words(12, 1)
+    bench = [(i if i % 3 else None, " ".join([*words(3, 100 + i), *shared, *words(3, 900 + i)])) for i in range(300)] + [(400 + i, f"q{i}") for i in range(50)]
+    docs = [(1, " ".join([*words(50, 2), *shared, *words(50, 3)])), (1, " ".join([*words(5, 7), *shared[:9]])), (2, " ".join(f"q{i}" for i in range(60))), (3, None), (4, "")]
+    d, b = spark.createDataFrame(docs, DOCS), spark.createDataFrame(bench, "item_id bigint, text string")
+    monkeypatch.setattr(decontaminate, "ITEMS", 16)
+    made = [sorted(map(repr, decontaminate.contamination(d, b, most_words=most).collect())) for most in (1_000_000, 0)]
+    assert made[0] == made[1]
+    sizes = sorted((r[0], r[2].n_hit, len(r[2].item_ids)) for r in decontaminate.contamination(d, b, most_words=0).collect())
+    assert sizes == [(1, 0, 0), (1, 12, 201), (2, 50, 50), (3, 0, 0), (4, 0, 0)]
+
+
 def test_neighbours_ties_and_bad_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (20, [0.0, 2.0])]
