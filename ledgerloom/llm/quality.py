@@ -37,7 +37,8 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
         yield (words >> down).astype(np.int32), np.stack((rows[:-1], rows[1:]))
         pairs = mix(words[:-1] * np.uint64(3) + words[1:] + np.uint64(1))
         pairs[words[:-1] == words[1:]] = mix(_REPEAT[None])[0]
-        yield (pairs >> down).astype(np.int32), np.stack((rows[:-1], np.maximum(rows[1:] - 1, rows[:-1])))
+        # rows without words after the last word begin where no pair is
+        yield (pairs >> down).astype(np.int32), np.minimum(np.stack((rows[:-1], np.maximum(rows[1:] - 1, rows[:-1]))), len(pairs))
     starts = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # of characters
     rows = np.searchsorted(starts, offsets)
     for n in NGRAMS:
