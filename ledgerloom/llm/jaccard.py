@@ -21,18 +21,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bloom
 from ledgerloom.llm.bytetext import NOT_SPACE, by_row, distinct_shingles, mix, slices, word_hashes
-from ledgerloom.llm.graph import components
+from ledgerloom.llm.graph import components, joined_up
 from ledgerloom.llm.scratch import batches_of, fresh, release, small, stored
 
 COUNT_BITS, SEGMENTS = 20, 64
 ROUNDS = 2
 LEAST_BITS, MOST_BITS = 64, 1 << 16
+HOT, SIDE = 1 << 12, 1024  # comparisons from which a tile is dealt in blocks, and rows of a block's side
 TILE_WORDS = 32  # of 64 bits: a tile's rows carry no longer bitmaps; the whole ones follow for the pairs that pass
 
 
@@ -262,6 +264,75 @@ def _near(x: str, y: str, percent: int) -> str:
     return f"{sizes} and {100 + percent} * {_differing(x, y)} <= {100 - percent} * ({x}.n + {y}.n)"
 
 
+def _block_pairs(percent: int):
+    """The pairs of a block's two sides that `_tile_pairs` asks for."""
+
+    def sides(table: pa.Table, side: int) -> tuple[dict[str, np.ndarray], dict[int, tuple[np.ndarray, np.ndarray]]]:
+        own = table.filter(pc.equal(table["side"], side)).combine_chunks()
+        columns = {c: own[c].to_numpy() for c in ("entity", "component", "n", "band", "first")}
+        words = pc.list_value_length(own["bits"]).to_numpy()
+        flat = pc.list_flatten(own["bits"]).to_numpy().view(np.uint64)
+        begin = np.cumsum(words) - words
+        by_size = {int(w): np.flatnonzero(words == w) for w in np.unique(words)}
+        return columns, {w: (rows, flat[begin[rows][:, None] + np.arange(w)]) for w, rows in by_size.items()}
+
+    def folded(bits: np.ndarray, words: int) -> np.ndarray:
+        while bits.shape[1] > words:
+            half = bits.shape[1] // 2
+            bits = bits[:, :half] ^ bits[:, half:]
+        return bits
+
+    def block_pairs(table: pa.Table) -> pa.Table:
+        (x, x_bits), (y, y_bits) = sides(table, 0), sides(table, 1)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for own, ours in x_bits.values():
+            for other, theirs in y_bits.values():
+                words = min(ours.shape[1], theirs.shape[1])
+                right = folded(theirs, words)
+                for low in range(0, len(own), 256):
+                    rows, left = own[low : low + 256], folded(ours[low : low + 256], words)
+                    differing = np.zeros((len(rows), len(other)), np.int64)
+                    for w in range(words):
+                        differing += np.bitwise_count(left[:, w, None] ^ right[None, :, w])
+                    n, m = x["n"][rows][:, None], y["n"][other][None, :]
+                    near = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((100 + percent) * differing <= (100 - percent) * (n + m))
+                    near &= x["component"][rows][:, None] != y["component"][other][None, :]
+                    near &= (x["band"][rows][:, None] < y["band"][other][None, :]) | (x["entity"][rows][:, None] < y["entity"][other][None, :])
+                    near &= np.where(n <= m, x["first"][rows][:, None], y["first"][other][None, :])
+                    i, j = np.nonzero(near)
+                    a.append(x["entity"][rows[i]])
+                    b.append(y["entity"][other[j]])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return block_pairs
+
+
+def _tile_pairs(tiles: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets of one tile whose components differ and whose sizes and bitmaps allow a link; a pair may come from several tiles.
+
+    Tiles of few comparisons are joined. The others are cut: each side is dealt
+    into blocks, and every block of one meets every block of the other, as arrays.
+    """
+    lower = tiles.withColumn("tile", F.col("band"))
+    upper = tiles.withColumn("tile", F.explode(F.array(F.col("band"), F.col("band") - 1)))
+    sized = upper.groupBy("token", "tile").agg(F.count_if(F.col("band") == F.col("tile")).alias("low"), F.count("*").alias("high")).where(F.col("low") * F.col("high") > HOT)
+    hot = small(stored(sized, "hot"))
+    x, y = (side.join(hot.select("token", "tile"), ["token", "tile"], "left_anti").alias(name) for side, name in ((lower, "x"), (upper, "y")))
+    ordered = "x.component <> y.component and (x.band < y.band or x.entity < y.entity) and if(x.n <= y.n, x.first, y.first)"
+    pairs = x.join(y, F.expr(f"x.token = y.token and x.tile = y.tile and {ordered} and {_near('x', 'y', percent)}"))
+    pairs = pairs.select(F.col("x.entity").alias("a"), F.col("y.entity").alias("b"))
+
+    def blocks(side: DataFrame, number: int, own: str, other: str) -> DataFrame:
+        mine, all_theirs = (F.ceil(F.col(c) / SIDE).cast("int") for c in (own, other))
+        dealt = side.join(hot, ["token", "tile"]).withColumn("other", F.explode(F.sequence(F.lit(0), all_theirs - 1)))
+        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("entity"), mine).cast("int"))
+        names = ("own", "other") if own == "low" else ("other", "own")
+        return dealt.select("token", "tile", *(F.col(c).alias(to) for c, to in zip(names, ("x_block", "y_block"), strict=True)), F.lit(number).alias("side"), "entity", "component", "n", "band", "first", "bits")
+
+    cut = blocks(lower, 0, "low", "high").unionByName(blocks(upper, 1, "high", "low"))
+    return pairs.unionByName(cut.groupBy("token", "tile", "x_block", "y_block").applyInArrow(_block_pairs(percent), "a bigint, b bigint"))
+
+
 def near_components(documents: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of documents.
 
@@ -325,7 +396,7 @@ def _components(documents: DataFrame, k: int, percent: int) -> DataFrame:
         return entries.join(found.withColumnRenamed("node", "entity"), "entity", "left").withColumn("component", F.coalesce("component", "entity"))
 
     # each set and the leaders of its tiles; of those that the bitmaps allow, the nearest
-    links = found = None
+    found = None
     for turn in range(ROUNDS):
         now = labelled(None) if found is None else stored(labelled(found), "labelled")
         drawn = F.min(F.struct(F.xxhash64("entity", "token", F.lit(turn)).alias("draw"), "entity", "component"))
@@ -335,8 +406,9 @@ def _components(documents: DataFrame, k: int, percent: int) -> DataFrame:
         nearest = F.min(F.struct((F.expr(_differing("x", "y")) / F.expr("x.n + y.n")).alias("apart"), "leader")).alias("l")
         first = stored(allowed.groupBy(F.col("x.entity").alias("a")).agg(nearest).select("a", F.col("l.leader").alias("b")), "stars")
         release(leaders, None if found is None else now)
-        links = verified(first) if links is None else links.unionByName(verified(first))
-        found = small(components(links))
+        links = verified(first)
+        found = small(components(links) if found is None else joined_up(found, links))
+        release(links)
 
     # tiles again, for pairs whose components still differ
     rest = stored(labelled(found), "labelled")
@@ -344,16 +416,13 @@ def _components(documents: DataFrame, k: int, percent: int) -> DataFrame:
     short = signatures.select("entity", "n", F.expr(_shortened("bits", TILE_WORDS)).alias("bits"))
     mixed = stored(mixed, "mixed")
     open_tiles = stored(rest.join(small(mixed), "token", "left_semi").join(short, "entity"), "tiles")
-    lower = open_tiles.withColumn("tile", F.col("band")).alias("x")
-    upper = open_tiles.withColumn("tile", F.explode(F.array(F.col("band"), F.col("band") - 1))).alias("y")
-    ordered = "x.component <> y.component and (x.band < y.band or x.entity < y.entity) and if(x.n <= y.n, x.first, y.first)"
-    pairs = lower.join(upper, F.expr(f"x.token = y.token and x.tile = y.tile and {ordered} and {_near('x', 'y', percent)}"))
-    pairs = pairs.select(F.col("x.entity").alias("a"), F.col("y.entity").alias("b")).distinct()
+    pairs = _tile_pairs(open_tiles, percent).distinct()
     pairs = pairs.join(x, F.col("x.entity") == F.col("a")).join(y, F.col("y.entity") == F.col("b")).where(_near("x", "y", percent))
     pairs = stored(pairs.select("a", "b"), "pairs")
     release(rest, mixed, open_tiles, entries)
-    found = small(components(links.unionByName(verified(pairs))))
-    release(signatures, ids)
+    links = verified(pairs)
+    found = small(joined_up(found, links))
+    release(links, signatures, ids)
 
     return sets.join(found.withColumnRenamed("node", "entity"), "entity", "left").select("doc_id", "n", "entity", F.coalesce("component", "entity").alias("component"))
 

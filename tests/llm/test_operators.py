@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerloom.llm import decontaminate, jaccard, language, lines, neighbours, packing, quality, render, sharding, warc
+from ledgerloom.llm import decontaminate, graph, jaccard, language, lines, neighbours, packing, quality, render, sharding, warc
 from ledgerloom.llm.bytetext import slices
 from ledgerloom.llm.queries import oracle_sql, queries
 
@@ -120,6 +120,51 @@ def test_jaccard_components_of_near_copies(spark):
     assert jaccard.near_components(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_jaccard_cuts_hot_tiles(spark, monkeypatch):
+    r, docs, base, rows = random.Random(6), [], words(120, 9), []
+    for i in range(50):
+        w = list(base)
+        for _ in range(r.randrange(1, 7)):
+            w[r.randrange(len(w))] = f"y{r.randrange(999)}"
+        docs.append((i, " ".join(w)))
+    for e in range(60):
+        n, common = r.choice((100, 125, 130, 150)), np.arange(90) * 2**40 + np.arange(90) * 77
+        values = np.concatenate((common, np.array([r.randrange(2**60) for _ in range(n - 90)]))).view(np.uint64)
+        rows += [(t, e, e % 9, n, jaccard.band_of(n, 80), r.random() < 0.8, jaccard.bitmap(values, jaccard.bitmap_bits(n)).tolist()) for t in (1, 2)]
+    tiles = spark.createDataFrame(rows, "token bigint, entity bigint, component bigint, n bigint, band int, first boolean, bits array<bigint>")
+    joined = set(map(tuple, jaccard._tile_pairs(tiles, 60).collect()))
+    monkeypatch.setattr(jaccard, "HOT", 0)
+    monkeypatch.setattr(jaccard, "SIDE", 13)
+    assert set(map(tuple, jaccard._tile_pairs(tiles, 60).collect())) == joined and len(joined) > 20
+    monkeypatch.setattr(jaccard, "ROUNDS", 1)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.near_components(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got == brute_components(docs)
+
+
+def test_components_take_one_aggregation_a_round(spark, monkeypatch):
+    r, rounds = random.Random(7), []
+    p = r.sample(range(-(10**9), 10**9), 400)
+    edges = [*zip(p, p[1:200], strict=False), *((p[i], p[r.randrange(200, i)]) for i in range(201, 400)), (p[0], p[0]), (p[1], p[0])]
+    up = {x: x for x in p}
+    for a, b in edges * 400:
+        up[a] = up[b] = min(up[a], up[b])
+
+    def counted(df, what, stored=graph.stored):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        rounds.append(len(re.findall(r"\bExchange (hash|range|Round)", plan)))
+        return stored(df, what)
+
+    monkeypatch.setattr(graph, "stored", counted)
+    table = spark.createDataFrame(edges, "a bigint, b bigint")
+    assert dict(map(tuple, graph.components(table).collect())) == up
+    assert len(rounds) < 14 and max(rounds) == 1
+    some = graph.components(spark.createDataFrame(edges[::2], "a bigint, b bigint"))
+    assert dict(map(tuple, graph.joined_up(some, spark.createDataFrame(edges[1::2], "a bigint, b bigint")).collect())) == up
+    assert graph.components(table.limit(0)).count() == graph.joined_up(some.limit(0), table.limit(0)).count() == 0
+    monkeypatch.setattr(graph, "MOST_BROADCAST", 0)
+    assert dict(map(tuple, graph.components(table).collect())) == up
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
