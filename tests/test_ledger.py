@@ -314,3 +314,32 @@ def test_transfers_match_brute_force(spark):
             want.append((i, min(found)[1]))
     d = spark.createDataFrame(legs, "txn_id bigint, action string, ticker string, account string, units decimal(20,4), amount decimal(20,2), settle_date date")
     assert sorted(map(tuple, matching.paired_transfers(d).collect())) == sorted(want) and len(want) > 50
+
+
+REPEATED = ["asof_alias", "mut_diff", "stmt_match", "stmt_match_whole", "sink_append", "sink_upsert", "sink_update", "sink_delete", "chk_unit_balances", "chk_fee_conventions"]
+
+
+@pytest.fixture(scope="module")
+def repeated(spark, tmp_path_factory):
+    """The smallest tables with lines that share an id: every ninth line twice as it is, every seventh again on other days and at another price, and parts with numbers of six digits."""
+    top = tmp_path_factory.mktemp("repeated")
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").withColumn("l_partkey", F.when(F.col("l_partkey") % 5 == 0, F.col("l_partkey") + 123_000).otherwise(F.col("l_partkey")))
+    more = lines.where("l_orderkey % 7 = 0").withColumns({"l_shipdate": F.col("l_shipdate") + F.expr("interval 9 days"), "l_extendedprice": F.col("l_extendedprice") + 100})
+    lines.unionByName(lines.where("l_orderkey % 9 = 0")).unionByName(more).write.parquet(f"{top}/lineitem.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view lineitem as select * from read_parquet('{top}/lineitem.parquet/*.parquet')")
+    for t in ("orders", "part", "events"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{top}/{t}.parquet")
+        c.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
+    return str(top), c
+
+
+@pytest.mark.parametrize("name", REPEATED)
+def test_lines_that_share_an_id_match_sql(spark, repeated, name):
+    got = plans.queries()[name](spark, repeated[0])
+    columns = sorted(got.columns)
+    held = repeated[1].execute(plans.oracle_sql()[name])
+    names = [d[0] for d in held.description]
+    want = [tuple(r[names.index(c)] for c in columns) for r in held.fetchall()]
+    key = lambda r: tuple(map(repr, r))
+    assert sorted(map(key, map(tuple, got.select(columns).collect()))) == sorted(map(key, want)) and want
