@@ -343,3 +343,18 @@ def test_lines_that_share_an_id_match_sql(spark, repeated, name):
     want = [tuple(r[names.index(c)] for c in columns) for r in held.fetchall()]
     key = lambda r: tuple(map(repr, r))
     assert sorted(map(key, map(tuple, got.select(columns).collect()))) == sorted(map(key, want)) and want
+
+
+def test_an_import_writes_each_row_once(spark, tmp_path):
+    """What an import keeps on disk is one table, with rows as they came only where they are rejected."""
+    import os
+
+    from ledgerloom.sources.scratch import shared_dir
+
+    top = shared_dir(spark)
+    before = set(os.listdir(top)) if os.path.isdir(top) else set()
+    done = plans._import(plans.source.ledger(spark, SF).limit(400))
+    (only,) = set(os.listdir(top)) - before
+    held = spark.read.parquet(f"{top}/{only}")
+    assert "_key" not in held.columns and held.where("reasons is null and _raw is not null").isEmpty()
+    assert done.rejected.count() == held.where("reasons is not null").count() > 0 and done.final.count() > 0
