@@ -358,3 +358,11 @@ def test_an_import_writes_each_row_once(spark, tmp_path):
     held = spark.read.parquet(f"{top}/{only}")
     assert "_key" not in held.columns and held.where("reasons is null and _raw is not null").isEmpty()
     assert done.rejected.count() == held.where("reasons is not null").count() > 0 and done.final.count() > 0
+
+
+def test_the_walks_of_frame_and_summary_give_what_steps_give(cases):
+    whole = replay.master(cases["ready"], cases["done"])
+    rows = lambda d: sorted(map(repr, map(tuple, d.collect())))
+    assert rows(replay.frame(cases["ready"])) == rows(whole) and rows(replay.summarized(cases["ready"])) == rows(replay.summary(whole))
+    found = checks.from_brief(checks.CODES, lambda: cases["ready"], lambda: replay.brief(cases["ready"]))
+    assert rows(found.select(checks.COLUMNS)) == rows(cases["found"].select(checks.COLUMNS))
